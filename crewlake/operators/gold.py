@@ -326,6 +326,13 @@ def _working(desc: Column) -> Column:
     return (d != "") & (F.upper(d) != OFF_SHIFT)
 
 
+def _roles(path: str) -> Column:
+    """Role lines without their rates."""
+    slim = F.transform(path, lambda r: F.struct(r["id"].cast("string").alias("id"), r["role"].alias("role"),
+                                                r["qty"].cast("double").alias("qty")))
+    return F.coalesce(slim, F.array().cast("array<struct<id:string,role:string,qty:double>>"))
+
+
 def quote_hours(quotes: DataFrame) -> DataFrame:
     """Quoted hours per job and role from the newest version that has people planned.
 
@@ -335,11 +342,11 @@ def quote_hours(quotes: DataFrame) -> DataFrame:
     p = "payload."
     planned = F.exists(F.map_values(F.coalesce(F.col(p + "manning"), F.create_map().cast("map<string,map<string,string>>"))),
                        lambda days: F.exists(F.map_values(days), _working))
-    roles = F.concat(F.coalesce(F.col(p + "staff_roles").cast(_ROLES), F.array().cast(_ROLES)),
-                     F.coalesce(F.col(p + "new_roles").cast(_ROLES), F.array().cast(_ROLES)))
+    roles = F.concat(_roles(p + "staff_roles"), _roles(p + "new_roles"))
     slim = quotes.filter(planned).select(
         normalise_job_id("job_code").alias("job_code"), "uploaded_at", "job_title",
-        F.col(p + "shift_types").cast("array<struct<desc:string,hrs:double,type:string>>").alias("shifts"),
+        F.transform(p + "shift_types", lambda s: F.struct(s["desc"].alias("desc"), s["hrs"].cast("double").alias("hrs"),
+                                                          s["type"].alias("type"))).alias("shifts"),
         F.col(p + "manning").alias("manning"), roles.alias("roles"))
     newest = latest(slim, ["job_code"], ["uploaded_at"])
     rows = newest.select("job_code", "uploaded_at", "job_title", "shifts", "manning", F.explode("roles").alias("r"))
@@ -367,9 +374,6 @@ def quote_hours(quotes: DataFrame) -> DataFrame:
         F.round((add(ds) + add(ns)) * qty, 1).alias("total_hours"))
 
 
-_ROLES = "array<struct<id:string,role:string,qty:double>>"
-
-
 def quote_totals(hours: DataFrame) -> DataFrame:
     return hours.groupBy("job_code", "job_title").agg(
         F.round(F.sum("ds_hours"), 1).alias("ds_hours"), F.round(F.sum("ns_hours"), 1).alias("ns_hours"),

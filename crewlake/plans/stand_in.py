@@ -163,7 +163,7 @@ class Tables:
         low = F.col("o_orderpriority") == "5-LOW"
         code = F.when(F.col("o_orderstatus") == "F", F.lower(job_code("o_orderkey"))).otherwise(job_code("o_orderkey"))
         return o.select(
-            F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("OPMS"),
+            F.col("o_custkey").cast("string").alias("OPMS"),
             F.concat(iso(F.date_sub(F.col("o_orderdate").cast("date"), 1)), F.lit("T16:30:00Z")).alias("Date_x0020_From"),
             F.lit("Customer").alias("First_x0020_Name"),
             F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("Last_x0020_Name"),

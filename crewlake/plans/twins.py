@@ -208,7 +208,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
   l_shipdate + CASE WHEN l_quantity > 5 THEN INTERVAL 28 HOUR ELSE INTERVAL 18 HOUR END AS local_ts FROM lineitem""",
     "ledger": """
 SELECT t.bms_txn_id, t.title, t.units, strftime(t.local_ts, '%Y-%m-%d') AS txn_date, strftime(t.local_ts, '%Y-%m') AS txn_month,
-  CASE WHEN person_id IS NOT NULL THEN 'sign_out' WHEN bought OR t.title LIKE 'Purchase to store%' THEN 'stock_in'
+  CASE WHEN t.person_id IS NOT NULL THEN 'sign_out' WHEN bought OR t.title LIKE 'Purchase to store%' THEN 'stock_in'
        WHEN t.title LIKE 'Stores Moved%' THEN 'store_move' ELSE 'other' END AS txn_kind,
   f.n_name AS from_location, g.n_name AS to_location, w.title AS person_name, i.p_name AS item_name, i.p_brand AS item_code,
   j.job_id AS job_code, j.title AS job_title, p.title AS project_name
@@ -232,7 +232,7 @@ SELECT 'I'||o_orderkey AS invoice_id, 'INV-'||o_orderkey AS invoice_number,
   CASE o_orderstatus WHEN 'F' THEN 'PAID' ELSE 'AUTHORISED' END AS status,
   CASE WHEN o_totalprice < 490000 THEN 'Client '||(o_custkey % 40) END AS contact_name,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'sh-'||(25000 + o_orderkey % 100)||' | 4500'||o_orderkey
-    WHEN '2-HIGH' THEN 'INV-'||substr(lpad(CAST(o_orderkey AS VARCHAR), greatest(6, length(CAST(o_orderkey AS VARCHAR))), '0'), 1, 6)
+    WHEN '2-HIGH' THEN 'INV-'||substr(lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0'), 1, 6)
     WHEN '3-MEDIUM' THEN '  SH-'||(25000 + o_orderkey % 100) END AS reference,
   CASE WHEN o_orderpriority IN ('1-URGENT','3-MEDIUM') THEN 'SH-'||(25000 + o_orderkey % 100) END AS job_code,
   strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, strftime(o_orderdate, '%Y-%m') AS month,
