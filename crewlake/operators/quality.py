@@ -154,7 +154,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         add("nulls", f.name, F.count_if(c.isNull()))
         if isinstance(f.dataType, T.NumericType):
-            add("sum", f.name, F.format_number(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)), "0.0000"))
+            add("sum", f.name, F.format_string("%.4f", F.coalesce(F.sum(c.cast("double")), F.lit(0.0))))
         if dated(f.name):
             add("min", f.name, F.min(c))
             add("max", f.name, F.max(c))
@@ -247,7 +247,8 @@ def detect_issues(certs: DataFrame, audit: DataFrame, roster: DataFrame, freshne
               entity="data_quality", owner="Operations", severity="high", source="freshness",
               count=F.max(F.when(stale, F.col("age_days")))),
         issue(checks, ~F.col("ok"), issue_id="iss-dq-fail", type="data_freshness", node="lake", entity="data_quality",
-              owner="Operations", severity="medium", source="checks"),
+              owner="Operations", source="checks",
+              severity=F.when(F.bool_or(F.col("level") == "FAIL"), "critical").otherwise("medium")),
         issue(freshness.filter("source = 'accounts'"), stale, issue_id="iss-accounts-stale", type="failed_sync",
               node="accounts", entity="invoice_register", owner="Finance", severity="high", source="freshness",
               count=F.max(F.when(stale, F.col("age_days")))),

@@ -237,6 +237,10 @@ def detect_mentions(questions: DataFrame, vocab: DataFrame, aliases: DataFrame)
     per_type = stated.select(F.col("raw").alias("mention"), "type", norm_name("raw").alias("norm")).distinct()
     known = vocab.select("type", "norm", "value")
     exact = per_type.join(known, ["type", "norm"]).select("mention", "type", "value", F.lit(100.0).alias("score"))
+    by_alias = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"])
+    alias = per_type.join(by_alias, "norm").join(known.withColumnRenamed("norm", "_to"), ["type", "_to"]).select(
+        "mention", "type", "value", F.lit(100.0).alias("score"))
+    exact = exact.unionByName(alias.join(exact.select("mention", "type"), ["mention", "type"], "left_anti"))
     left = per_type.join(exact.select("mention", "type"), ["mention", "type"], "left_anti")
     near = near_names(left, vocab, AUTO)
     close = left.join(near, ["norm", "type"]).select("mention", "type", "value", "score")
@@ -288,7 +292,7 @@ def zero_row_diagnosis(table: DataFrame, column: str, date_from: str, date_to: s
     probe = related_probes(probes, term).select(F.lit("related").alias("step"), F.col("table").alias("subject"),
                                                 F.concat("proves", F.lit(": "), F.col("rows").cast("string")).alias("detail"))
     near = suggest(terms, vocab, 3).select(F.lit("candidate").alias("step"), F.col("value").alias("subject"),
-                                           F.concat("type", F.lit(" "), F.format_number("score", "0.0")).alias("detail"))
+                                           F.format_string("%s %.1f", "type", "score").alias("detail"))
     return cover.unionByName(probe).unionByName(near)
 
 

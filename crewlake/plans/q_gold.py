@@ -95,19 +95,16 @@ def quotes(t: Tables):
     return versions.select("job_code", "uploaded_at", "job_title", full.alias("payload"))
 
 
-def _quote_oracle() -> str:
-    # r2 also plans an undefined shift, so even the OFF versions count as having people planned
-    return """
+# versions of low priority plan only days off and are passed over
+QUOTE_SQL = """
 SELECT 'SH-'||(25000 + o_orderkey % 100) AS job_code, 'Quote '||o_orderkey AS job_title, r AS role, q AS qty,
   CAST(ds * q AS BIGINT) AS ds_shifts, CAST(ns * q AS BIGINT) AS ns_shifts, round(ds * 12.5 * q, 1) AS ds_hours, round(ns * 12.0 * q, 1) AS ns_hours,
   round((ds * 12.5 + ns * 12.0) * q, 1) AS total_hours
-FROM (SELECT *, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE n_ds END AS ds, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE n_ns END AS ns,
-        CASE WHEN r = 'Role r1' THEN 1.0 ELSE CAST(o_orderkey % 4 + 1 AS DOUBLE) END AS q
-      FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
-           (VALUES ('Role r1', 2, 0), ('Role r2', 1, 1)) v(r, n_ds, n_ns))"""
-
-
-add("quote_hours", lambda t: G.quote_hours(quotes(t)).drop("uploaded_at"), _quote_oracle())
+FROM (SELECT *, CASE WHEN r = 'Role r1' THEN 1.0 ELSE CAST(o_orderkey % 4 + 1 AS DOUBLE) END AS q
+      FROM (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'
+            QUALIFY row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+           (VALUES ('Role r1', 2, 0), ('Role r2', 1, 1)) v(r, ds, ns))"""
+add("quote_hours", lambda t: G.quote_hours(quotes(t)).drop("uploaded_at"), QUOTE_SQL)
 
 
 def _ratings(t: Tables):

@@ -102,13 +102,15 @@ def merge_batch(batch: DataFrame, root: str, keys: Sequence[str], watermark: str
     table, staging = f"{root}/table", f"{root}/staging/batch={batch_id}"
     if not exists(spark, f"{staging}/_SUCCESS"):
         incoming = latest(batch.withColumn("_bucket", key_bucket(keys, buckets)), list(keys), [watermark])
-        if exists(spark, f"{table}/_SUCCESS"):
+        if exists(spark, table):
             stored = spark.read.parquet(table)
             touched = incoming.select("_bucket").distinct()
             merged = upsert(stored.join(touched, "_bucket", "left_semi").select(*incoming.columns), incoming, keys, watermark)
         else:
             merged = incoming
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
+        # a static overwrite leaves the success marker that the rerun looks for
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "static")
+               .partitionBy("_bucket").parquet(staging))
     done = spark.read.parquet(staging)
     (done.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_bucket").parquet(table))
