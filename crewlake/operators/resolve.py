@@ -171,36 +171,49 @@ def resolve_mentions(mentions: DataFrame, vocab: DataFrame, aliases: DataFrame)
     more is a match; several are ambiguous; 70 to 90 are only offered.
     """
     m = mentions.select("mention").distinct().withColumn("norm", norm_name("mention"))
-    usable = m.filter(F.length("norm") >= 2)
-    one = latest(vocab.withColumn("_p", _rank(LOOKUP_ORDER)), ["norm"], ["_p"], first=True).select(
-        "norm", "type", "value")
-    exact = usable.join(one, "norm").select("mention", "norm", F.lit("exact").alias("status"), "type", "value",
-                                            F.lit(100.0).alias("score"))
-    open1 = usable.join(exact.select("mention"), "mention", "left_anti")
-    by_alias = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"])
-    target = one.select(F.col("norm").alias("_to"), "type", "value")
-    alias = open1.join(by_alias, "norm").join(target, "_to").select(
-        "mention", "norm", F.lit("alias").alias("status"), "type", "value", F.lit(100.0).alias("score"))
-    open2 = open1.join(alias.select("mention"), "mention", "left_anti")
+    known = direct(m, vocab, aliases)
 
+    # only what is still open enters the similarity join
     best = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(TYPE_PRIORITY), "value")
-    top = (collapse(near_names(open2, vocab, CANDIDATE)).withColumn("n", F.row_number().over(best))
+    terms = known.filter("_value IS NULL AND length(norm) >= 2")
+    top = (collapse(near_names(terms, vocab, CANDIDATE)).withColumn("n", F.row_number().over(best))
            .filter(F.col("n") <= RUNNERS + 1))
     # at most four candidates per term reach this aggregation
     lists = top.groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("n", "type", "value", "score"))).alias("c"))
-    fuzzy = open2.join(lists, "norm", "left")
+    rows = known.join(lists, "norm", "left")
+    found = F.col("_value").isNotNull()
     first = F.get("c", F.lit(0))
     runners = F.size(F.filter(F.col("c"), lambda x: (x["n"] > 1) & (x["score"] >= AUTO)))
     hit = F.coalesce((first["score"] >= AUTO) & (runners == 0), F.lit(False))
-    status = (F.when(F.col("c").isNull(), "none").when(hit, "fuzzy").when(first["score"] >= AUTO, "ambiguous")
-              .when(F.size("c") > 1, "ambiguous").otherwise("none"))
-    rest = fuzzy.select(
-        "mention", "norm", status.alias("status"), F.when(hit, first["type"]).alias("type"),
-        F.when(hit, first["value"]).alias("value"), F.when(hit, first["score"]).alias("score"),
-        F.array_join(F.transform(F.filter("c", lambda x: ~hit | (x["n"] > 1)),
-                                 lambda x: F.concat(x["value"], F.lit(" ("), x["type"], F.lit(")"))), " / ").alias("candidates"))
-    short = m.filter(F.length("norm") < 2).select("mention", "norm", F.lit("none").alias("status"))
-    return exact.unionByName(alias).unionByName(rest, allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
+    status = (F.when(found, F.col("_how")).when(F.col("c").isNull(), "none").when(hit, "fuzzy")
+              .when(first["score"] >= AUTO, "ambiguous").when(F.size("c") > 1, "ambiguous").otherwise("none"))
+    offered = F.array_join(F.transform(F.filter("c", lambda x: ~hit | (x["n"] > 1)),
+                                       lambda x: F.concat(x["value"], F.lit(" ("), x["type"], F.lit(")"))), " / ")
+    return rows.select(
+        "mention", "norm", status.alias("status"),
+        F.when(found, F.col("_type")).when(hit, first["type"]).alias("type"),
+        F.when(found, F.col("_value")).when(hit, first["value"]).alias("value"),
+        F.when(found, F.lit(100.0)).when(hit, first["score"]).alias("score"), offered.alias("candidates"))
+
+
+def direct(m: DataFrame, vocab: DataFrame, aliases: DataFrame, typed: bool = False) -> DataFrame:
+    """Rows with ``norm`` (and ``type`` when ``typed``) plus _type, _value, _how of an exact or alias hit.
+
+    Left joins keep every row, so the input is read once and nothing is subtracted again.
+    """
+    on = ["type", "norm"] if typed else ["norm"]
+    one = (vocab.select("type", "norm", "value") if typed else
+           latest(vocab.withColumn("_p", _rank(LOOKUP_ORDER)), ["norm"], ["_p"], first=True).select("norm", "type", "value"))
+    long_enough = F.length("norm") >= 2
+    hit = one.select(*([F.col("type")] if typed else []), "norm", F.col("type").alias("_t1"), F.col("value").alias("_v1"))
+    goal = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"])
+    end = one.select(*([F.col("type")] if typed else []), F.col("norm").alias("_to"), F.col("type").alias("_t2"), F.col("value").alias("_v2"))
+    rows = m.join(hit, on, "left").join(goal, "norm", "left").join(end, ["type", "_to"] if typed else ["_to"], "left")
+    exact, alias = F.col("_v1").isNotNull() & long_enough, F.col("_v2").isNotNull() & long_enough
+    return rows.select(
+        *m.columns, F.when(exact, F.col("_t1")).when(alias, F.col("_t2")).alias("_type"),
+        F.when(exact, F.col("_v1")).when(alias, F.col("_v2")).alias("_value"),
+        F.when(exact, "exact").when(alias, "alias").alias("_how"))
 
 
 def suggest(terms: DataFrame, vocab: DataFrame, limit: int = 5) -> DataFrame:
@@ -232,38 +245,32 @@ def detect_mentions(questions: DataFrame, vocab: DataFrame, aliases: DataFrame)
     that resolves; otherwise a capital abbreviation known as an alias.
     """
     q = questions.select("question_id", "text")
+    cols = ["question_id", "type", "value", "score", "raw"]
+
     stated = q.select("question_id", F.lower(F.regexp_extract("text", EXPLICIT, 1)).alias("type"),
                       F.trim(F.regexp_extract("text", EXPLICIT, 2)).alias("raw")).filter("type <> ''")
-    per_type = stated.select(F.col("raw").alias("mention"), "type", norm_name("raw").alias("norm")).distinct()
-    known = vocab.select("type", "norm", "value")
-    exact = per_type.join(known, ["type", "norm"]).select("mention", "type", "value", F.lit(100.0).alias("score"))
-    by_alias = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"])
-    alias = per_type.join(by_alias, "norm").join(known.withColumnRenamed("norm", "_to"), ["type", "_to"]).select(
-        "mention", "type", "value", F.lit(100.0).alias("score"))
-    exact = exact.unionByName(alias.join(exact.select("mention", "type"), ["mention", "type"], "left_anti"))
-    left = per_type.join(exact.select("mention", "type"), ["mention", "type"], "left_anti")
-    near = near_names(left, vocab, AUTO)
-    close = left.join(near, ["norm", "type"]).select("mention", "type", "value", "score")
-    close = latest(close, ["mention", "type"], ["score", "value"])
-    found = exact.unionByName(close)
-    explicit = stated.join(found.withColumnRenamed("mention", "raw"), ["raw", "type"], "left").select(
-        "question_id", "type", F.coalesce("value", "raw").alias("value"), F.coalesce("score", F.lit(0.0)).alias("score"), "raw")
-
-    free = q.join(explicit.select("question_id"), "question_id", "left_anti")
-    said = free.select("question_id", F.explode(phrases("text")).alias("mention")).filter(
+    asked = direct(stated.select("type", "raw", norm_name("raw").alias("norm")).distinct(), vocab, aliases, typed=True)
+    near = near_names(asked.filter("_value IS NULL"), vocab, AUTO)
+    close = latest(near.select("norm", "type", "value", "score"), ["norm", "type"], ["score", "value"])
+    known = asked.join(close, ["norm", "type"], "left").select(
+        "raw", "type", F.coalesce("_value", "value").alias("_best"),
+        F.when(F.col("_value").isNotNull(), 100.0).otherwise(F.col("score")).alias("_score"))
+    explicit = stated.join(known, ["raw", "type"], "left").select(
+        "question_id", "type", F.coalesce("_best", "raw").alias("value"), F.coalesce("_score", F.lit(0.0)).alias("score"), "raw",
+        F.lit(3).alias("_kind"), F.lit(0).alias("_len"))
+
+    said = q.select("question_id", F.explode(phrases("text")).alias("mention")).filter(
         F.length(norm_name("mention")) >= MIN_PHRASE)
     hits = resolve_mentions(said.select("mention"), vocab, aliases).filter(F.col("score") >= AUTO)
-    matched = said.join(hits, "mention").withColumn("_len", F.length("norm"))
-    spoken = latest(matched.select("question_id", "type", "value", "score", F.col("mention").alias("raw"), "_len"),
-                    ["question_id"], ["_len", "score", "raw"]).drop("_len")
-
-    rest = free.join(spoken.select("question_id"), "question_id", "left_anti")
-    short = rest.select("question_id", F.posexplode(F.regexp_extract_all("text", F.lit(ABBREVIATION), 1)).alias("p", "mention"))
-    known_short = resolve_mentions(short.select("mention"), vocab, aliases).filter("status = 'alias'")
-    abbr = latest(short.join(known_short, "mention").select("question_id", "type", "value", "score",
-                                                            F.col("mention").alias("raw"), "p"),
-                  ["question_id"], ["p"], first=True).drop("p")
-    return explicit.unionByName(spoken).unionByName(abbr)
+    spoken = said.join(hits, "mention").select(
+        "question_id", "type", "value", "score", F.col("mention").alias("raw"), F.lit(2).alias("_kind"), F.length("norm").alias("_len"))
+
+    short = q.select("question_id", F.posexplode(F.regexp_extract_all("text", F.lit(ABBREVIATION), 1)).alias("p", "raw"))
+    abbr = direct(short.withColumn("norm", norm_name("raw")), vocab, aliases).filter("_how = 'alias'").select(
+        "question_id", F.col("_type").alias("type"), F.col("_value").alias("value"), F.lit(100.0).alias("score"), "raw",
+        F.lit(1).alias("_kind"), (-F.col("p")).alias("_len"))
+    every = explicit.unionByName(spoken).unionByName(abbr)
+    return latest(every, ["question_id"], ["_kind", "_len", "score", "raw"]).select(*cols)
 
 
 # --- T9 ---------------------------------------------------------------------------------------------------------

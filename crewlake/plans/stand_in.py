@@ -35,9 +35,12 @@ def iso(c: Column | str) -> Column:
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     # --- lists -----------------------------------------------------------------------------
     @cached_property

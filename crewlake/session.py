@@ -44,6 +44,8 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
         "spark__sql__shuffle__partitions": str(n),
         "spark__ui__enabled": "false",
         "spark__ui__showConsoleProgress": "false",
+        # call-site capture costs milliseconds for every column expression
+        "spark__python__sql__dataFrameDebugging__enabled": "false",
         "spark__driver__memory": os.environ.get("CREWLAKE_DRIVER_MEMORY", "8g"),
         "spark__driver__bindAddress": "127.0.0.1",
         "spark__driver__host": "127.0.0.1",
