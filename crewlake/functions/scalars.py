@@ -67,13 +67,27 @@ def local_ts(c: Column | str, offset_hours: int = LOCAL_OFFSET_HOURS) -> Column:
     anything else must be ISO.  The result has no time zone, so it does not
     depend on the session's.
     """
-    t = text(c)
+    return wall_ts(text(c), offset_hours)
+
+
+def wall_ts(t: Column, offset_hours: int = LOCAL_OFFSET_HOURS) -> Column:
+    """:func:`local_ts` of a text that is already cleaned."""
     is_utc = t.contains("T") & t.endswith("Z")
-    iso = F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$2-$1")
-    wall = F.regexp_replace(iso, r"Z$", "").try_cast("timestamp_ntz")
+    wall = plain_ts(t)
     return F.when(is_utc, wall + F.expr(f"INTERVAL {int(offset_hours)} HOURS")).otherwise(wall)
 
 
+def plain_ts(t: Column) -> Column:
+    """Wall clock as written.  The rewrites run only for texts that need them, most need none."""
+    iso = F.when(t.contains("/"), F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$2-$1")).otherwise(t)
+    return F.rtrim(iso, F.lit("Z")).try_cast("timestamp_ntz")
+
+
+def micros(ts: Column) -> Column:
+    """Sortable number of a wall-clock time; aggregating it stays in the hash aggregate."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def local_date(c: Column | str) -> Column:
     return local_ts(c).cast("date")
 
@@ -88,6 +102,22 @@ def iso_date(c: Column | str) -> Column:
     return F.date_format(as_col(c).cast("date"), "yyyy-MM-dd")
 
 
+def id_of(df, name: str) -> Column:
+    """:func:`norm_id` of a column; whole-number columns need no text rules."""
+    whole = df.schema[name].dataType.typeName() in ("integer", "long", "short", "byte")
+    return F.col(name).cast("string") if whole else norm_id(name)
+
+
+def number_of(df, name: str) -> Column:
+    """:func:`to_number` of a column; numeric columns are only cast."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("integer", "long", "short", "byte"):
+        return F.col(name).cast("double")
+    if kind in ("double", "float"):
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+    return to_number(name)
+
+
 def month_of(c: Column | str) -> Column:
     return F.date_format(as_col(c).cast("date"), "yyyy-MM")
 

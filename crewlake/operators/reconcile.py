@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 from crewlake.functions.ordered import latest, neighbour
 from crewlake.functions.scalars import (
     first_project,
+    id_of,
     iso_date,
     local_date,
     local_ts,
     lookup_key,
+    micros,
     month_of,
     norm_id,
+    number_of,
+    plain_ts,
     shift_type,
     text,
     to_int,
     to_number,
+    wall_ts,
 )
 from crewlake.operators.silver import get
 
@@ -45,13 +50,28 @@ WEEKLY = ["opms_employee_id", "first_name", "last_name", "position_name", "proje
 
 def _sheet_rank() -> Column:
     """Newest modification wins; equal times go to the higher sheet id, so reruns agree."""
-    return F.struct(F.coalesce(F.col("modified_at").cast("string"), F.lit("")),
-                    F.coalesce(F.col("timesheet_id").cast("string"), F.lit("")))
+    return F.struct("modified", "timesheet_id")
+
+
+def sheet_sums(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key and sheet: hours, entries and last modification.
+
+    All three buffers have a fixed width, so Spark hashes instead of sorting, and entries
+    collapse before the shuffle.  Times that cannot be read rank lowest.
+    """
+    return rows.groupBy(*key, "timesheet_id").agg(
+        F.sum("hours").alias("hours"), F.count("*").alias("entries"), F.max("modified").alias("modified"))
+
+
+def _ranked(entries: DataFrame) -> DataFrame:
+    # cleaned once in a step of its own: expressions that use a text several times would repeat the cleaning
+    rows = entries.withColumns({"_m": text("modified_at"), "hours": number_of(entries, "hours")})
+    return rows.withColumn("modified", micros(plain_ts(F.col("_m")))).drop("_m")
 
 
 def winning_sheets(entries: DataFrame, key: Sequence[str] = SHEET_KEY) -> DataFrame:
     """The one sheet per (worker, date, site) that counts."""
-    return entries.groupBy(*key).agg(F.max_by("timesheet_id", _sheet_rank()).alias("timesheet_id"))
+    return sheet_sums(_ranked(entries), key).groupBy(*key).agg(F.max_by("timesheet_id", _sheet_rank()).alias("timesheet_id"))
 
 
 def winning_sheet(entries: DataFrame, key: Sequence[str] = SHEET_KEY) -> DataFrame:
@@ -76,9 +96,7 @@ def timesheet_months(entries: DataFrame) -> DataFrame:
     Each sheet is summed first; then the best sheet's sums are picked; then months are
     added.  Three partial aggregations, so any key may be hot.
     """
-    sheets = entries.groupBy(*SHEET_KEY, "timesheet_id").agg(
-        F.max(F.coalesce(F.col("modified_at").cast("string"), F.lit(""))).alias("modified_at"),
-        F.sum(to_number("hours")).alias("hours"), F.count("*").alias("entries"))
+    sheets = sheet_sums(_ranked(entries), SHEET_KEY)
     best = sheets.groupBy(*SHEET_KEY).agg(F.max_by(F.struct("hours", "entries"), _sheet_rank()).alias("s"))
     return best.groupBy("opms_employee_id", "site_id", month_of("timesheet_date").alias("month")).agg(
         F.coalesce(F.sum("s.hours"), F.lit(0.0)).alias("total_hours"), F.sum("s.entries").alias("entry_count"))
@@ -99,16 +117,12 @@ def entered_hours(entries: DataFrame) -> DataFrame:
     ``entries`` is the flat sheet fact; hours that are not numbers count as zero.
     """
     rows = entries.select(
-        norm_id("opms_employee_id").alias("opms"), local_date("timesheet_date").alias("work_date"),
-        F.coalesce(F.col("site_id").cast("string"), F.lit("")).alias("site_id"),
-        F.coalesce(F.col("timesheet_id").cast("string"), F.lit("")).alias("timesheet_id"),
-        F.coalesce(F.col("modified_at").cast("string"), F.lit("")).alias("modified_at"),
-        F.coalesce(to_number("hours"), F.lit(0.0)).alias("hours"),
-    ).filter("opms IS NOT NULL AND work_date IS NOT NULL")
+        id_of(entries, "opms_employee_id").alias("opms"), text("timesheet_date").alias("_d"), "site_id", "timesheet_id",
+        text("modified_at").alias("_m"), F.coalesce(number_of(entries, "hours"), F.lit(0.0)).alias("hours"))
+    rows = rows.withColumns({"work_date": wall_ts(F.col("_d")).cast("date"), "modified": micros(plain_ts(F.col("_m")))}).filter(
+        "opms IS NOT NULL AND work_date IS NOT NULL")
     key = ["opms", "work_date", "site_id"]
-    sheets = rows.groupBy(*key, "timesheet_id").agg(F.sum("hours").alias("hours"),
-                                                    F.max("modified_at").alias("modified_at"))
-    best = sheets.groupBy(*key).agg(F.max_by("hours", _sheet_rank()).alias("hours"))
+    best = sheet_sums(rows, key).groupBy(*key).agg(F.max_by("hours", _sheet_rank()).alias("hours"))
     return best.groupBy("opms", "work_date").agg(F.round(F.sum("hours"), 2).alias("hours"))
 
 
