@@ -172,15 +172,16 @@ SELECT *, CASE WHEN is_expired THEN 'iss-cert-expired' WHEN is_expiring_soon AND
 
 
 def _revalidate(t: Tables) -> DataFrame:
-    live = t.certs.agg(F.count_if("is_expired").alias("live")).select(F.lit("iss-cert-expired").alias("issue_id"), "live")
-    found = Q.issue(t.certs, F.col("is_expired"), issue_id="iss-cert-expired", type="x", node="opms", entity="c", owner="o", severity="high", source="s")
-    stale = found.withColumn("issue_id", F.lit("iss-old"))
-    return Q.revalidate(found.unionByName(stale), live)
+    tag = F.when(F.col("is_expired"), "iss-cert-expired").otherwise("iss-valid").alias("issue_id")
+    live = t.certs.groupBy(tag).agg(F.count("*").alias("live"))
+    reported = live.select(F.when(F.col("issue_id") == "iss-valid", "iss-old").otherwise(F.col("issue_id")).alias("issue_id"),
+                           F.col("live").alias("affected_count"))
+    return Q.revalidate(reported, live)
 
 
 add("revalidate", _revalidate, """
 SELECT 'iss-cert-expired' AS issue_id, count(*) AS reported, count(*) AS live, TRUE AS matches FROM certs WHERE is_expired
-UNION ALL SELECT 'iss-old', count(*), NULL, FALSE FROM certs WHERE is_expired""")
+UNION ALL SELECT 'iss-old', count(*), NULL, FALSE FROM certs WHERE NOT is_expired""")
 add("grain_violations", lambda t: Q.grain_violations(t.roster, ["opms_employee_id", "roster_date"]),
     "SELECT opms_employee_id, roster_date, count(*) AS copies FROM roster GROUP BY 1, 2 HAVING count(*) > 1")
 

@@ -103,19 +103,20 @@ add("detect_mentions", _detected, """
 SELECT c_custkey AS question_id, 'site' AS type,
   CASE WHEN e THEN CASE k WHEN 0 THEN 'small ring' WHEN 1 THEN 'red widgte' WHEN 2 THEN 'no such place' WHEN 3 THEN 'red widget' ELSE 'NATION_7 and hot bolt' END
        ELSE CASE k WHEN 0 THEN 'small ring' WHEN 3 THEN 'red widget' ELSE 'hot bolt' END END AS value,
-  CASE WHEN e AND k IN (1, 2, 4) THEN 0.0 ELSE 100.0 END AS score
+  CAST(CASE WHEN e AND k IN (1, 2, 4) THEN 0.0 ELSE 100.0 END AS DOUBLE) AS score
 FROM (SELECT c_custkey, c_custkey % 5 AS k, c_custkey % 7 = 0 AS e FROM customer) WHERE e OR k IN (0, 3, 4)""")
 
 
 def _diagnosis(t: Tables) -> DataFrame:
     probes = [("employee_profile", t.person, "last_name", "a known worker"), ("site_assignment", t.assignments, "site_name", "assigned to the site"),
               ("project_bridge", t.bridge, "job_title", "a bridged job")]
-    asked = t.raw("part").select(F.lit("smal rin").alias("mention")).distinct()
+    first = t.raw("part").agg(F.min("p_name").alias("p_name"))
+    asked = first.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("mention"))
     return T.zero_row_diagnosis(t.roster, "roster_date", "2031-01-01", "2031-02-01", probes, "site 3", asked, _vocab(t))
 
 
 add("zero_row_diagnosis", _diagnosis, f"""
-WITH {VOCAB}, q AS (SELECT 'smal rin' AS mention, 'smalrin' AS norm), {_scores('q')},
+WITH {VOCAB}, q AS (SELECT regexp_replace(lower(substr(n,1,2)||substr(n,4)),'[^a-z0-9]','','g') AS norm FROM (SELECT min(p_name) AS n FROM part)), {_scores('q')},
 s1 AS (SELECT * FROM scored WHERE raw >= 55 - 1e-9 QUALIFY row_number() OVER (PARTITION BY norm, value ORDER BY score DESC, {ORDER}) = 1)
 SELECT 'coverage' AS step, min(roster_date)||'..'||max(roster_date) AS subject, 'range is AFTER coverage' AS detail FROM roster
 UNION ALL SELECT 'related', 'site_assignment', 'assigned to the site: '||count(*) FROM assignments WHERE site_name ILIKE '%site 3%'

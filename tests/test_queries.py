@@ -13,7 +13,7 @@ SAMPLE = ["timesheet_summary", "winning_sheet", "gap_pairs", "weekly_timesheet",
           "find_deployable_workers", "worker_360", "kpis", "trend_deltas", "parity", "detect_issues", "scrub_secrets", "stream_ingest", "near_names", "chunks",
           "followups", "failure_streaks"]
 PLANNED = ["weekly_timesheet", "kpis", "detect_issues", "resolve_mentions", "detect_mentions", "check_roster_risk", "project_hours_status", "workforce_report",
-           "parity", "link_repair_plan", "followups", "vector_search"]
+           "parity", "link_repair_plan", "followups", "vector_search", "revalidate", "zero_row_diagnosis"]
 
 
 @pytest.fixture(scope="module")
