@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewlake.llm import hostrules, interpolation, langid, mixing, simhash, toxkernel
+from crewlake.llm import chaining, decontam, hostrules, interpolation, langid, mixing, simhash, suffixes, toxkernel, urltrees
 from crewlake.llm.shared import is_test_fold
 
 
@@ -22,6 +22,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "coverage", "changed_slots")
+
+
+def op3_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrees.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,15 @@ def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("kept")
+
+
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chaining.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start_word", "end_word", "similarity", "other_doc_id", "other_start", "other_end")
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -48,6 +67,6 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_language_id, op4_host_rules, op5_toxicity_kernel, op6_systematic_mixing, op9_simhash_components,
-                            op10_interpolated_lm)}
+    q.__name__: q for q in (op1_language_id, op2_template_decontamination, op3_url_trees, op4_host_rules, op5_toxicity_kernel,
+                            op6_systematic_mixing, op7_suffix_dedup, op8_chained_passages, op9_simhash_components, op10_interpolated_lm)}
 ORACLES: dict[str, str] = {}
