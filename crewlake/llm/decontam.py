@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlake.llm.mixing import WORD
-from crewlake.llm.shared import HashFilter, cut
+from crewlake.llm.shared import HashFilter, cut, free_name
 from crewlake.llm.textbytes import KEEP, Chunk, chunks, gram_hashes, mix, windows
 
 WIDTH = 8
@@ -144,6 +144,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """The documents whose text no benchmark item contaminates, all columns and repeated rows kept."""
-    keys = contaminated(docs, benchmark, text_column=text_column, **options).select("text_key").distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    return docs.join(keys, key == F.col("text_key"), "left_anti")
+    name = free_name(docs, "_text_key")
+    keys = contaminated(docs, benchmark, text_column=text_column, **options).select(F.col("text_key").alias(name)).distinct()
+    return docs.join(keys, F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) == F.col(name), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlake.llm.shared import cut
+from crewlake.llm.shared import cut, stored
 from crewlake.llm.textbytes import Chunk, chunks, mix
 
 SHARE = 1 << 20
@@ -31,6 +31,9 @@ ADD = 0.1
 BUCKETS = 15
 END = mix(np.array([1], np.uint64))[0]
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows on the way to a score: a text's tokens and base part, its frequent tokens and their score, rare words, and
+#: rare pairs by bucket.
+WORDS, SEEN, RARE, KINDS = 0, 1, 2, 32
 _STEPS = 16  # bins of the likelihood ratio per unit of its logarithm
 
 
@@ -106,7 +109,7 @@ def count_words(train: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFrame:
-    """Rows (p, cur, c1, bucket, c12) of every bigram whose context is kept; ``frequent`` is a broadcast :class:`Frequent`."""
+    """Rows (p, cur, c1, c12) of every bigram whose context is kept; ``frequent`` is a broadcast :class:`Frequent`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         pairs: list[np.ndarray] = []
@@ -117,12 +120,11 @@ def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFr
         def flush() -> pa.RecordBatch:
             p, first, n = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
             cur, at = np.concatenate(ends)[first], np.concatenate(contexts)[first]
-            c, bucket = known.context(at, np.ones(len(at), bool))
+            c = known.counts[at]
             for held_back in (pairs, ends, contexts):
                 held_back.clear()
             return pa.RecordBatch.from_arrays(
-                [_signed(p), _signed(cur), pa.array(c), pa.array(bucket), pa.array(n.astype(np.int64))],
-                ["p", "cur", "c1", "bucket", "c12"])
+                [_signed(p), _signed(cur), pa.array(c), pa.array(n.astype(np.int64))], ["p", "cur", "c1", "c12"])
 
         for batch in batches:
             for chunk in chunks(batch.column(0)):
@@ -143,8 +145,8 @@ def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFr
             yield flush()
 
     return (train.select(F.coalesce(F.col(text_column), F.lit("")))
-            .mapInArrow(run, "p long, cur long, c1 long, bucket long, c12 long")
-            .groupBy("p", "cur", "c1", "bucket").agg(F.sum("c12").alias("c12")))
+            .mapInArrow(run, "p long, cur long, c1 long, c12 long")
+            .groupBy("p", "cur", "c1").agg(F.sum("c12").alias("c12")))
 
 
 def learn_weights(bins: list[tuple[int, int | None, float]], rounds: int = 50) -> np.ndarray:
@@ -187,8 +189,9 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     counted = count_pairs(docs, spark.sparkContext.broadcast(frequent), text_column)
     total = frequent.total
     p1 = (F.col("c") + ADD) / F.lit(total)
-    pairs = cut(counted.join(words.withColumnRenamed("w", "cur"), "cur").select(
-        "p", "bucket", "c12", (F.col("c12") / F.col("c1") / p1).alias("gain"),
+    bucket = F.floor(F.log2(F.col("c1") / F.lit(float(max(n, 1)))) + BUCKETS).cast("int")
+    pairs = stored(counted.join(words.withColumnRenamed("w", "cur"), "cur").select(
+        "p", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), bucket)).alias("bucket"), "c12", (F.col("c12") / F.col("c1") / p1).alias("gain"),
         F.when(F.col("c12") > 1, F.round(F.log((F.col("c12") - 1) / (F.col("c1") - 1) / p1) * _STEPS).cast("int")).alias("bin")))
     bins = pairs.groupBy("bucket", "bin").agg(F.sum("c12")).collect()  # buckets times bins: a few thousand at most
     frequent.weights = learn_weights([(r[0], r[1], float(r[2])) for r in bins])
@@ -233,43 +236,40 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "t
                 fix = np.log10(w[bucket] * gain + 1 - w[bucket])
                 base = np.bincount(row_of, lp, chunk.rows)
                 own = rows[chunk.first: chunk.last]
-                yield out(own, 0, own, np.diff(bounds), base,
-                          base + np.bincount(row_of[cur], fix, chunk.rows), np.bincount(row_of, found, chunk.rows).astype(np.int64), 1)
-                for kind, who, what, where in ((1, row_of[~found], tokens[~found], np.full(int((~found).sum()), none)),
-                                               (2, row_of[cur[~pfound]], pairs[~pfound], bucket[~pfound].astype(float))):
-                    if not len(who):
-                        continue
-                    _, first, m = np.unique(mix(what + who.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
-                    k = len(first)
-                    yield out(rows[chunk.first + who[first]], kind, what[first].view(np.int64), m, where[first],
-                              np.zeros(k), np.zeros(k, np.int64), 0)
-
-    def out(row, kind, key, n, x, y, seen, unit) -> pa.RecordBatch:
-        k = len(row)
+                yield out(own, own, np.diff(bounds), WORDS, base)
+                yield out(own, own, np.bincount(row_of, found, chunk.rows).astype(np.int64), SEEN,
+                          base + np.bincount(row_of[cur], fix, chunk.rows))
+                for who, what, kind in ((row_of[~found], tokens[~found], np.full(int((~found).sum()), RARE)),
+                                        (row_of[cur[~pfound]], pairs[~pfound], RARE + 1 + bucket[~pfound])):
+                    if len(who):
+                        _, first, m = np.unique(mix(what + who.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
+                        yield out(rows[chunk.first + who[first]], what[first].view(np.int64), m, kind[first], np.zeros(len(first)))
+
+    def out(row, key, n, kind, x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(row), pa.array(np.full(k, kind, np.int32)), pa.array(np.ascontiguousarray(key)), pa.array(np.asarray(n, np.int64)),
-             pa.array(np.asarray(x, float)), pa.array(np.asarray(y, float)), pa.array(seen), pa.array(np.full(k, unit, np.int32))],
-            ["_row", "kind", "key", "n", "x", "y", "seen", "unit"])
+            [pa.array(row), pa.array(np.ascontiguousarray(key)), pa.array(np.asarray(n, np.int64) * KINDS + kind), pa.array(x)],
+            ["_row", "key", "what", "x"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     # documents with equal carried columns and text have equal results, so this number may stand for the row
     same = F.xxhash64(*[F.col(c) for c in carry], *[F.col(c).isNull() for c in carry], text)
     parts = docs.select(same.alias("_row"), text.alias("_text")).mapInArrow(
-        run, "_row long, kind int, key long, n long, x double, y double, seen long, unit int")
+        run, "_row long, key long, what long, x double").select(
+            "_row", "key", F.expr(f"what div {KINDS}").alias("n"), F.expr(f"what % {KINDS}").cast("int").alias("kind"), "x")
     frequent = shared.value
     total, none = frequent.total, float(np.log10(ADD / frequent.total))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in frequent.weights]), F.col("x").cast("int") + 1)
-    table = (model.words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.col("c").cast("double").alias("value"))
-             .unionByName(model.pairs.select(F.lit(2).alias("kind"), F.col("p").alias("key"), F.col("gain").alias("value"))))
-    met = parts.join(table, ["kind", "key"], "left")
-    head, word, hit = F.col("kind") == 0, F.col("kind") == 1, F.col("value").isNotNull()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in frequent.weights]), F.greatest(F.col("kind") - RARE, F.lit(1)))
+    table = (model.words.select(F.col("w").alias("key"), F.col("c").cast("double").alias("value"))
+             .unionByName(model.pairs.select(F.col("p").alias("key"), F.col("gain").alias("value"))))
+    met = parts.join(table, "key", "left")
+    is_head, is_seen, word, hit = F.col("kind") == WORDS, F.col("kind") == SEEN, F.col("kind") == RARE, F.col("value").isNotNull()
     lp = F.when(hit, F.log10((F.col("value") + ADD) / F.lit(total))).otherwise(F.lit(none)) * F.col("n")
     fix = F.when(hit, F.log10(weight * F.col("value") + 1 - weight) - F.log10(1 - weight)).otherwise(0.0) * F.col("n")
     sums = met.groupBy("_row").agg(
-        F.sum(F.when(head, F.col("x")).when(word, lp).otherwise(0.0)).alias("x"),
-        F.sum(F.when(head, F.col("y")).when(word, lp).otherwise(fix)).alias("y"),
-        F.sum(F.when(head, F.col("seen")).when(word & hit, F.col("n")).otherwise(0)).alias("seen"),
-        F.sum(F.when(head, F.col("n")).otherwise(0)).alias("n"), F.sum("unit").alias("unit"))
+        F.sum(F.when(is_head, F.col("x")).when(word, lp).otherwise(0.0)).alias("x"),
+        F.sum(F.when(is_head, 0.0).when(is_seen, F.col("x")).when(word, lp).otherwise(fix)).alias("y"),
+        F.sum(F.when(is_seen | (word & hit), F.col("n")).otherwise(0)).alias("seen"),
+        F.sum(F.when(is_head, F.col("n")).otherwise(0)).alias("n"), F.sum(is_head.cast("int")).alias("unit"))
     one = sums.select("_row", (F.col("n") / F.col("unit")).cast("long").alias("n_tokens"),
                       (F.col("seen") / F.col("unit")).cast("long").alias("n_known"),
                       F.lit(model.n).cast("long").alias("train_tokens"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a compressed table: smaller than a checkpoint for long results, but kept until it is deleted."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, spark: SparkSession | None = None, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root), root the smallest node of each component.
 
@@ -68,6 +77,19 @@ def components(edges: DataFrame, spark: SparkSession | None = None, max_rounds:
     raise RuntimeError("components did not settle")
 
 
+def with_columns(docs: DataFrame, carry: list[str], more: str) -> StructType:
+    """Schema of the carried columns of ``docs`` followed by those of a DDL text."""
+    return StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(more).fields])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores put in front until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class HashFilter:
     """Fixed-size filter of 64-bit hashes: no false negatives, false positives only cost work in the exact step after it.
 

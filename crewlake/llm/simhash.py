@@ -137,17 +137,17 @@ def _shards(distinct: DataFrame, radius: int, blocks: int, shard: int) -> DataFr
         return m - (1 << 64) if m >> 63 else m
 
     def keyed(df: DataFrame, masks: list[int]) -> DataFrame:
-        return df.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks]))).select(
+        return df.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(
             "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
     def counted(df: DataFrame) -> DataFrame:
         many = df.groupBy("mask", "key").count().filter("count > 1")
         return cut(df.join(many, ["mask", "key"]))
 
-    first = _masks(bits, radius, blocks)
+    first = [signed(m) for m in _masks(bits, radius, blocks)]
     now = counted(keyed(distinct, first))
     ready = now.filter(F.col("count") <= shard).select("mask", "key", "fp")
-    left = {signed(m): [b for b in bits if not m >> b & 1] for m in first}
+    left = {m: [b for b in bits if not m >> b & 1] for m in first}
     while True:
         over = now.filter(F.col("count") > shard)
         wide = [r[0] for r in over.select("mask").distinct().collect()]  # masks are a fixed list, a few hundred at most

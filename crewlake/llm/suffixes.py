@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlake.llm.shared import HashFilter, cut
+from crewlake.llm.shared import HashFilter, cut, with_columns
 from crewlake.llm.textbytes import LETTER, Chunk, chunks, lowest_in_windows, mix
 
 LENGTH, GRAM = 200, 64
@@ -279,8 +279,9 @@ def _by_hash(tuples: DataFrame, length: int, gram: int) -> DataFrame:
                      batch.column(4).take(which)], ["anchor", "around", "near", "string", "n"])
 
     each = one.select("anchor", "around", "left", "right", "n").mapInArrow(strings, "anchor long, around long, near long, string long, n long")
-    many = each.groupBy("anchor", "string").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
-    return each.join(many, ["anchor", "string"]).select("anchor", "around", "near", F.col("near").alias("far")).filter(F.col("near") <= reach)
+    # at one distance from the anchor: a run of one letter holds its anchor at several places
+    many = each.groupBy("anchor", "near", "string").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
+    return each.join(many, ["anchor", "near", "string"]).select("anchor", "around", "near", F.col("near").alias("far")).filter(F.col("near") <= reach)
 
 
 def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
@@ -326,7 +327,10 @@ def remove_repeats(docs: DataFrame, carry: list[str], text_column: str = "text",
     """
     spans = repeated_spans(docs, text_column, **options)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    marked = docs.select(*carry, text.cast("binary").alias("_text"), *_keys(text)).join(spans, ["h1", "h2"], "left").select(*carry, "_text", "spans")
+    h1, h2 = _keys(text)
+    marked = (docs.select(*carry, text.cast("binary").alias("_text"), h1.alias("_h1"), h2.alias("_h2"))
+              .join(spans.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("spans").alias("_spans")), ["_h1", "_h2"], "left")
+              .select(*carry, "_text", "_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,6 +343,5 @@ def remove_repeats(docs: DataFrame, carry: list[str], text_column: str = "text",
                  pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry),
-                        "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"])
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(run, with_columns(
+        docs, carry, "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
