@@ -45,14 +45,27 @@ def to_number(c: Column | str) -> Column:
     return F.when(~F.isnan(n), n)
 
 
+def _whole(c: Column | str) -> Column:
+    """Digits as they stand (a tail of ``.000`` is dropped), so ids beyond 2**53 keep every digit; NULL for other text."""
+    t = F.trim(as_col(c).cast("string"))
+    return F.regexp_replace(t, r"^([+-]?\d+)\.0*$", "$1").try_cast("bigint")
+
+
 def to_int(c: Column | str) -> Column:
-    """Whole number, NULL when the text is not one."""
-    return F.trim(as_col(c).cast("string")).try_cast("bigint")
+    """Whole number, NULL when the value is not one.
+
+    A number column counts where it holds a whole number (JSON makes a column double as soon as one value has a point); a
+    text must be digits alone.
+    """
+    n = to_number(c)
+    number = F.typeof(as_col(c)).rlike("^(double|float|decimal)")
+    return F.when(number, F.when(n == F.floor(n), n.try_cast("bigint"))).otherwise(
+        F.trim(as_col(c).cast("string")).try_cast("bigint"))
 
 
 def lookup_key(c: Column | str) -> Column:
-    """``48``, ``48.0`` and ``' 48 '`` become the same key, other text is NULL."""
-    return to_number(c).try_cast("bigint").cast("string")
+    """``48``, ``48.0`` and ``' 48 '`` become the same key, other text is NULL; decimals are cut off."""
+    return F.coalesce(_whole(c), to_number(c).try_cast("bigint")).cast("string")
 
 
 def norm_id(c: Column | str) -> Column:

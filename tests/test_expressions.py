@@ -57,3 +57,10 @@ def test_phrases(one):
             l=phrases.range_label(F.lit("2026-07-20"), F.lit("2026-07-26"), F.lit(None).cast("string"), "2026-07-29"),
             t=phrases.schedule_intent(F.lit("timesheet or roster")))
     assert (r.r.date_from, r.r.date_to, r.m.period, r.l, r.t) == ("2026-07-20", "2026-07-26", "2026-04", "last_week", "timesheet")
+
+
+def test_ids_of_number_columns_and_long_ids(spark):
+    df = spark.createDataFrame([(6.0, "9007199254740993", "9007199254740993.0"), (6.5, "x", None)], "d double, t string, p string")
+    rows = df.select(E.to_int("d").alias("i"), E.norm_id("d").alias("n"), E.norm_id("t").alias("big"), E.lookup_key("p").alias("key"), E.to_int("t").alias("whole")).collect()
+    assert tuple(rows[0]) == (6, "6", "9007199254740993", "9007199254740993", 9007199254740993)
+    assert rows[1].i is None and rows[1].big == "x" and rows[1].key is None
