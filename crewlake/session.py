@@ -7,6 +7,7 @@ override any of them; operators never depend on a particular value.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,20 @@ SCALE_SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from the session's ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without: it gets a temporary folder.  Elsewhere each executor would write to its
+    own disk, so a missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not str(spark.conf.get("spark.master", "")).startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="crewlake-")
+    return folder
+
+
 def build_session(app: str = "crewlake", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the scale settings; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)

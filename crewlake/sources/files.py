@@ -37,10 +37,6 @@ def file_index(files: DataFrame, position: str = "_pos") -> DataFrame:
     )
 
 
-def sorted_index(index: DataFrame) -> DataFrame:
-    return index.orderBy("site", "library", "folder_path", "file_name")
-
-
 def table_version(df: DataFrame) -> DataFrame:
     """Newest file time behind a table, from file metadata (no data column is read)."""
     return df.select(F.col("_metadata.file_path").alias("p"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewlake.functions.ordered import latest
-from crewlake.sources.gold_io import exists
+from crewlake.sources.gold_io import exists, remove
 
 # --- fixed values ---------------------------------------------------------------------------
 LOOKBACK_HOURS = 48
@@ -81,11 +81,6 @@ class VersionGate:
         return self._table
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared folder the cluster names for checkpoints; the fallback is for sessions without one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
-
-
 def key_bucket(keys: Sequence[str], buckets: int = MERGE_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
@@ -111,9 +106,12 @@ def merge_batch(batch: DataFrame, root: str, keys: Sequence[str], watermark: str
         # a static overwrite leaves the success marker that the rerun looks for
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "static")
                .partitionBy("_bucket").parquet(staging))
-    done = spark.read.parquet(staging)
-    (done.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_bucket").parquet(table))
+    # rebalancing gathers the rows of a bucket in few files and still splits large buckets over several tasks
+    done = spark.read.parquet(staging).hint("rebalance", "_bucket")
+    (done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table))
+    # a repeated batch would be merged again, which changes nothing: a stored row wins against an equal one
+    if not remove(spark, staging):
+        raise OSError(f"{staging} cannot be deleted")
 
 
 def read_merged(spark: SparkSession, root: str) -> DataFrame:

@@ -82,3 +82,16 @@ def test_deletes_are_marked_and_undone(spark):
     assert {r.id: r.is_deleted for r in gone.collect()} == {1: False, 2: True}
     back = I.reconcile_deletes(gone, t, ["id"], "2026-01-02 00:00:00")
     assert not any(r.is_deleted for r in back.collect()) and back.filter(F.col("deleted_at").isNotNull()).count() == 0
+
+
+def test_lost_publication_keeps_the_old_table(spark, tmp_path):
+    from crewlake.sources import gold_io
+    root = str(tmp_path)
+    one, two = spark.range(3), spark.range(5)
+    assert gold_io.read_gold(spark, root, "t") is None and gold_io.write_gold(one, root, "t")
+    two.write.parquet(f"{root}/gold/t/v-lost")  # a version whose job ended before its pointer was written
+    assert gold_io.read_gold(spark, root, "t").count() == 3
+    for n in (5, 6, 7):
+        assert gold_io.write_gold(spark.range(n), root, "t")
+    assert gold_io.read_gold(spark, root, "t").count() == 7
+    assert not gold_io.write_gold(spark.range(1).select(), root, "t") and gold_io.read_gold(spark, root, "t").count() == 7
