@@ -36,28 +36,28 @@ DRILL_PATHS = {
 ALERT_RULES = [
     # rule, metric, comparison, threshold, severity, message, recommended action
     ("workforce_risk_high", "workforce_risk", ">=", "50", "red",
-     "{value} rostered-worker and expired-certificate combinations in the last 30 days; re-validate before deployment.",
+     "Rostered since 30 days ago with an expired certificate: {value} pairs of worker and certificate.",
      "Open compliance review: re-validate certs for rostered workers first"),
     ("certs_expiring_week", "expiring_7d", ">=", "5", "amber",
-     "{value} certificates expire within 7 days; book renewals now.",
+     "Certificates due within 7 days: {value}.",
      "Book renewals for the 7-day list this week"),
     ("deployable_pool_thin", "deployable", "<=", "10", "amber",
-     "Only {value} fully compliant field workers are deployable right now.",
+     "Field workers ready to deploy: {value}.",
      "Start recruitment or free up bench workers"),
     ("supplier_risk_concentrated", "top_supplier_expired", ">=", "100", "amber",
-     "One supplier concentrates {value} expired certificates.",
+     "Most expired certificates at one supplier: {value} ({top_supplier_name}).",
      "Raise at the next supplier review meeting"),
     ("weekly_hours_swing", "hours_wow_change_pct", "abs>=", "30", "amber",
-     "Actual worked hours moved {value}% week on week.",
+     "Weekly hours changed by {value} %: {hours_prev} h before, {hours_last} h now.",
      "Check rosters and timesheets for the swing"),
     ("data_quality_not_ok", "sentinel_status", "!=", "OK", "red",
-     "Data quality sentinel reports {value}; numbers may be unreliable.",
+     "Data quality status: {value}.",
      "Check the data quality report before trusting today's numbers"),
     ("roster_horizon_short", "roster_horizon_days", "<", "60", "red",
-     "Roster data only extends {value} days ahead.",
+     "Days of roster ahead: {value}.",
      "Check the roster extraction window"),
     ("gold_stale", "gold_age_hours", ">", "30", "amber",
-     "Gold data is {value} hours old; the refresh may have failed.",
+     "Age of the published tables: {value} hours.",
      "Check the nightly refresh or run the pipeline manually"),
     ("accounts_sync_stale", "xero_age_days", ">", "14", "amber",
      "Financial data is {value} days behind.", None),
@@ -272,7 +272,13 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
     Numbers compare as numbers, texts as texts; a missing metric never fires.
     """
-    hit = metrics.filter("value IS NOT NULL").join(rules, "metric")
+    known = metrics.filter("value IS NOT NULL")
+    hit = known.join(rules, "metric")
+    # what a message mentions besides its own value, looked up among the metrics; one small map per rule
+    named = rules.select("rule", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"\{(\w+)\}"), 1))).alias("_name"))
+    filled = named.join(known.select(F.col("metric").alias("_name"), F.col("value").alias("_value")), "_name").groupBy("rule").agg(
+        F.collect_list(F.struct(F.concat(F.lit("{"), "_name", F.lit("}")).alias("mark"), F.col("_value").alias("text"))).alias("_filled"))
+    hit = hit.join(filled, "rule", "left")
     v, t = F.col("value").try_cast("double"), F.col("threshold").try_cast("double")
     numeric = v.isNotNull() & t.isNotNull()
     same = F.when(numeric, v == t).otherwise(F.col("value") == F.col("threshold"))
@@ -285,7 +291,8 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return (hit.filter(F.coalesce(fired, F.lit(False)))
             .withColumn("severity_rank", F.coalesce(F.try_element_at(order, F.col("severity")), F.lit(3)))
             .select("rule", "severity", "severity_rank", "metric", "value",
-                    F.replace("message", F.lit("{value}"), F.col("value")).alias("message"), "action")
+                    F.aggregate(F.coalesce("_filled", F.array().cast("array<struct<mark:string,text:string>>")),
+                                F.replace("message", F.lit("{value}"), F.col("value")), lambda m, x: F.replace(m, x["mark"], x["text"])).alias("message"), "action")
             .orderBy("severity_rank", "rule"))
 
 
@@ -317,8 +324,3 @@ def recommendations(one_row: DataFrame, templates: Mapping[str, str]) -> DataFra
     rows = long_metrics(one_row).filter(F.col("value").try_cast("double") > 0)
     text = reduce(lambda acc, kv: acc.when(F.col("metric") == kv[0], F.lit(kv[1])), templates.items(), F.when(F.lit(False), F.lit("")))
     return rows.withColumn("text", F.replace(text, F.lit("{value}"), F.col("value"))).filter("text IS NOT NULL")
-
-
-def deployable_preview(profile, certs, roster, as_of: AsOf, positions=tuple(FIELD_POSITIONS), top_n: int = 12) -> DataFrame:
-    return find_deployable_workers(profile, certs, roster, as_of, positions).select(
-        full_name().alias("name"), "position_name", "supplier_name").orderBy("name").limit(int(top_n))

@@ -282,7 +282,9 @@ def hseq_register(flat: DataFrame, as_of: AsOf) -> DataFrame:
 def purchase_summary(purchase: DataFrame, suppliers: DataFrame) -> DataFrame:
     """One row per purchase with header values, line count and computed total."""
     total = to_number("unit_count") * to_number("unit_cost")
-    head = [F.first(c, ignorenulls=True).alias(c) for c in ("supplier_id", "inv_number", "inv_amount", "invoice_date")]
+    # header values of the first line that has one, in the order of the line ids
+    line = F.col("purchase_item_id") if "purchase_item_id" in purchase.columns else None
+    head = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(c) if line is None else line)).alias(c) for c in ("supplier_id", "inv_number", "inv_amount", "invoice_date")]
     out = purchase.groupBy("purchase_id").agg(*head, F.count("*").alias("line_count"),
                                               F.coalesce(F.sum(total), F.lit(0.0)).alias("computed_total"))
     return lookup_title(out, "supplier_id", suppliers, "supplier_name")

@@ -11,11 +11,10 @@ from pyspark.sql import types as T
 
 from crewlake.functions.costs import avoided_cost
 from crewlake.functions.scalars import has_text
-from crewlake.spec import GOLD, ROLES, TableSpec
+from crewlake.spec import GOLD, ROLES, TableSpec, check_join_key
 
 # --- fixed values ---------------------------------------------------------------------------
-DEFAULT_ROWS, MAX_ROWS = 100, 1000
-RAW_ROLE, RAW_MATCHES = "Admin_IT", 8
+RAW_ROLE = "Admin_IT"
 SECRET_MASK = "[REDACTED:secret]"
 SECRET_PATTERNS = [
     r"AccountKey=[A-Za-z0-9+/=]{20,}",
@@ -53,16 +52,9 @@ def governed_view(df: DataFrame, table: str | TableSpec, role: str = "default",
     return df.select(*columns)
 
 
-def register_views(tables: Mapping[str, DataFrame], role: str = "default") -> list[str]:
-    """One governed temporary view per table, named after the table."""
-    for name, df in tables.items():
-        governed_view(df, name, role).createOrReplaceTempView(name)
-    return sorted(tables)
-
-
-def capped(df: DataFrame, n: int | None = None) -> DataFrame:
-    """R2: the serving row cap, applied to the final frame whatever built it."""
-    return df.limit(min(int(n or DEFAULT_ROWS), MAX_ROWS))
+def capped(df: DataFrame, n: int) -> DataFrame:
+    """R2: the serving row cap, applied to the final frame whatever built it; the number is the caller's and is kept."""
+    return df.limit(int(n))
 
 
 def _rewrite(c: Column, kind: T.DataType, name: str, leaf: Callable[[Column, T.DataType, str], Column]) -> Column:
@@ -138,7 +130,7 @@ def access_report(log: DataFrame) -> DataFrame:
     return log.groupBy("tool", "role").agg(
         F.count("*").alias("calls"), F.count_if(~F.col("allowed")).alias("denied"),
         F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
-        F.percentile_approx("latency_ms", 0.95).alias("p95_latency_ms"), F.sum("row_count").alias("rows"),
+        F.round(F.percentile("latency_ms", 0.95), 4).alias("p95_latency_ms"), F.sum("row_count").alias("rows"),
         F.round(F.sum(avoided_cost("payload")), 6).alias("avoided_usd"))
 
 
@@ -153,14 +145,20 @@ def user_roles(users: DataFrame, group_roles: DataFrame, precedence: Sequence[st
 
 
 def raw_lookup(tables: Mapping[str, DataFrame], targets: Sequence[tuple[str, str]], term: str, role: str,
-               limit: int = RAW_MATCHES) -> DataFrame:
-    """Where a name occurs in the unvalidated mirror: up to ``limit`` distinct values per listed column."""
+               limit: int | None = None) -> DataFrame:
+    """Where a name occurs in the unvalidated mirror: distinct values per listed column, the first ``limit`` if asked for."""
     if role != RAW_ROLE:
         raise PermissionError(f"raw layer access requires the {RAW_ROLE} role")
     parts = []
     for table, column in targets:
         if table in tables and column in tables[table].columns:
             hit = tables[table].filter(has_text(f"`{column}`", term)).select(F.col(f"`{column}`").alias("value"))
-            parts.append(hit.distinct().orderBy("value").limit(int(limit)).select(
+            found = hit.distinct()
+            parts.append((found if limit is None else found.orderBy("value").limit(int(limit))).select(
                 F.lit(table).alias("table"), F.lit(column).alias("column"), "value"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def join_published(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join two published tables; only a registered identity key may connect them."""
+    return left.join(right, check_join_key(key), how)

@@ -51,7 +51,7 @@ def project_hours_status(jobs: DataFrame, roster: DataFrame, weekly: DataFrame,
 def link_cells(rows: DataFrame, id_col: str, title_col: str, columns: Sequence[str]) -> DataFrame:
     """One row per link cell with its parts."""
     present = [c for c in columns if c in rows.columns]
-    long = rows.select(F.col(id_col).alias("jobid"), F.substring(F.col(title_col), 1, 60).alias("title"),
+    long = rows.select(F.col(id_col).alias("jobid"), F.col(title_col).alias("title"),
                        *present).unpivot(["jobid", "title"], present, "column", "cell")
     parts = link_cell("cell")
     return long.select("jobid", "title", "column", "cell",

@@ -19,7 +19,6 @@ CATEGORIES = ["semantic_gap", "time_parse_error", "entity_resolution_error", "to
               "business_definition_gap", "data_quality_issue", "answer_quality_issue"]
 EXECUTED_RESULTS = ["resolved", "failed", "partial"]
 OPEN_STATES = ["rejected", "approved", "pending_approval", "manual", "snoozed", "risk_accepted"]
-TITLE_CHARS, LIST_SIZE, RECENT_QUESTIONS, QUESTION_CHARS = 60, 20, 50, 100
 NUDGE_DAYS = 3
 # ----------------------------------------------------------------------------------------------
 
@@ -31,17 +30,18 @@ def merge_feedback(traces: DataFrame, feedback: DataFrame) -> DataFrame:
         "correction_flag", F.coalesce("correction_flag", F.lit(False)))
 
 
-def conversations(traces: DataFrame, limit: int = LIST_SIZE, exclude_test: bool = True, user: str | None = None) -> DataFrame:
-    """L2: newest conversations with their first question as title."""
+def conversations(traces: DataFrame, limit: int | None = None, exclude_test: bool = True, user: str | None = None) -> DataFrame:
+    """L2: conversations, newest first, with their first question as title."""
     rows = traces.filter("conversation_id IS NOT NULL")
     if exclude_test:
         rows = rows.filter(~F.lower(F.col("conversation_id").cast("string")).contains("test"))
     if user:
         rows = rows.filter(F.col("user") == user)
-    return rows.groupBy("conversation_id").agg(
-        F.substring(F.min_by("question", F.struct("ts", "turn")), 1, TITLE_CHARS).alias("title"),
+    out = rows.groupBy("conversation_id").agg(
+        F.min_by("question", F.struct("ts", "turn")).alias("title"),
         F.count("*").alias("turns"), F.max("ts").alias("last_ts")).orderBy(
-        F.desc("last_ts"), F.desc("conversation_id")).limit(int(limit))
+        F.desc("last_ts"), F.desc("conversation_id"))
+    return out if limit is None else out.limit(int(limit))
 
 
 def conversation_turns(traces: DataFrame, conversation_id=None) -> DataFrame:
@@ -138,8 +138,10 @@ def failure_streaks(runs: DataFrame) -> DataFrame:
     with one row per job instead of a window over each job's history.
     """
     failed = F.col("status") == "Failed"
+    # of runs that began together the one with the highest id counts as the last
+    last = F.struct(*[c for c in ("started", "run_id", "status") if c in runs.columns])
     per_job = runs.groupBy("job").agg(F.max(F.when(~failed, F.col("started"))).alias("last_good"),
-                                      F.max_by("status", "started").alias("latest_status"), F.count("*").alias("runs"))
+                                      F.max_by("status", last).alias("latest_status"), F.count("*").alias("runs"))
     after = (runs.filter(failed).select("job", "started").join(per_job.select("job", "last_good"), "job")
              .filter(F.col("last_good").isNull() | (F.col("started") > F.col("last_good")))
              .groupBy("job").agg(F.count("*").alias("streak")))
@@ -173,8 +175,7 @@ def user_focus(questions: DataFrame) -> DataFrame:
         F.count("*").alias("questions"))
 
 
-def recent_questions(questions: DataFrame, keep: int = RECENT_QUESTIONS) -> DataFrame:
-    """The newest questions of each user, shortened."""
+def recent_questions(questions: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` questions of each user."""
     w = Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("question_id"))
-    return (questions.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= int(keep))
-            .select("user", "n", F.substring("question", 1, QUESTION_CHARS).alias("question")))
+    return questions.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= int(keep)).select("user", "n", "question")

@@ -18,7 +18,6 @@ STALE_DAYS = {"accounts": 30}
 STALE_DEFAULT = 2
 LEVELS = {"OK": 0, "WARN": 1, "FAIL": 2}
 SEVERITIES = ["low", "medium", "high", "critical"]
-EVIDENCE_ROWS = 10
 NULL_CEILINGS = {
     ("employee_profile", "first_name"): 0.05,
     ("training_compliance", "is_expired"): 0.01,
@@ -154,7 +153,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         add("nulls", f.name, F.count_if(c.isNull()))
         if isinstance(f.dataType, T.NumericType):
-            add("sum", f.name, F.format_string("%.4f", F.coalesce(F.sum(c.cast("double")), F.lit(0.0))))
+            add("sum", f.name, F.coalesce(F.sum(c.cast("decimal(38,4)")), F.lit(0).cast("decimal(38,4)")))
         if dated(f.name):
             add("min", f.name, F.min(c))
             add("max", f.name, F.max(c))
@@ -272,13 +271,15 @@ def issue_rollup(issues: DataFrame, known: DataFrame, by: str) -> DataFrame:
         F.coalesce("severity", F.lit("healthy")).alias("severity"))
 
 
-def issue_evidence(certs: DataFrame, top: int = EVIDENCE_ROWS) -> DataFrame:
-    """Q13: the first records behind each certificate issue, worst first."""
+def issue_evidence(certs: DataFrame, top: int | None = None) -> DataFrame:
+    """Q13: the records behind each certificate issue, worst first; only the ``top`` worst of each if asked for."""
     tag = F.when(F.col("is_expired"), "iss-cert-expired").when(week_due(), "iss-cert-7d")
     w = Window.partitionBy("issue_id").orderBy("days_to_expiry", "training_record_id")
-    return (certs.withColumn("issue_id", tag).filter("issue_id IS NOT NULL").withColumn("n", F.row_number().over(w))
-            .filter(F.col("n") <= top)
-            .select("issue_id", "n", "opms_employee_id", F.concat_ws(" ", "first_name", "last_name").alias("name"),
+    rows = certs.withColumn("issue_id", tag).filter("issue_id IS NOT NULL")
+    if top is not None:
+        rows = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= int(top))
+    return (rows.orderBy("issue_id", "days_to_expiry", "training_record_id")
+            .select("issue_id", "opms_employee_id", F.concat_ws(" ", "first_name", "last_name").alias("name"),
                     "competency_name", "expiry_date", F.abs("days_to_expiry").alias("days")))
 
 

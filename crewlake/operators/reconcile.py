@@ -261,6 +261,8 @@ def weekly_timesheet(lines: DataFrame, hours: DataFrame, gaps: DataFrame, contex
     day = ["opms", "work_date"]
     matched = sited.join(hours, day, "left").join(gaps, day, "left")
     if mode != "reference":
+        if "_pos" not in lines.columns:
+            raise ValueError("roster lines need their position (_pos): without it the first line of a day is unknown")
         # only the first line of a day keeps hours: one small row per worker-day decides which
         firsts = sited.groupBy(*day).agg(F.min("_pos").alias("_first"))
         matched = matched.join(firsts, day, "left")

@@ -27,13 +27,13 @@ EXPLICIT = r"(?i)(site|project|client|supplier|company)\s*[=:：]\s*([A-Za-z0-9
 RARE_TO_COMMON = "qjzxvkwyfbghmpduclsntoirae0123456789"
 SORT_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij"
 
-CHITCHAT = r"(?i)^(hi|hello|hey|thanks?|thank you|ok|okay|cool|great|good|nice|bye|你好|谢谢|好的|嗯|哈喽)\W*$"
+CHITCHAT = r"(?iU)^(hi|hello|hey|thanks?|thank you|ok|okay|cool|great|good|nice|bye|你好|谢谢|好的|嗯|哈喽)\W*$"
 QUESTION = (r"(?i)[?？]|^(who|what|which|how|when|where|is |are |do |does |can |show|list|give|"
             r"谁|什么|哪|多少|怎么|是否|有没有)")
-SITE_RULE = r"(?i)([A-Za-z][A-Za-z0-9 \-_]{1,24}?)\s*(?:要求|的要求是|requires?|needs?)\s*[:：]?\s*(.+)"
-SUPPLIER_FLAG = (r"(?i)([A-Za-z一-鿿][\w\- ]{1,30}?)\s*(?:经常出问题|老出问题|有问题|不靠谱|风险很高|"
+SITE_RULE = r"(?iU)([A-Za-z][A-Za-z0-9 \-_]{1,24}?)\s*(?:要求|的要求是|requires?|needs?)\s*[:：]?\s*(.+)"
+SUPPLIER_FLAG = (r"(?iU)([A-Za-z一-鿿][\w\- ]{1,30}?)\s*(?:经常出问题|老出问题|有问题|不靠谱|风险很高|"
                  r"is (?:a )?(?:problem|risky|high[- ]risk)|keeps? (?:causing|having) (?:issues|problems))")
-DEFINITION = r"(?i)([A-Za-z一-鿿][\w ]{1,30}?)\s*(?:的定义是|的意思是|意思是|means|is defined as)\s+(.{3,200})"
+DEFINITION = r"(?iU)([A-Za-z一-鿿][\w ]{1,30}?)\s*(?:的定义是|的意思是|意思是|means|is defined as)\s+(.{3,200})"
 PREFERENCE = r"(?i)(?:我喜欢|我希望|每周给我|每天给我|I (?:like|prefer|want)|remind me|给我.*报告)"
 FACT = r"(?i)要求|规则|必须|记住|policy|rule|remember|always|never"
 TICKET_SPLIT = r"[,，、+\n]| and "
@@ -45,6 +45,10 @@ DATE_ARGS = ["date_from", "date_to", "month", "period", "year"]
 PERSON_ARGS = ["worker_id", "worker_name", "name"]
 PERSON_ARG = {"search_employee": "name", "get_employee_profile": "name"}
 NO_PERSON_ARG = ["get_worker_licences"]
+FOLLOWUP = (r"(?i)那|呢|换成|改成|那么|还有|这个|那个|他|她|这周|上周|下周|这个月|上个月"
+            r"|what about|how about|and (for|in|at)\b|same (for|but)|instead")
+FOLLOWUP_CHARS = 12
+ENTITY_ARGS = ["site", "project", "client"]
 # ----------------------------------------------------------------------------------------------
 
 
@@ -344,17 +348,29 @@ def recall_rules(questions: DataFrame, sites: Sequence[str], definitions: Sequen
 
 # --- T12 ---------------------------------------------------------------------------------------------------------
 
-def followups(turns: DataFrame, as_of: AsOf, bucket: Column | None = None) -> DataFrame:
+def reads_like_followup(c: Column | str) -> Column:
+    """Whether a text names a difference to what was asked before: a phrase of that kind, or next to nothing at all."""
+    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    return t.rlike(FOLLOWUP) | (F.length(t) <= FOLLOWUP_CHARS)
+
+
+def followups(turns: DataFrame, as_of: AsOf, bucket: Column | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Arguments of each turn after inheriting the last tool call before it.
 
-    ``turns`` is (conversation_id, turn, text, tool, function, args map<string,string>).  A new time
-    window or person in the text replaces the inherited one; turns that change nothing or
-    have nothing to inherit are left out.
+    ``turns`` is (conversation_id, turn, text, tool, function, args map<string,string>).  Only a text that reads like a
+    follow-up inherits.  A new time window, site, project, client or person in it replaces the inherited one; turns that
+    change nothing or have nothing to inherit are left out.  ``entities`` is (conversation_id, turn, type, value), the
+    entity that :func:`detect_mentions` finds in a turn.
     """
     usable = F.col("tool").isNotNull() & F.col("function").isNotNull() & ~F.col("tool").isin("memory", "meta")
     near = neighbour(turns, ["conversation_id"], ["turn"], F.floor(F.col("turn") / 256) if bucket is None else bucket,
                      ["tool", "function", "args"], only=usable)
-    rows = near.filter("prev IS NOT NULL")
+    rows = near.filter(F.col("prev").isNotNull() & reads_like_followup("text"))
+    if entities is None:
+        rows = rows.withColumn("_slot", F.lit(None).cast("string")).withColumn("_entity", F.lit(None).cast("string"))
+    else:
+        named = entities.filter(F.col("type").isin(ENTITY_ARGS)).select("conversation_id", "turn", F.col("type").alias("_slot"), F.col("value").alias("_entity"))
+        rows = rows.join(named, ["conversation_id", "turn"], "left")
     rows = rows.withColumn("_t", relative_range("text", as_of)).withColumn("_args", F.coalesce("prev.args", F.create_map().cast("map<string,string>")))
     ym = F.coalesce("_t.month", "_t.period")
     had_range = F.map_contains_key("_args", "date_from") | F.map_contains_key("_args", "date_to")
@@ -372,12 +388,16 @@ def followups(turns: DataFrame, as_of: AsOf, bucket: Column | None = None) -> Da
     def without(m: Column, keys: Sequence[str], cond: Column) -> Column:
         return F.map_filter(m, lambda k, v: ~(cond & k.isin(list(keys))))
 
+    swapped = F.coalesce(F.col("_slot").isNotNull() & ~F.try_element_at("_args", F.col("_slot")).eqNullSafe(F.col("_entity")), F.lit(False))
     base = without(without(F.col("_args"), DATE_ARGS, timed), PERSON_ARGS, person.isNotNull())
-    extra = F.when(person.isNotNull(), F.create_map(key, person)).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(base, F.when(timed, new_time).otherwise(F.create_map().cast("map<string,string>")), extra)
-    return rows.filter(timed | person.isNotNull()).select(
-        "conversation_id", "turn", F.col("prev.tool").alias("tool"), F.col("prev.function").alias("function"),
-        merged.alias("args"), timed.alias("time_changed"), person.isNotNull().alias("person_changed"))
+    base = F.map_filter(base, lambda k, v: ~(swapped & (k == F.col("_slot"))))
+    none = F.create_map().cast("map<string,string>")
+    extra = F.when(person.isNotNull(), F.create_map(key, person)).otherwise(none)
+    entity = F.when(swapped, F.create_map(F.coalesce("_slot", F.lit("")), F.col("_entity"))).otherwise(none)
+    merged = F.map_concat(base, F.when(timed, new_time).otherwise(none), extra, entity)
+    return rows.filter(timed | person.isNotNull() | swapped).select(
+        "conversation_id", "turn", F.col("prev.tool").alias("tool"), F.col("prev.function").alias("function"), merged.alias("args"),
+        timed.alias("time_changed"), person.isNotNull().alias("person_changed"), swapped.alias("entity_changed"))
 
 
 def alias_table(spark: SparkSession, aliases: Mapping[str, str]) -> DataFrame:

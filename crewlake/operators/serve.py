@@ -27,8 +27,6 @@ TICKET_WORDS = {
     "confined space": "confined", "confined_space": "confined",
     "gas test": "gas test", "gas_test": "gas test",
 }
-NEWEST_FILES, FOLDER_FILES, NEWEST_SIGNOUTS = 50, 100, 100
-FORM_ROWS_MAX, FORM_TEXT_COLUMNS, FILE_WORDS = 200, 14, 6
 RISK_LEVELS = [(50, "HIGH"), (10, "MEDIUM")]
 # ----------------------------------------------------------------------------------------------
 
@@ -40,6 +38,11 @@ def where(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, given)) if given else df
 
 
+def newest(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of a sorted answer; all of them unless a number is asked for."""
+    return df if n is None else df.limit(int(n))
+
+
 def contains(c: Column | str, term: str | None) -> Column | None:
     return None if not term else has_text(c, term)
 
@@ -378,19 +381,20 @@ def _signouts(ledger: DataFrame, item, location) -> DataFrame:
                  contains("from_location", location))
 
 
-def get_ppe_signouts(ledger: DataFrame, person=None, item=None, location=None, job=None, month=None) -> DataFrame:
-    """newest sign-outs."""
-    return where(_signouts(ledger, item, location), contains("person_name", person),
+def get_ppe_signouts(ledger: DataFrame, person=None, item=None, location=None, job=None, month=None,
+                     n: int | None = None) -> DataFrame:
+    """sign-outs, newest first."""
+    return newest(where(_signouts(ledger, item, location), contains("person_name", person),
                  any_contains(["job_code", "job_title", "project_name"], job), equals("txn_month", month)).select(
         "txn_date", "item_name", "units", "from_location", "person_name", "job_code", "project_name",
-        "bms_txn_id").orderBy(F.desc("txn_date"), F.desc("bms_txn_id")).limit(NEWEST_SIGNOUTS)
+        "bms_txn_id").orderBy(F.desc("txn_date"), F.desc("bms_txn_id")), n)
 
 
-def get_ppe_monthly_usage(ledger: DataFrame, item=None, location=None, project=None, months: int = 6) -> DataFrame:
-    """F35."""
-    return where(_signouts(ledger, item, location), contains("project_name", project)).groupBy("txn_month").agg(
+def get_ppe_monthly_usage(ledger: DataFrame, item=None, location=None, project=None, months: int | None = None) -> DataFrame:
+    """usage per month, newest first."""
+    return newest(where(_signouts(ledger, item, location), contains("project_name", project)).groupBy("txn_month").agg(
         F.sum("units").alias("total_units"), F.count("*").alias("sign_out_lines"),
-        F.countDistinct("person_name").alias("distinct_people")).orderBy(F.desc("txn_month")).limit(int(months))
+        F.countDistinct("person_name").alias("distinct_people")).orderBy(F.desc("txn_month")), months)
 
 
 def hardware_stock(hardware: DataFrame, term=None) -> DataFrame:
@@ -412,8 +416,16 @@ def get_purchase_summary(purchases: DataFrame, role: str = "default", supplier=N
         F.desc(order), "supplier_name")
 
 
-def get_client_revenue(revenue: DataFrame, role: str = "default", client=None, year=None) -> DataFrame:
-    """F38."""
+def _absent(columns: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """the typed empty answer of a source that is not loaded."""
+    return SparkSession.active().createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
+
+
+def get_client_revenue(revenue: DataFrame | None, role: str = "default", client=None, year=None) -> DataFrame:
+    """an absent source answers with no rows."""
+    if revenue is None:
+        money = ["invoiced", "paid", "outstanding"] if finance(role) else []
+        return _absent(["contact_name", "invoices", *money], ["string", "long", *["double"] * len(money)])
     aggs = [F.sum("invoices").alias("invoices")]
     if finance(role):
         aggs += [F.sum(c).alias(c) for c in ("invoiced", "paid", "outstanding")]
@@ -421,16 +433,22 @@ def get_client_revenue(revenue: DataFrame, role: str = "default", client=None, y
         *aggs).orderBy(F.desc("invoiced" if finance(role) else "invoices"), "contact_name")
 
 
-def get_outstanding_invoices(register: DataFrame, role: str = "default", client=None) -> DataFrame:
+def get_outstanding_invoices(register: DataFrame | None, role: str = "default", client=None) -> DataFrame:
     """F39."""
     cols = ["invoice_number", "contact_name", "job_code", "invoice_date", "due_date"]
+    if register is None:
+        money = ["total", "amount_due"] if finance(role) else []
+        return _absent([*cols, *money], [*["string"] * len(cols), *["double"] * len(money)])
     rows = where(register, F.col("invoice_type") == "ACCREC", F.col("status") == "AUTHORISED",
                  F.col("amount_due") > 0 if finance(role) else None, contains("contact_name", client))
     return rows.select(*cols, *(["total", "amount_due"] if finance(role) else [])).orderBy("due_date", "invoice_number")
 
 
-def get_project_revenue(register: DataFrame, role: str = "default", job_code: str | None = None) -> DataFrame:
+def get_project_revenue(register: DataFrame | None, role: str = "default", job_code: str | None = None) -> DataFrame:
     """every job code at once unless one is asked for."""
+    if register is None:
+        money = ["invoiced", "outstanding"] if finance(role) else []
+        return _absent(["job_code", "contact_name", "invoices", *money], ["string", "string", "long", *["double"] * len(money)])
     rows = where(register, F.col("invoice_type") == "ACCREC", F.col("job_code").isNotNull(), contains("job_code", job_code),
                  F.col("status").isin("AUTHORISED", "PAID") if finance(role) else None)
     aggs = [F.count("*").alias("invoices")]
@@ -447,11 +465,10 @@ def get_rate_card(rates: DataFrame, role: str = "default", project=None, positio
         "rate_title", "project_name", *cols).orderBy("project_name", "rate_title")
 
 
-def or_insufficient(table: DataFrame | None, question, spark: SparkSession, shape: str, name: str) -> tuple[DataFrame, str | None]:
-    """an absent source answers with a typed empty table and a caveat; other errors still raise."""
-    if table is None:
-        return spark.createDataFrame([], shape), f"insufficient_data: {name} is not loaded; no figure may be substituted"
-    return question(table), None
+def or_insufficient(table: DataFrame | None, question, name: str) -> tuple[DataFrame, str | None]:
+    """the answer, and a caveat when its source is absent; other errors still raise."""
+    caveat = None if table is not None else f"insufficient_data: {name} is not loaded; no figure may be substituted"
+    return question(table), caveat
 
 
 # --- safety and audit --------------------------------------------------------------------------------------------
@@ -464,11 +481,11 @@ def get_hseq_register(register: DataFrame, open_only=False, overdue_only=False,
         "is_overdue").orderBy("action_due_date")
 
 
-def get_audit_issues(audit: DataFrame, worker_id=None, event_type=None, limit: int = 100) -> DataFrame:
-    """newest changes."""
-    return where(audit, equals(WORKER, worker_id), contains("event_type", event_type)).select(
+def get_audit_issues(audit: DataFrame, worker_id=None, event_type=None, limit: int | None = None) -> DataFrame:
+    """changes, newest first."""
+    return newest(where(audit, equals(WORKER, worker_id), contains("event_type", event_type)).select(
         "created_at", "event_type", "first_name", "last_name", "change_log_id").orderBy(
-        F.desc("created_at"), F.desc("change_log_id")).limit(int(limit))
+        F.desc("created_at"), F.desc("change_log_id")), limit)
 
 
 def audit_event_breakdown(audit: DataFrame) -> DataFrame:
@@ -512,9 +529,8 @@ def worker_360(profile: DataFrame, certs: DataFrame, roster: DataFrame, months:
                worker_id=None, recent: int = 5) -> DataFrame:
     """everything about each worker; a worker id is just a filter pushed into every input.
 
-    Lists never grow with the data: the roster part holds the newest ``recent`` days (Spark
-    limits each group before the shuffle), licences are counted here and listed by
-    ``get_worker_licences``.
+    The roster part holds the newest ``recent`` days (Spark limits each group before the shuffle); licences are listed by
+    name, which is bounded by what one person holds.
     """
     p, c, r, m, li = (where(t, equals(WORKER, worker_id)) for t in (profile, certs, roster, months, licences))
     counts = c.groupBy(WORKER).agg(F.count_if("is_expired").alias("expired"), F.count_if(~F.col("is_expired")).alias("valid"),
@@ -525,7 +541,7 @@ def worker_360(profile: DataFrame, certs: DataFrame, roster: DataFrame, months:
             .groupBy(WORKER).agg(F.sort_array(F.collect_list(F.struct("n", "roster_date", "project_name", "position_name")))
                                  .alias("recent_roster")))
     hours = m.groupBy(WORKER).agg(F.sum("total_hours").alias("total_hours"))
-    held = li.groupBy(WORKER).agg(F.count("*").alias("licences"))
+    held = li.groupBy(WORKER).agg(F.count("*").alias("licences"), F.sort_array(F.collect_list("licence")).alias("licence_list"))
     out = p.select(WORKER, "first_name", "last_name", "position_name", "supplier_name", "is_active", "email_work")
     for part in (counts, last, hours, held):
         out = out.join(part, WORKER, "left")
@@ -537,18 +553,18 @@ def worker_360(profile: DataFrame, certs: DataFrame, roster: DataFrame, months:
 FILE_COLUMNS = ["site", "library", "file_name", "folder_path", "ext", "size_kb", "modified_at", "modified_by", "web_url"]
 
 
-def find_files(index: DataFrame, keyword: str, library=None, ext=None, site=None) -> DataFrame:
+def find_files(index: DataFrame, keyword: str, library=None, ext=None, site=None, n: int | None = None) -> DataFrame:
     """every word must appear in the name or the path."""
-    words = [any_contains(["file_name", "folder_path"], w) for w in (keyword or "").split()[:FILE_WORDS]]
-    return where(index, *words, contains("site", site), contains("library", library),
+    words = [any_contains(["file_name", "folder_path"], w) for w in (keyword or "").split()]
+    return newest(where(index, *words, contains("site", site), contains("library", library),
                  equals("ext", ext.lstrip(".").lower()) if ext else None).select(*FILE_COLUMNS).orderBy(
-        F.desc("modified_at"), "web_url").limit(NEWEST_FILES)
+        F.desc("modified_at"), "web_url"), n)
 
 
-def list_folder(index: DataFrame, folder: str, library=None, site=None) -> DataFrame:
+def list_folder(index: DataFrame, folder: str, library=None, site=None, n: int | None = None) -> DataFrame:
     """F50."""
-    return where(index, contains("folder_path", folder), contains("site", site), contains("library", library)).select(
-        *FILE_COLUMNS).orderBy(F.desc("modified_at"), "web_url").limit(FOLDER_FILES)
+    return newest(where(index, contains("folder_path", folder), contains("site", site), contains("library", library)).select(
+        *FILE_COLUMNS).orderBy(F.desc("modified_at"), "web_url"), n)
 
 
 def list_form_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -557,11 +573,17 @@ def list_form_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, "table string, fields string")
 
 
-def search_form(table: DataFrame, keyword=None, limit: int = 50, modified: str = "Modified") -> DataFrame:
-    """newest rows of one form list, the keyword in any of its first text columns."""
-    cols = [c for c in table.columns if not c.endswith("LookupId") and c != "id"][:FORM_TEXT_COLUMNS]
-    return where(table, any_contains(cols, keyword)).orderBy(F.desc(modified), "id").limit(
-        max(1, min(int(limit or 50), FORM_ROWS_MAX)))
+def form_table(tables: dict[str, DataFrame], name: str) -> tuple[str, DataFrame] | None:
+    """the one list whose name is, or else contains, ``name``; several are not guessed between."""
+    asked = name.strip().lower().replace(" ", "_").replace("-", "_")
+    found = [t for t in sorted(tables) if t == asked] or [t for t in sorted(tables) if asked and asked in t]
+    return (found[0], tables[found[0]]) if len(found) == 1 else None
+
+
+def search_form(table: DataFrame, keyword=None, limit: int | None = None, modified: str = "Modified") -> DataFrame:
+    """rows of one form list, newest first, the keyword in any of its columns."""
+    cols = [c for c in table.columns if not c.endswith("LookupId") and c != "id"]
+    return newest(where(table, any_contains(cols, keyword)).orderBy(F.desc(modified), "id"), limit)
 
 
 def job_runs(history: DataFrame, name: str | None = None, limit: int = 3) -> tuple[DataFrame, DataFrame]:

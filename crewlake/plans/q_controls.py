@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crewlake.operators import govern as V
 from crewlake.operators import quality as Q
 from crewlake.plans.registry import add
+from crewlake.session import shared_folder
 from crewlake.plans.stand_in import AS_OF, Tables
 from crewlake.sources import bronze, gold_io
 from crewlake.streaming import incremental as I
@@ -166,9 +167,8 @@ SELECT n AS node, count(issue_id) AS issues, coalesce(CASE max(CASE severity WHE
   WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END, 'healthy') AS severity
 FROM (VALUES ('opms'),('bms'),('lake'),('accounts'),('functions'),('gateway')) v(n) LEFT JOIN iss ON iss.node = n GROUP BY 1""")
 add("issue_evidence", lambda t: Q.issue_evidence(t.certs), """
-SELECT issue_id, CAST(n AS INTEGER) AS n, opms_employee_id, first_name||' '||last_name AS name, competency_name, expiry_date, CAST(abs(days_to_expiry) AS INTEGER) AS days FROM (
-SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY days_to_expiry, training_record_id) AS n FROM (
-SELECT *, CASE WHEN is_expired THEN 'iss-cert-expired' WHEN is_expiring_soon AND days_to_expiry <= 7 THEN 'iss-cert-7d' END AS issue_id FROM certs) WHERE issue_id IS NOT NULL) WHERE n <= 10""")
+SELECT issue_id, opms_employee_id, first_name||' '||last_name AS name, competency_name, expiry_date, CAST(abs(days_to_expiry) AS INTEGER) AS days FROM (
+SELECT *, CASE WHEN is_expired THEN 'iss-cert-expired' WHEN is_expiring_soon AND days_to_expiry <= 7 THEN 'iss-cert-7d' END AS issue_id FROM certs) WHERE issue_id IS NOT NULL""")
 
 
 def _revalidate(t: Tables) -> DataFrame:
@@ -191,7 +191,7 @@ add("governed_view_default", lambda t: V.governed_view(t.invoices, "invoice_regi
 SELECT invoice_id, invoice_number, invoice_type, status, contact_name, reference, job_code, invoice_date, month, due_date, bridge_client FROM invoices""")
 add("governed_view_finance", lambda t: V.governed_view(t.invoices, "invoice_register", "Finance", ["invoice_id", "total", "amount_due"]),
     "SELECT invoice_id, total, amount_due FROM invoices")
-add("capped", lambda t: V.capped(t.raw("events").select("event_id", "user_id").orderBy("event_id"), 50000),
+add("capped", lambda t: V.capped(t.raw("events").select("event_id", "user_id").orderBy("event_id"), 1000),
     "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 1000")
 add("redact_fields", lambda t: V.redact_fields(t.profile.select("opms_employee_id", "first_name", "gender_name", "date_of_birth",
                                                                 F.struct(F.col("bms_position_id").alias("salary"), "position_name").alias("job")), "default")
@@ -213,12 +213,12 @@ def _access(t: Tables) -> DataFrame:
     e = t.raw("events").select(F.col("event_type").alias("tool"), F.when(F.col("value") > 20, "Finance").otherwise("default").alias("role"),
                                (F.col("value") > 1).alias("allowed"), F.col("value").alias("latency_ms"),
                                F.get_json_object("props", "$.k").cast("bigint").alias("row_count"), F.col("props").alias("payload"))
-    return V.access_report(e).drop("p95_latency_ms")
+    return V.access_report(e)
 
 
 add("access_report", _access, """
 SELECT event_type AS tool, CASE WHEN value > 20 THEN 'Finance' ELSE 'default' END AS role, count(*) AS calls, count(*) FILTER (value <= 1) AS denied,
-  round(avg(value),2) AS avg_latency_ms, max(value) AS max_latency_ms, CAST(sum(CAST(json_extract(props,'$.k') AS BIGINT)) AS BIGINT) AS rows,
+  round(avg(value),2) AS avg_latency_ms, max(value) AS max_latency_ms, round(quantile_cont(value, 0.95), 4) AS p95_latency_ms, CAST(sum(CAST(json_extract(props,'$.k') AS BIGINT)) AS BIGINT) AS rows,
   round(sum(round((length(props)//4)/1000000*3.0, 6)), 6) AS avoided_usd FROM events GROUP BY 1, 2""")
 
 
@@ -233,20 +233,16 @@ SELECT c_custkey AS "user", CASE WHEN c_mktsegment = 'BUILDING' THEN 'Admin_IT'
   WHEN c_acctbal > 5000 THEN 'HR_Manager' ELSE 'default' END AS role FROM customer""")
 add("raw_lookup", lambda t: V.raw_lookup({"parts": t.raw("part"), "nations": t.raw("nation"), "pages": t.raw("pages")},
                                          [("parts", "p_name"), ("nations", "n_name"), ("pages", "url"), ("gone", "x")], "N", "Admin_IT"), """
-SELECT 'parts' AS "table", 'p_name' AS "column", v AS value FROM (SELECT DISTINCT p_name AS v FROM part WHERE p_name ILIKE '%n%' ORDER BY 1 LIMIT 8)
-UNION ALL SELECT 'nations', 'n_name', v FROM (SELECT DISTINCT n_name AS v FROM nation WHERE n_name ILIKE '%n%' ORDER BY 1 LIMIT 8)
-UNION ALL SELECT 'pages', 'url', v FROM (SELECT DISTINCT url AS v FROM pages WHERE url ILIKE '%n%' ORDER BY 1 LIMIT 8)""")
+SELECT 'parts' AS "table", 'p_name' AS "column", v AS value FROM (SELECT DISTINCT p_name AS v FROM part WHERE p_name ILIKE '%n%' )
+UNION ALL SELECT 'nations', 'n_name', v FROM (SELECT DISTINCT n_name AS v FROM nation WHERE n_name ILIKE '%n%' )
+UNION ALL SELECT 'pages', 'url', v FROM (SELECT DISTINCT url AS v FROM pages WHERE url ILIKE '%n%' )""")
 
 # --- incremental ---------------------------------------------------------------------------------------------------------
 
 
 def work_dir(t: Tables) -> str:
-    """A new folder for this run: under the cluster's shared folder when one is named."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared}/crewlake-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-crewlake-", dir="/tmp")
+    """A new folder for this run, under the folder that all executors share."""
+    return f"{shared_folder(t.spark)}/crewlake-{uuid.uuid4().hex}"
 
 
 def _versions(t: Tables, cond: str) -> DataFrame:
@@ -255,9 +251,9 @@ def _versions(t: Tables, cond: str) -> DataFrame:
     return latest(o, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-add("upsert", lambda t: I.upsert(_versions(t, "o_orderdate < '2000-01-01'"), _versions(t, "o_orderdate >= '1999-06-01' AND o_orderdate < '2000-06-01'"), ["o_custkey"], "o_orderdate")
+add("upsert", lambda t: I.upsert(_versions(t, "o_orderdate < '2000-01-01'"), _versions(t, "o_orderdate >= '1999-06-01'"), ["o_custkey"], "o_orderdate")
     .select("o_custkey", "o_orderkey", "o_totalprice"), """
-SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderdate < '2000-06-01'
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CASE WHEN o_orderdate < '2000-01-01' THEN 0 ELSE 1 END, o_orderkey DESC) = 1""")
 
 

@@ -126,9 +126,9 @@ UNION ALL SELECT 'candidate', value, type||' '||printf('%.1f', score) FROM (SELE
 def utterances(t: Tables) -> DataFrame:
     c = t.raw("conversations")
     n = F.length("text")
-    said = (F.when(n < 60, "Thanks!").when(n < 100, "BMA Site requires: wah, VOC and gas test.").when(n < 150, "Who is on site?").when(n < 200, "Delta Crew keeps causing issues")
-            .when(n < 250, "Green day means a day without any alerts").when(n < 300, "remind me every Monday").when(n < 350, "Always wear boots").otherwise(F.col("text")))
-    return c.select("conv_id", "turn", said.alias("text"))
+    more = (F.when(n < 60, "").when(n < 100, "BMA Site requires: wah, VOC and gas test.").when(n < 150, "Who is on site?").when(n < 200, "Delta Crew keeps causing issues")
+            .when(n < 250, "Green day means a day without any alerts").when(n < 300, "remind me every Monday").when(n < 350, "Always wear boots").otherwise(""))
+    return c.select("conv_id", "turn", F.concat("text", F.lit(" . "), more).alias("text"))
 
 
 def _kinds(t: Tables) -> DataFrame:
@@ -139,9 +139,9 @@ def _kinds(t: Tables) -> DataFrame:
 
 add("classify_utterance", _kinds, """
 SELECT kind, CASE WHEN kind = 'site_rule' THEN 'bma_site' END AS site, CASE WHEN kind = 'site_rule' THEN 'wah|voc|gas test' END AS tickets, count(*) AS utterances FROM (
-SELECT CASE WHEN n < 60 THEN 'chitchat' WHEN n < 100 THEN 'site_rule' WHEN n < 150 THEN 'question' WHEN n < 200 THEN 'supplier_flag' WHEN n < 250 THEN 'definition'
-  WHEN n < 300 THEN 'preference' WHEN n < 350 THEN 'fact'
+SELECT CASE WHEN n >= 60 AND n < 100 THEN 'site_rule' WHEN n >= 100 AND n < 150 THEN 'question'
   WHEN regexp_matches(text,'(?i)[?？]|^(who|what|which|how|when|where|is |are |do |does |can |show|list|give)') THEN 'question'
+  WHEN n >= 150 AND n < 200 THEN 'supplier_flag' WHEN n >= 200 AND n < 250 THEN 'definition' WHEN n >= 250 AND n < 300 THEN 'preference' WHEN n >= 300 AND n < 350 THEN 'fact'
   WHEN regexp_matches(text,'(?i)policy|rule|remember|always|never') THEN 'fact' ELSE 'none' END AS kind FROM (SELECT *, length(text) AS n FROM conversations)) GROUP BY 1""")
 add("recall_rules", lambda t: T.recall_rules(questions(t).withColumn("text", F.concat("text", F.lit(" risk at bma site"))), ["bma_site", "t&h", "delta"], ["hot bolt"], ["Delta Crew"]), """
 SELECT c_custkey AS question_id, 'site_rule' AS kind, 'bma_site' AS subject FROM customer UNION ALL SELECT c_custkey, 'site_rule', 't&h' FROM customer WHERE c_custkey % 5 = 3
@@ -153,13 +153,17 @@ def _turns(t: Tables) -> DataFrame:
     n = F.length("text")
     call = (F.col("role") == "user") & (n > 120)
     args = F.create_map(F.lit("worker_name"), F.lit("Jane"), F.lit("date_from"), F.lit("2000-01-01"), F.lit("site"), F.lit("A"))
-    said = F.when(F.col("role") == "user", F.when(n > 200, "what about last month").otherwise("and for Carter")).when(F.col("turn") > 2, "yesterday").otherwise("fine")
+    asked = F.when(n > 200, "what about last month").when(n > 150, "how about site = small ring").when(n > 100, "show me what Carter did").otherwise("and for Carter")
+    said = F.when(F.col("role") == "user", asked).when(F.col("turn") > 2, "yesterday").otherwise("fine")
     return c.select(F.col("conv_id").alias("conversation_id"), "turn", said.alias("text"), F.when(call, "timesheet").alias("tool"),
                     F.when(call, "get_weekly_timesheet").alias("function"), F.when(call, args).alias("args"))
 
 
 def _followups(t: Tables) -> DataFrame:
-    out = T.followups(_turns(t), AS_OF, F.floor(F.col("turn") / 2))
+    turns = _turns(t)
+    known = T.vocabulary(names(t).filter("type = 'site'"))
+    told = T.detect_mentions(turns.filter("text LIKE '%site =%'").select(F.struct("conversation_id", "turn").alias("question_id"), "text"), known, T.alias_table(t.spark, ALIASES))
+    out = T.followups(turns, AS_OF, F.floor(F.col("turn") / 2), told.select("question_id.*", "type", "value"))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("args")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return out.withColumn("args", text)
 
@@ -167,8 +171,9 @@ def _followups(t: Tables) -> DataFrame:
 add("followups", _followups, """
 SELECT conv_id AS conversation_id, turn, 'timesheet' AS tool, 'get_weekly_timesheet' AS function,
   CASE said WHEN 'month' THEN 'date_from=2000-05-01;date_to=2000-05-31;site=A;worker_name=Jane' WHEN 'person' THEN 'date_from=2000-01-01;site=A;worker_name=Carter'
-    ELSE 'date_from=2000-05-31;date_to=2000-05-31;site=A;worker_name=Jane' END AS args, said <> 'person' AS time_changed, said = 'person' AS person_changed
-FROM (SELECT c.*, CASE WHEN role = 'user' THEN CASE WHEN length(text) > 200 THEN 'month' ELSE 'person' END WHEN turn > 2 THEN 'day' END AS said FROM conversations c)
+    WHEN 'site' THEN 'date_from=2000-01-01;site=small ring;worker_name=Jane'
+    ELSE 'date_from=2000-05-31;date_to=2000-05-31;site=A;worker_name=Jane' END AS args, said IN ('month','day') AS time_changed, said = 'person' AS person_changed, said = 'site' AS entity_changed
+FROM (SELECT c.*, CASE WHEN role = 'user' THEN CASE WHEN length(text) > 200 THEN 'month' WHEN length(text) > 150 THEN 'site' WHEN length(text) > 100 THEN NULL ELSE 'person' END WHEN turn > 2 THEN 'day' END AS said FROM conversations c)
 WHERE said IS NOT NULL AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = conversations.conv_id AND p.turn < turn AND p.role = 'user' AND length(p.text) > 120)
 """.replace("p.conv_id = conversations.conv_id AND p.turn < turn", "p.conv_id = x.conv_id AND p.turn < x.turn").replace("FROM conversations c)\nWHERE", "FROM conversations c) x\nWHERE"))
 
@@ -213,10 +218,9 @@ SELECT query_id, count(*) AS hits, max(score) AS best, CASE WHEN max(score) >= 0
 
 add("merge_feedback", lambda t: L.merge_feedback(t.traces, t.feedback).select("trace_id", "user_feedback", "correction_flag"), "SELECT trace_id, user_feedback, correction_flag FROM traced")
 add("conversations", lambda t: L.conversations(t.traces).withColumn("last_ts", F.date_format("last_ts", "yyyy-MM-dd HH:mm")), """
-SELECT conversation_id, substr(arg_min(question, turn),1,60) AS title, count(*) AS turns, strftime(max(ts),'%Y-%m-%d %H:%M') AS last_ts FROM traces GROUP BY 1
-ORDER BY max(ts) DESC, conversation_id DESC LIMIT 20""")
-add("conversation_turns", lambda t: L.conversation_turns(L.merge_feedback(t.traces, t.feedback)).drop("ts"), """
-SELECT conversation_id, turn, question, answer, concat_ws('.', tool, function) AS step, CASE WHEN correction_flag THEN 'down' ELSE 'up' END AS feedback FROM traced""")
+SELECT conversation_id, arg_min(question, turn) AS title, count(*) AS turns, strftime(max(ts),'%Y-%m-%d %H:%M') AS last_ts FROM traces GROUP BY 1""")
+add("conversation_turns", lambda t: L.conversation_turns(L.merge_feedback(t.traces, t.feedback)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), """
+SELECT conversation_id, turn, strftime(ts,'%Y-%m-%d %H:%M:%S') AS ts, question, answer, concat_ws('.', tool, function) AS step, CASE WHEN correction_flag THEN 'down' ELSE 'up' END AS feedback FROM traced""")
 
 
 def _flagged(t: Tables) -> DataFrame:
@@ -289,5 +293,5 @@ def _asked(t: Tables) -> DataFrame:
 
 
 add("user_focus", lambda t: L.user_focus(_asked(t)), 'SELECT user_id AS "user", event_type AS focus, count(*) AS questions FROM events GROUP BY 1, 2')
-add("recent_questions", lambda t: L.recent_questions(_asked(t)), """
+add("recent_questions", lambda t: L.recent_questions(_asked(t), 50), """
 SELECT user_id AS "user", CAST(n AS INTEGER) AS n, props AS question FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50""")

@@ -137,7 +137,7 @@ SELECT item_name, stock, location_name, category_name FROM stock WHERE item_name
 add("find_low_stock", lambda t: S.find_low_stock(t.stock, 5), "SELECT item_name, stock, location_name FROM stock WHERE stock IS NULL OR stock <= 5")
 add("get_ppe_signouts", lambda t: S.get_ppe_signouts(t.ledger, item="ring"), """
 SELECT txn_date, item_name, units, from_location, person_name, job_code, project_name, bms_txn_id FROM ledger
-WHERE txn_kind = 'sign_out' AND (item_name ILIKE '%ring%' OR item_code ILIKE '%ring%') ORDER BY txn_date DESC, bms_txn_id DESC LIMIT 100""")
+WHERE txn_kind = 'sign_out' AND (item_name ILIKE '%ring%' OR item_code ILIKE '%ring%') """)
 add("get_ppe_monthly_usage", lambda t: S.get_ppe_monthly_usage(t.ledger, months=6), """
 SELECT txn_month, sum(units) AS total_units, count(*) AS sign_out_lines, count(DISTINCT person_name) AS distinct_people FROM ledger
 WHERE txn_kind = 'sign_out' GROUP BY 1 ORDER BY txn_month DESC LIMIT 6""")
@@ -174,8 +174,8 @@ def _r2(df, *names):
 HSEQ = "issue_title, issue_type, issue_status, action_priority, action_due_date, is_open, is_overdue"
 add("get_hseq_register", lambda t: S.get_hseq_register(t.actions, overdue_only=True, priority="urgent"),
     f"SELECT {HSEQ} FROM actions WHERE is_overdue AND action_priority ILIKE '%urgent%'")
-add("get_audit_issues", lambda t: S.get_audit_issues(t.audit, event_type="error", limit=100), """
-SELECT created_at, event_type, first_name, last_name, change_log_id FROM audit WHERE event_type ILIKE '%error%' ORDER BY created_at DESC, change_log_id DESC LIMIT 100""")
+add("get_audit_issues", lambda t: S.get_audit_issues(t.audit, event_type="error"), """
+SELECT created_at, event_type, first_name, last_name, change_log_id FROM audit WHERE event_type ILIKE '%error%' """)
 add("audit_event_breakdown", lambda t: S.audit_event_breakdown(t.audit), "SELECT event_type, count(*) AS events FROM audit GROUP BY 1")
 
 # --- across domains ---------------------------------------------------------------------------------------------------------------
@@ -196,19 +196,19 @@ add("supplier_compliance_risk", lambda t: S.supplier_compliance_risk(t.profile,
 def _w360(t: Tables):
     out = S.worker_360(t.profile, t.certs, t.roster, t.months, t.licences)
     recent = F.array_join(F.transform("recent_roster", lambda r: F.concat_ws("|", r["roster_date"], r["project_name"], r["position_name"])), ";")
-    return out.withColumn("recent_roster", recent)
+    return out.withColumn("recent_roster", recent).withColumn("licence_list", F.array_join("licence_list", "|"))
 
 
 add("worker_360", _w360, """
 SELECT p.opms_employee_id, p.first_name, p.last_name, p.position_name, p.supplier_name, p.is_active, p.email_work, coalesce(c.expired,0) AS expired,
-  coalesce(c.valid,0) AS valid, coalesce(c.expiring_90d,0) AS expiring_90d, r.recent_roster, coalesce(h.total_hours,0) AS total_hours, coalesce(l.n,0) AS licences
+  coalesce(c.valid,0) AS valid, coalesce(c.expiring_90d,0) AS expiring_90d, r.recent_roster, coalesce(h.total_hours,0) AS total_hours, coalesce(l.n,0) AS licences, l.licence_list
 FROM profile p
 LEFT JOIN (SELECT opms_employee_id, count(*) FILTER (is_expired) AS expired, count(*) FILTER (NOT is_expired) AS valid, count(*) FILTER (is_expiring_soon) AS expiring_90d
   FROM certs GROUP BY 1) c USING (opms_employee_id)
 LEFT JOIN (SELECT opms_employee_id, string_agg(concat_ws('|', roster_date, project_name, position_name), ';' ORDER BY n) AS recent_roster FROM (
   SELECT *, row_number() OVER (PARTITION BY opms_employee_id ORDER BY roster_date DESC, project_name, position_name) AS n FROM roster) WHERE n <= 5 GROUP BY 1) r USING (opms_employee_id)
 LEFT JOIN (SELECT opms_employee_id, sum(total_hours) AS total_hours FROM months GROUP BY 1) h USING (opms_employee_id)
-LEFT JOIN (SELECT opms_employee_id, count(*) AS n FROM licences GROUP BY 1) l USING (opms_employee_id)""")
+LEFT JOIN (SELECT opms_employee_id, count(*) AS n, string_agg(licence, '|' ORDER BY licence) AS licence_list FROM licences GROUP BY 1) l USING (opms_employee_id)""")
 
 # --- files and forms -----------------------------------------------------------------------------------------------------------------
 
@@ -221,20 +221,20 @@ def _ts(df):
 
 add("find_files", lambda t: _ts(S.find_files(t.files, "en HTML", library="com")), f"""
 SELECT {FILE} FROM files WHERE (file_name ILIKE '%en%' OR folder_path ILIKE '%en%') AND (file_name ILIKE '%html%' OR folder_path ILIKE '%html%')
-  AND library ILIKE '%com%' ORDER BY files.modified_at DESC, web_url LIMIT 50""")
+  AND library ILIKE '%com%' """)
 add("list_folder", lambda t: _ts(S.list_folder(t.files, "fr/")), f"""
-SELECT {FILE} FROM files WHERE folder_path ILIKE '%fr/%' ORDER BY files.modified_at DESC, web_url LIMIT 100""")
+SELECT {FILE} FROM files WHERE folder_path ILIKE '%fr/%' """)
 
 
 def _form(t: Tables):
-    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("Title"), "lang", "source",
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("Title"), "lang", "source",
                                   F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("Modified"))
     return auto_tables({"FDS-Daily Sheets": d})["fds_daily_sheets"]
 
 
-add("search_form", lambda t: S.search_form(_form(t), "src1", 200), """
-SELECT doc_id AS id, substr(text,1,40) AS "Title", lang, source, lpad(CAST(doc_id AS VARCHAR),12,'0') AS "Modified" FROM documents
-WHERE lower(substr(text,1,40)) LIKE '%src1%' OR lang LIKE '%src1%' OR source LIKE '%src1%' ORDER BY doc_id DESC LIMIT 200""")
+add("search_form", lambda t: S.search_form(_form(t), "src1"), """
+SELECT doc_id AS id, text AS "Title", lang, source, lpad(CAST(doc_id AS VARCHAR),12,'0') AS "Modified" FROM documents
+WHERE lower(text) LIKE '%src1%' OR lang LIKE '%src1%' OR source LIKE '%src1%'""")
 add("job_runs", lambda t: S.job_runs(t.runs, limit=3)[0].select("automation", "run_id", "conclusion"), """
 SELECT automation, run_id, conclusion FROM runs QUALIFY row_number() OVER (PARTITION BY automation ORDER BY updated_at DESC, run_id DESC) <= 3""")
 add("job_runs_failed", lambda t: S.job_runs(t.runs, limit=3)[1].select("automation", "run_id", "conclusion"), """
@@ -343,10 +343,24 @@ def metrics(t: Tables):
     return A.long_metrics(A.kpis(t.profile, t.certs, t.roster, t.project_jobs, AS_OF, FIELD_TRADES))
 
 
-add("alerts", lambda t: A.alerts(metrics(t), A.rules_table(t.spark)).drop("message", "action"), f"""
+add("alerts", lambda t: A.alerts(metrics(t), A.rules_table(t.spark)), f"""
 WITH k AS ({KPI_SQL}), m AS (SELECT 'workforce_risk' AS metric, workforce_risk AS v, 'workforce_risk_high' AS rule, 'red' AS severity, 0 AS severity_rank, workforce_risk >= 50 AS hit FROM k
 UNION ALL SELECT 'deployable', deployable, 'deployable_pool_thin', 'amber', 1, deployable <= 10 FROM k)
-SELECT rule, severity, severity_rank, metric, CAST(v AS VARCHAR) AS value FROM m WHERE hit""")
+SELECT rule, severity, severity_rank, metric, CAST(v AS VARCHAR) AS value, CASE rule WHEN 'workforce_risk_high' THEN
+  'Rostered since 30 days ago with an expired certificate: '||v||' pairs of worker and certificate.' ELSE 'Field workers ready to deploy: '||v||'.' END AS message,
+  CASE rule WHEN 'workforce_risk_high' THEN 'Open compliance review: re-validate certs for rostered workers first' ELSE 'Start recruitment or free up bench workers' END AS action FROM m WHERE hit""")
+ADVICE = {"workforce_risk": "{value} rostered workers with expired certificates", "idle_pool": "{value} idle workers", "broken_links": "{value} broken links", "missing_links": "{value} missing links"}
+
+
+def _advice(t: Tables):
+    links = t.links.agg(F.count_if(F.col("status") == "broken").alias("broken_links"), F.count_if(F.col("status") == "missing").alias("missing_links"))
+    return A.recommendations(S.beside(A.kpis(t.profile, t.certs, t.roster, t.project_jobs, AS_OF, FIELD_TRADES), links), ADVICE)
+
+
+add("recommendations", _advice, f"""
+WITH k AS ({KPI_SQL}), m AS (SELECT 'workforce_risk' AS metric, workforce_risk AS v, ' rostered workers with expired certificates' AS said FROM k UNION ALL SELECT 'idle_pool', idle_pool, ' idle workers' FROM k
+UNION ALL SELECT 'broken_links', count(*) FILTER (status = 'broken'), ' broken links' FROM links UNION ALL SELECT 'missing_links', count(*) FILTER (status = 'missing'), ' missing links' FROM links)
+SELECT metric, CAST(v AS VARCHAR) AS value, v||said AS text FROM m WHERE v > 0""")
 
 
 def snapshots(t: Tables):

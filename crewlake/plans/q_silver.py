@@ -77,13 +77,17 @@ SPELLINGS = "concat(CASE event_type WHEN 'click' THEN ' ' ELSE '' END, user_id,
 
 def _ids(t: Tables):
     e = t.raw("events").select("event_id", F.expr(SPELLINGS).alias("v"))
-    return e.select("event_id", E.to_int("v").alias("to_int"), E.norm_id("v").alias("norm_id"), E.lookup_key("v").alias("lookup_key"))
+    big = F.concat(F.lit("900719925474"), F.lpad(F.col("event_id").cast("string"), 7, "0"))
+    return e.select("event_id", E.to_int("v").alias("to_int"), E.norm_id("v").alias("norm_id"), E.lookup_key("v").alias("lookup_key"),
+                    E.to_int(F.col("event_id").cast("double")).alias("of_double"), E.norm_id(big).alias("big_id"),
+                    E.lookup_key(F.concat(big, F.lit(".0"))).alias("big_key"))
 
 
 add("id_spellings", _ids, """
 SELECT event_id, CASE WHEN event_type NOT IN ('view','error') THEN user_id END AS to_int,
   CASE WHEN event_type = 'error' THEN user_id||'x' ELSE CAST(user_id AS VARCHAR) END AS norm_id,
-  CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS lookup_key FROM events""")
+  CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS lookup_key, event_id AS of_double,
+  '900719925474'||lpad(CAST(event_id AS VARCHAR),7,'0') AS big_id, '900719925474'||lpad(CAST(event_id AS VARCHAR),7,'0') AS big_key FROM events""")
 
 
 def _dates(t: Tables):
@@ -146,8 +150,8 @@ def _asked(t: Tables):
     n = F.length("text")
     said = (F.when(n < 100, "hours last week please").when(n < 150, "排班 下周").when(n < 200, "roster for today").when(n < 250, "what happened this month")
             .when(n < 300, "invoices in april 2026").when(n < 350, "from 2026-01-02 to 2026-02-03").when(n < 400, "timesheet 2024-05")
-            .when(n < 500, "everything of 2023").otherwise(F.concat(F.lit("上个月 "), "text")))
-    return d.select("conv_id", "turn", said.alias("q"))
+            .when(n < 500, "everything of 2023").otherwise("上个月"))
+    return d.select("conv_id", "turn", F.concat(said, F.lit(" "), "text").alias("q"))
 
 
 def _ranges(t: Tables):
@@ -165,22 +169,20 @@ SELECT conv_id, turn, p AS phrase,
   CASE p WHEN 'this_month' THEN '2000-06' WHEN 'last_month' THEN '2000-05' WHEN 'month' THEN '2024-05' END AS month,
   CASE p WHEN 'period' THEN '2026-04' END AS period, CASE p WHEN 'year' THEN '2023' END AS year,
   CASE WHEN p IN ('last_week','next_week','today','this_month','last_month') THEN p END AS label,
-  CASE WHEN p IN ('month') THEN 'timesheet' WHEN p IN ('next_week','today') THEN 'roster'
-       WHEN p = 'last_month' AND contains(lower(text),'timesheet') THEN 'timesheet'
-       WHEN p = 'last_month' AND (contains(lower(text),'roster') OR contains(lower(text),'schedule')) THEN 'roster' END AS intent
+  CASE WHEN p = 'month' OR contains(lower(text),'timesheet') THEN 'timesheet'
+       WHEN p IN ('next_week','today') OR contains(lower(text),'roster') OR contains(lower(text),'schedule') THEN 'roster' END AS intent
 FROM (SELECT conv_id, turn, text, CASE WHEN n < 100 THEN 'last_week' WHEN n < 150 THEN 'next_week' WHEN n < 200 THEN 'today' WHEN n < 250 THEN 'this_month'
   WHEN n < 300 THEN 'period' WHEN n < 350 THEN 'range' WHEN n < 400 THEN 'month' WHEN n < 500 THEN 'year' ELSE 'last_month' END AS p
   FROM (SELECT *, length(text) AS n FROM conversations))""")
 add("topic_intent", lambda t: _asked(t).groupBy(phrases.topic_intent("q").alias("topic")).agg(F.count("*").alias("questions")), """
 SELECT topic, count(*) AS questions FROM (SELECT CASE
-  WHEN n < 100 THEN 'General' WHEN n < 150 THEN 'Workforce' WHEN n < 200 THEN 'Workforce' WHEN n < 250 THEN 'General' WHEN n < 300 THEN 'Billing'
-  WHEN n < 500 THEN 'General'
   WHEN regexp_matches(q,'shutdown|turnaround') THEN 'Shutdown' WHEN regexp_matches(q,'compliant|compliance|cert|ticket|expir') THEN 'Compliance'
   WHEN regexp_matches(q,'invoice|bill|receivable|overdue|xero|revenue') THEN 'Billing'
   WHEN regexp_matches(q,'stale|sync|data quality|freshness|broken|missing file') THEN 'Data Health'
   WHEN regexp_matches(q,'available|bench|idle|deploy|roster|who can') THEN 'Workforce' WHEN regexp_matches(q,'project|job|status') THEN 'Project'
   WHEN regexp_matches(q,'document|folder|file') THEN 'Document' ELSE 'General' END AS topic
-  FROM (SELECT lower(text) AS q, length(text) AS n FROM conversations)) GROUP BY 1""")
+  FROM (SELECT CASE WHEN n >= 100 AND n < 200 THEN 'roster ' WHEN n >= 250 AND n < 300 THEN 'invoices ' ELSE '' END||lower(text) AS q
+  FROM (SELECT text, length(text) AS n FROM conversations))) GROUP BY 1""")
 
 # fixed values: example price list
 PRICES = {"large": {"in": 5.0, "out": 25.0, "cache_read": 0.5}, "mini": {"in": 0.25, "out": 2.0, "cache_read": 0.025}}

@@ -15,7 +15,7 @@ TWIN: dict[str, str] = {
 SELECT o_orderkey AS id, o_custkey AS opms, 'P'||o_orderkey AS person_id, o_orderstatus AS arrangement_type,
   o_totalprice > 50000 AS is_active, o_orderkey % 997 + 1000 AS bms_position_id, o_orderkey % 5 AS ops_section_id,
   o_orderkey % 25 AS bms_supplier_id, 'Person '||o_orderkey AS title
-FROM orders WHERE o_orderpriority = '1-URGENT'""",
+FROM orders""",
     "person": """
 SELECT c.c_custkey AS opms_employee_id, split_part(c.c_name,'#',1) AS first_name, split_part(c.c_name,'#',2) AS last_name,
   c.c_name AS preferred_name, c.c_mktsegment AS gender_name, CAST(c.c_nationkey AS VARCHAR) AS nationality_name,
@@ -92,7 +92,7 @@ SELECT o_custkey AS opms_employee_id, 'Customer' AS first_name, lpad(CAST(o_cust
   CASE WHEN o_orderstatus = 'F' THEN 'Night Shift' ELSE 'DAY SHIFT' END AS work_type_name,
   CASE WHEN o_totalprice > 100000 THEN CAST(o_orderkey % 12 + 1 AS DOUBLE) END AS hours, o_orderkey % 6 AS site_key,
   CASE WHEN o_totalprice > 250000 THEN o_orderkey % 25 END AS supplier_key
-FROM orders WHERE o_orderstatus <> 'P'""",
+FROM orders""",
     "roster0": """
 SELECT opms_employee_id, first_name, last_name, strftime(roster_day, '%Y-%m-%d') AS roster_date, position_name, work_type_name,
   project_name, CAST(NULL AS DOUBLE) AS hours, 'opms' AS source FROM feed_days
@@ -253,7 +253,7 @@ SELECT DISTINCT o_custkey AS opms_employee_id, 'Customer' AS first_name, lpad(CA
   'Site '||l_linenumber AS site_name, 'Team' AS team_name FROM linesx""",
     "licences": """
 SELECT o_orderkey AS bms_licence_id, 'Customer' AS first_name, lpad(CAST(o_custkey AS VARCHAR),9,'0') AS last_name,
-  o_custkey AS opms_employee_id, o_orderstatus AS licence, o_orderpriority AS licence_items FROM orders WHERE o_orderpriority = '2-HIGH'""",
+  o_custkey AS opms_employee_id, o_orderstatus AS licence, o_orderpriority AS licence_items FROM orders""",
     "files": """
 SELECT coalesce(nullif(regexp_extract(url, '^https?://([^/]+)/', 1), ''), 'BMS') AS site,
   regexp_extract(regexp_extract(url, '^https?://([^/]+)/', 1), '([^.]+)$', 1) AS library,

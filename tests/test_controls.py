@@ -38,7 +38,9 @@ def test_trend_anomaly(spark, history, today, odd):
 def test_alert_operators(spark):
     m = spark.createDataFrame([("workforce_risk", "60"), ("sentinel_status", "WARN"), ("hours_wow_change_pct", "-45.0"), ("deployable", "11"), ("roster_horizon_days", None)], "metric string, value string")
     got = [(r.rule, r.message) for r in A.alerts(m, A.rules_table(spark)).collect()]
-    assert [r for r, _ in got] == ["data_quality_not_ok", "workforce_risk_high", "weekly_hours_swing"] and got[1][1].startswith("60 rostered")
+    assert [r for r, _ in got] == ["data_quality_not_ok", "workforce_risk_high", "weekly_hours_swing"] and "60 pairs" in got[1][1]
+    more = m.union(spark.createDataFrame([("hours_prev", "80"), ("hours_last", "44")], m.schema))
+    assert [r.message for r in A.alerts(more, A.rules_table(spark)).collect()][2] == "Weekly hours changed by -45.0 %: 80 h before, 44 h now."
 
 
 def test_snapshot_rerun_replaces(spark):

@@ -57,5 +57,5 @@ def test_low_stock_lists_unknown_first_and_ratings(spark):
 
 
 def test_missing_source_is_answered_with_a_caveat(spark):
-    df, note = S.or_insufficient(None, lambda t: t, spark, "invoice_number string", "invoice_register")
+    df, note = S.or_insufficient(None, lambda t: S.get_outstanding_invoices(t, "Finance"), "invoice_register")
     assert df.count() == 0 and note.startswith("insufficient_data")

@@ -81,3 +81,22 @@ def test_action_status_and_streak(spark):
     assert {r.issue_id: r.status for r in L.action_status(ev).collect()} == {"i": "partial", "j": "previewed"}
     runs = spark.createDataFrame([("a", 1, "Failed"), ("a", 2, "Succeeded"), ("a", 3, "Failed"), ("a", 4, "Failed"), ("b", 1, "Failed"), ("c", 1, "Succeeded")], "job string, started int, status string")
     assert {r.job: r.streak for r in L.failure_streaks(runs).collect()} == {"a": 2, "b": 1, "c": 0}
+
+
+@pytest.mark.parametrize("text,kind", [("ok, 谁过期了?", "question"), ("hi 谁在现场?", "question"), ("宏达劳务经常出问题", "supplier_flag"),
+                                       ("合规的定义是 每个人都有有效证书", "definition"), ("Thanks!", "chitchat"), ("hello", "chitchat")])
+def test_utterances_in_any_script(spark, text, kind):
+    k = T.classify_utterance("t")["kind"]
+    assert spark.createDataFrame([(text,)], "t string").select(k.alias("k")).first().k == kind
+
+
+def test_followups_need_a_sign_and_swap_entities(spark):
+    args = {"worker_name": "Jane", "site": "A"}
+    rows = [("c", 1, "hours at A", "timesheet", "get_weekly_timesheet", args), ("c", 2, "what about Yard Nine", None, None, None),
+            ("c", 3, "I spoke with Carter about something else yesterday", None, None, None), ("c", 4, "and for Carter", None, None, None)]
+    turns = spark.createDataFrame(rows, "conversation_id string, turn int, text string, tool string, function string, args map<string,string>")
+    named = spark.createDataFrame([("c", 2, "site", "Yard Nine"), ("c", 4, "supplier", "X")], "conversation_id string, turn int, type string, value string")
+    got = {r.turn: r for r in T.followups(turns, "2026-06-01", entities=named).collect()}
+    assert set(got) == {2, 4}
+    assert got[2].args["site"] == "Yard Nine" and got[2].entity_changed
+    assert got[4].args == {"worker_name": "Carter", "site": "A"} and not got[4].entity_changed
