@@ -24,8 +24,9 @@ STOP_WORDS = ["the", "and", "for", "what", "who", "show", "timesheet", "roster",
 WORD = r"([A-Za-z][A-Za-z0-9&.-]{2,})"
 ABBREVIATION = r"(?<![A-Za-z0-9])([A-Z][A-Z&]{1,3})(?![A-Za-z0-9])"
 EXPLICIT = r"(?i)(site|project|client|supplier|company)\s*[=:：]\s*([A-Za-z0-9 _.&-]+)"
-RARE_TO_COMMON = "qjzxvkwyfbghmpduclsntoirae0123456789"
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SORT_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij"
+STAGES = (90.0, 70.0, 55.0)
 
 CHITCHAT = r"(?iU)^(hi|hello|hey|thanks?|thank you|ok|okay|cool|great|good|nice|bye|你好|谢谢|好的|嗯|哈喽)\W*$"
 QUESTION = (r"(?i)[?？]|^(who|what|which|how|when|where|is |are |do |does |can |show|list|give|"
@@ -100,12 +101,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(total > 0, 200.0 * lcs_length(letters(a), letters(b)) / total).otherwise(0.0)
 
 
-def _tokens(c: Column) -> Column:
-    """Each character with its running number in the text, so equal texts share all tokens."""
+def letter_order(vocab: DataFrame) -> str:
+    """The letters of comparison forms from rare to common, as counted in the dictionary (36 numbers, one scan)."""
+    seen = vocab.agg(*[F.count_if(F.col("norm").contains(ch)).alias(f"n_{ch}") for ch in ALPHABET]).first()
+    return "".join(sorted(ALPHABET, key=lambda ch: (seen[f"n_{ch}"] or 0, ch)))
+
+
+def _tokens(c: Column, order: str) -> Column:
+    """Each character with its running number in the text, so equal texts share all tokens; rare letters first."""
     def token(i: Column) -> Column:
         ch, head = F.substring(c, i, F.lit(1)), F.substring(c, F.lit(1), i)
         nth = F.length(head) - F.length(F.replace(head, ch, F.lit("")))
-        return F.concat(F.translate(ch, RARE_TO_COMMON, SORT_CODES), nth.cast("string"))
+        return F.concat(F.translate(ch, order, SORT_CODES), nth.cast("string"))
     return F.array_sort(F.transform(F.sequence(F.lit(1), F.length(c)), token))
 
 
@@ -122,8 +129,26 @@ def _pairs(prefix: Column) -> Column:
     return F.flatten(F.transform(prefix, with_rest))
 
 
-def near_names(terms: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
-    """All (norm, vocabulary entry) pairs with similarity of at least ``threshold``; none is missed.
+def near_names(terms: DataFrame, vocab: DataFrame, threshold: float, best: int | None = None) -> DataFrame:
+    """(norm, vocabulary entry) pairs with similarity of at least ``threshold``; none is missed.
+
+    With ``best`` a term is looked up in stages, from very similar to the threshold, and leaves as soon as a stage has found
+    that many different names: all names above the stage's bound are known then, so its best ``best`` are exact, and the
+    many weaker pairs of names that differ in a digit or two are never made.
+    """
+    order = letter_order(vocab)
+    stages = [s for s in STAGES if s > threshold + 1e-9] if best is not None else []
+    parts, left = [], terms.select("norm").distinct()
+    for stage in stages:
+        found = _near(left, vocab, stage, order)
+        done = found.groupBy("norm").agg(F.count_distinct("value").alias("_names")).filter(F.col("_names") >= int(best)).select("norm")
+        parts.append(found.join(done, "norm", "left_semi"))
+        left = left.join(done, "norm", "left_anti")
+    return reduce(DataFrame.unionByName, [*parts, _near(left, vocab, threshold, order)])
+
+
+def _near(terms: DataFrame, vocab: DataFrame, threshold: float, order: str) -> DataFrame:
+    """All pairs of at least ``threshold``.
 
     Two texts of known lengths that are similar enough share at least ``t`` numbered
     characters.  Sorted from rare to common, their first ``len - t + 2`` ones must then have
@@ -132,8 +157,8 @@ def near_names(terms: DataFrame, vocab: DataFrame, threshold: float) -> DataFram
     of the rest before the exact score is computed.
     """
     ratio = threshold / (200.0 - threshold)
-    v = vocab.select("norm").distinct().select(F.col("norm").alias("v_norm"), F.length("norm").alias("lv"), _tokens(F.col("norm")).alias("v_tok"))
-    t = terms.select("norm").distinct().select("norm", F.length("norm").alias("lt"), _tokens(F.col("norm")).alias("t_tok"))
+    v = vocab.select("norm").distinct().select(F.col("norm").alias("v_norm"), F.length("norm").alias("lv"), _tokens(F.col("norm"), order).alias("v_tok"))
+    t = terms.select("norm").distinct().select("norm", F.length("norm").alias("lt"), _tokens(F.col("norm"), order).alias("t_tok"))
 
     def fan(df: DataFrame, own: str, other: str, tok: str) -> DataFrame:
         first = F.greatest(F.ceil(F.col(own) * ratio - 1e-9).cast("int"), F.lit(1))
@@ -150,6 +175,9 @@ def near_names(terms: DataFrame, vocab: DataFrame, threshold: float) -> DataFram
         right.select("v_norm", "v_tok", "lt", "lv", "sig"), ["lt", "lv", "sig"])
     shared = F.size(F.array_intersect("t_tok", "v_tok"))
     pairs = found.filter(shared >= _need(F.col("lt"), F.col("lv"), threshold)).select("norm", "v_norm").distinct()
+    # with replacements allowed a text is never further away than without, so this cheap distance loses no pair
+    far = F.levenshtein("norm", "v_norm") > (F.length("norm") + F.length("v_norm")) * ((100.0 - threshold) / 100.0) + 1e-9
+    pairs = pairs.filter(~far)
     scored = pairs.withColumn("raw_score", similarity(F.col("norm"), F.col("v_norm"))).filter(F.col("raw_score") >= threshold - 1e-9)
     return scored.join(vocab.select(F.col("norm").alias("v_norm"), "type", "value"), "v_norm").select(
         "norm", "type", "value", "raw_score", F.round("raw_score", 1).alias("score"))
@@ -180,7 +208,7 @@ def resolve_mentions(mentions: DataFrame, vocab: DataFrame, aliases: DataFrame)
     # only what is still open enters the similarity join
     best = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(TYPE_PRIORITY), "value")
     terms = known.filter("_value IS NULL AND length(norm) >= 2")
-    top = (collapse(near_names(terms, vocab, CANDIDATE)).withColumn("n", F.row_number().over(best))
+    top = (collapse(near_names(terms, vocab, CANDIDATE, RUNNERS + 1)).withColumn("n", F.row_number().over(best))
            .filter(F.col("n") <= RUNNERS + 1))
     # at most four candidates per term reach this aggregation
     lists = top.groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("n", "type", "value", "score"))).alias("c"))
@@ -221,9 +249,9 @@ def direct(m: DataFrame, vocab: DataFrame, aliases: DataFrame, typed: bool = Fal
 
 
 def suggest(terms: DataFrame, vocab: DataFrame, limit: int = 5) -> DataFrame:
-    """T4: closest entities per term from 55 on, one per name."""
+    """T4: the ``limit`` closest entities per term from 55 on, one per name."""
     t = terms.select("mention").distinct().withColumn("norm", norm_name("mention")).filter("norm <> ''")
-    near = near_names(t, vocab, SUGGEST)
+    near = near_names(t, vocab, SUGGEST, limit)
     one = latest(near.withColumn("_p", -_rank(LOOKUP_ORDER)), ["norm", "value"], ["score", "_p"]).drop("_p")
     w = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(LOOKUP_ORDER), "value")
     top = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= int(limit))

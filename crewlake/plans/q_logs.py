@@ -25,11 +25,11 @@ def names(t: Tables) -> DataFrame:
 
 VOCAB = """src AS (SELECT DISTINCT 'site' AS type, p_name AS value FROM part UNION SELECT 'project', p_brand FROM part UNION SELECT 'supplier', n_name FROM nation
   UNION SELECT 'client', r_name FROM region UNION SELECT 'company', c_mktsegment FROM customer),
-vocab AS (SELECT type, value, regexp_replace(replace(lower(value),'&',' and '),'[^a-z0-9]','','g') AS norm FROM src)"""
+named AS (SELECT type, value, regexp_replace(replace(lower(value),'&',' and '),'[^a-z0-9]','','g') AS norm FROM src),
+people2 AS (SELECT 'person' AS type, 'Customer '||lpad(CAST(c_custkey AS VARCHAR),9,'0') AS value, lpad(CAST(c_custkey AS VARCHAR),9,'0') AS last FROM customer),
+vocab AS (SELECT * FROM named UNION ALL SELECT type, value, 'customer'||last FROM people2 UNION ALL SELECT type, value, last FROM people2)"""
 add("vocabulary", lambda t: T.vocabulary(names(t), t.person), f"""
-WITH {VOCAB} SELECT type, norm, value FROM vocab UNION ALL
-SELECT 'person', 'customer'||lpad(CAST(c_custkey AS VARCHAR),9,'0'), 'Customer '||lpad(CAST(c_custkey AS VARCHAR),9,'0') FROM customer UNION ALL
-SELECT 'person', lpad(CAST(c_custkey AS VARCHAR),9,'0'), 'Customer '||lpad(CAST(c_custkey AS VARCHAR),9,'0') FROM customer""")
+WITH {VOCAB} SELECT type, norm, value FROM vocab""")
 
 ALIASES = {"SR": "small ring", "T&H": "red widget", "nobody": "no such thing"}
 
@@ -50,13 +50,14 @@ LCS = """list_reduce([[CASE WHEN a[i] = b[j] THEN 1 ELSE 0 END for j in range(1,
 
 
 def _scores(terms: str) -> str:
-    return f"""pairs0 AS (SELECT DISTINCT t.norm, v.norm AS vnorm, string_split(t.norm,'') AS a, string_split(v.norm,'') AS b FROM {terms} t, vocab v WHERE t.norm <> ''),
+    return f"""pairs0 AS (SELECT DISTINCT t.norm, v.norm AS vnorm, string_split(t.norm,'') AS a, string_split(v.norm,'') AS b FROM {terms} t, (SELECT DISTINCT norm FROM vocab) v
+  WHERE t.norm <> '' AND levenshtein(t.norm, v.norm) <= (length(t.norm) + length(v.norm)) * 0.45 + 1e-9),
 pairs1 AS (SELECT norm, vnorm, 200.0 * {LCS} / (len(a) + len(b)) AS raw FROM pairs0),
 scored AS (SELECT p.norm, v.type, v.value, v.norm AS vnorm, p.raw, round(p.raw,1) AS score FROM pairs1 p JOIN vocab v ON v.norm = p.vnorm)"""
 
 
 def _vocab(t: Tables) -> DataFrame:
-    return T.vocabulary(names(t))
+    return T.vocabulary(names(t), t.person)
 
 
 add("near_names", lambda t: T.near_names(mentions(t).withColumn("norm", T.norm_name("mention")).filter("length(norm) >= 2"), _vocab(t), 70.0)
@@ -95,8 +96,7 @@ def questions(t: Tables) -> DataFrame:
 
 
 def _detected(t: Tables) -> DataFrame:
-    fixed = T.vocabulary(names(t).filter("value IN ('small ring', 'red widget', 'hot bolt', 'NATION_7')"))
-    return T.detect_mentions(questions(t), fixed, T.alias_table(t.spark, ALIASES)).select("question_id", "type", "value", "score")
+    return T.detect_mentions(questions(t), _vocab(t), T.alias_table(t.spark, ALIASES)).select("question_id", "type", "value", "score")
 
 
 add("detect_mentions", _detected, """
