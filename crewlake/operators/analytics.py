@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewlake.functions.scalars import AsOf, day, full_name, iso_date
+from crewlake.functions.scalars import AsOf, day, iso_date
 from crewlake.operators.serve import (
     FIELD_POSITIONS,
     WORKER,
     beside,
     due_within,
     expired,
-    find_deployable_workers,
-    find_roster_gaps,
     rostered_from,
     since_days,
     supplier_compliance_risk,
+    worker_facts,
+    workforce_figures,
 )
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -188,19 +188,13 @@ def kpis(profile: DataFrame, certs: DataFrame, roster: DataFrame, projects: Data
          positions: Sequence[str] = tuple(FIELD_POSITIONS)) -> DataFrame:
     """K1: the six headline numbers as one row.
 
-    Certificate counts come from one scan.  Roster risk needs only *whether* a worker was
-    rostered, so the roster is reduced to distinct ids before it meets the certificates.
+    Certificates, roster and people are read once each and reduced to one row per worker.
     """
-    recent = rostered_from(roster, since_days(as_of, 30)).select(WORKER).distinct()
-    risk = (expired(certs).join(recent, WORKER, "left_semi").select(WORKER, "competency_name").distinct()
-            .agg(F.count("*").alias("workforce_risk")))
-    tickets = certs.agg(
-        F.count_if(~F.col("is_expired") & F.col("days_to_expiry").between(0, 30)).alias("expiring_30d"),
-        F.count_if("is_expired").alias("expired_total"))
-    idle = find_roster_gaps(profile, roster, as_of, 90).agg(F.count("*").alias("idle_pool"))
+    figures = workforce_figures(worker_facts(profile, certs, roster, positions), as_of).select(
+        F.col("expired_kinds").alias("workforce_risk"), F.col("due_30d").alias("expiring_30d"), F.col("expired").alias("expired_total"),
+        F.col("idle").alias("idle_pool"), "deployable")
     active = projects.agg(F.count_if(F.col("is_active") == True).alias("active_projects"))  # noqa: E712
-    pool = find_deployable_workers(profile, certs, roster, as_of, positions).agg(F.count("*").alias("deployable"))
-    return beside(risk, tickets, idle, active, pool)
+    return beside(figures, active)
 
 
 def business_exposure(certs: DataFrame, roster: DataFrame, as_of: AsOf) -> DataFrame:

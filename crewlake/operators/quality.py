@@ -209,18 +209,21 @@ def freshness_caution(tables_used: DataFrame, freshness: DataFrame) -> DataFrame
 ISSUE = ["issue_id", "type", "node", "entity", "owner", "severity", "affected_count", "evidence_source"]
 
 
-def issue(df: DataFrame, condition: Column, *, issue_id: str, type: str, node: str, entity: str, owner: str,
-          severity: str | Column, source: str, count: Column | None = None) -> DataFrame:
-    """One issue row when any record of ``df`` meets the condition, else no row.
+def issues_of(df: DataFrame, *detectors: dict) -> DataFrame:
+    """One row for each detector that any record of ``df`` meets; all detectors of a table share one scan.
 
-    ``severity`` is a word or an aggregate column.
+    A detector has issue_id, type, node, entity, owner, source, condition, severity (a word or an aggregate column) and
+    maybe count (an aggregate column instead of the number of records).
     """
-    n = F.count_if(condition) if count is None else count
-    level = F.max(F.lit(severity)) if isinstance(severity, str) else severity
-    return df.agg(n.cast("bigint").alias("affected_count"), level.alias("severity")).filter("affected_count > 0").select(
-        F.lit(issue_id).alias("issue_id"), F.lit(type).alias("type"), F.lit(node).alias("node"),
-        F.lit(entity).alias("entity"), F.lit(owner).alias("owner"), "severity", "affected_count",
-        F.lit(source).alias("evidence_source"))
+    aggs, rows = [], []
+    for i, d in enumerate(detectors):
+        n = d.get("count")
+        aggs += [(F.count_if(d["condition"]) if n is None else n).cast("bigint").alias(f"n{i}"),
+                 (F.max(F.lit(d["severity"])) if isinstance(d["severity"], str) else d["severity"]).alias(f"s{i}")]
+        words = [F.lit(d[k]).alias(k) for k in ("issue_id", "type", "node", "entity", "owner")]
+        rows.append(F.struct(*words, F.col(f"s{i}").alias("severity"), F.col(f"n{i}").alias("affected_count"),
+                             F.lit(d["source"]).alias("evidence_source")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows))).filter("affected_count > 0")
 
 
 def week_due() -> Column:
@@ -233,28 +236,27 @@ def detect_issues(certs: DataFrame, audit: DataFrame, roster: DataFrame, freshne
     stale = F.col("status") == "stale"
     unpaid = (F.col("invoice_type") == "ACCREC") & (F.col("status") == "AUTHORISED") & (F.col("amount_due") > 0)
     failed = F.col("conclusion").isNotNull() & (F.col("conclusion") != "success")
+    people = dict(type="expired_certificate", node="opms", entity="certificates", owner="HR / Compliance", source="gold:training_compliance")
+    from_lake, from_accounts = stale & (F.col("source") == "lake"), stale & (F.col("source") == "accounts")
     found = [
-        issue(certs, F.col("is_expired"), issue_id="iss-cert-expired", type="expired_certificate", node="opms",
-              entity="certificates", owner="HR / Compliance", severity="high", source="gold:training_compliance"),
-        issue(certs, week_due(), issue_id="iss-cert-7d", type="expired_certificate", node="opms", entity="certificates",
-              owner="HR / Compliance", severity="medium", source="gold:training_compliance"),
-        issue(audit, F.col("status") != "ok", issue_id="iss-links", type="broken_folder_link", node="bms", entity="jms_jobs",
-              owner="File Agent", severity="medium", source="link_audit"),
-        issue(roster, F.col("roster_date").isNull(), issue_id="iss-roster", type="missing_field", node="opms",
-              entity="roster", owner="Operations", severity="medium", source="gold:roster_summary"),
-        issue(freshness.filter("source = 'lake'"), stale, issue_id="iss-snapshot-stale", type="data_freshness", node="lake",
-              entity="data_quality", owner="Operations", severity="high", source="freshness",
-              count=F.max(F.when(stale, F.col("age_days")))),
-        issue(checks, ~F.col("ok"), issue_id="iss-dq-fail", type="data_freshness", node="lake", entity="data_quality",
-              owner="Operations", source="checks",
-              severity=F.when(F.bool_or(F.col("level") == "FAIL"), "critical").otherwise("medium")),
-        issue(freshness.filter("source = 'accounts'"), stale, issue_id="iss-accounts-stale", type="failed_sync",
-              node="accounts", entity="invoice_register", owner="Finance", severity="high", source="freshness",
-              count=F.max(F.when(stale, F.col("age_days")))),
-        issue(register, unpaid, issue_id="iss-ar", type="finance_mismatch", node="accounts", entity="ar_aging",
-              owner="Finance", severity="medium", source="gold:invoice_register"),
-        issue(runs, failed, issue_id="iss-automation", type="failed_sync", node="functions", entity="daily_jobs",
-              owner="Operations", severity="high", source="job_runs"),
+        issues_of(certs, dict(people, condition=F.col("is_expired"), issue_id="iss-cert-expired", severity="high"),
+                  dict(people, condition=week_due(), issue_id="iss-cert-7d", severity="medium")),
+        issues_of(audit, dict(condition=F.col("status") != "ok", issue_id="iss-links", type="broken_folder_link", node="bms", entity="jms_jobs",
+                              owner="File Agent", severity="medium", source="link_audit")),
+        issues_of(roster, dict(condition=F.col("roster_date").isNull(), issue_id="iss-roster", type="missing_field", node="opms",
+                               entity="roster", owner="Operations", severity="medium", source="gold:roster_summary")),
+        issues_of(freshness,
+                  dict(condition=from_lake, issue_id="iss-snapshot-stale", type="data_freshness", node="lake", entity="data_quality",
+                       owner="Operations", severity="high", source="freshness", count=F.max(F.when(from_lake, F.col("age_days")))),
+                  dict(condition=from_accounts, issue_id="iss-accounts-stale", type="failed_sync", node="accounts", entity="invoice_register",
+                       owner="Finance", severity="high", source="freshness", count=F.max(F.when(from_accounts, F.col("age_days"))))),
+        issues_of(checks, dict(condition=~F.col("ok"), issue_id="iss-dq-fail", type="data_freshness", node="lake", entity="data_quality",
+                               owner="Operations", source="checks",
+                               severity=F.when(F.bool_or(F.col("level") == "FAIL"), "critical").otherwise("medium"))),
+        issues_of(register, dict(condition=unpaid, issue_id="iss-ar", type="finance_mismatch", node="accounts", entity="ar_aging",
+                                 owner="Finance", severity="medium", source="gold:invoice_register")),
+        issues_of(runs, dict(condition=failed, issue_id="iss-automation", type="failed_sync", node="functions", entity="daily_jobs",
+                             owner="Operations", severity="high", source="job_runs")),
     ]
     return reduce(DataFrame.unionByName, found)
 

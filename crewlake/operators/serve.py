@@ -505,6 +505,41 @@ def find_deployable_workers(profile: DataFrame, certs: DataFrame, roster: DataFr
             .select(WORKER, "first_name", "last_name", "position_name", "supplier_name"))
 
 
+def worker_facts(profile: DataFrame, certs: DataFrame, roster: DataFrame, positions: Sequence[str] = tuple(FIELD_POSITIONS)) -> DataFrame:
+    """One row per worker with what all workforce figures need; every table is read once and reduced before they meet.
+
+    is_active, field (holds a field position), expired, expired_kinds (competencies with an expired certificate), due_30d,
+    due_90d, last_day (last rostered day).  Workers of one table alone are there as well.
+    """
+    trade = reduce(lambda a, b: a | b, [has_text("position_name", p) for p in positions])
+    people = profile.select(WORKER, F.coalesce("is_active", F.lit(False)).alias("is_active"), F.coalesce(trade, F.lit(False)).alias("field"))
+    open_days = lambda n: F.count_if(~F.col("is_expired") & F.col("days_to_expiry").between(0, n))
+    held = certs.groupBy(WORKER, "competency_name").agg(
+        F.count_if("is_expired").alias("expired"), open_days(30).alias("due_30d"), open_days(90).alias("due_90d")).withColumn(
+        "expired_kinds", (F.col("expired") > 0).cast("bigint")).drop("competency_name")
+    days = roster.groupBy(WORKER).agg(F.max("roster_date").alias("last_day"))
+    all_of = people.unionByName(held, allowMissingColumns=True).unionByName(days, allowMissingColumns=True)
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expired", "expired_kinds", "due_30d", "due_90d")]
+    flag = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("is_active", "field")]
+    return all_of.groupBy(WORKER).agg(*flag, *total, F.max("last_day").alias("last_day"))
+
+
+def not_rostered_since(first_day: str) -> Column:
+    return F.col("last_day").isNull() | (F.col("last_day") < first_day)
+
+
+def workforce_figures(facts: DataFrame, as_of: AsOf) -> DataFrame:
+    """One row of figures from :func:`worker_facts`."""
+    def total(c: str, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(c if when is None else F.when(when, F.col(c))), F.lit(0)).alias(c)
+
+    recent = F.col(WORKER).isNotNull() & (F.col("last_day") >= since_days(as_of, 30))
+    return facts.agg(
+        total("expired_kinds", recent), total("due_30d"), total("expired"), F.count_if("is_active").alias("active"),
+        F.count_if(F.col("is_active") & not_rostered_since(since_days(as_of, 90))).alias("idle"),
+        F.count_if(F.col("is_active") & F.col("field") & (F.col("expired") == 0) & not_rostered_since(str(as_of))).alias("deployable"))
+
+
 def expired_per_worker(certs: DataFrame) -> DataFrame:
     """Expired certificates counted per worker: one row per worker before any join."""
     return expired(certs).groupBy(WORKER).agg(F.count("*").alias("expired_certs"))
@@ -620,14 +655,12 @@ def workforce_risk_report(roster, certs, profile, as_of: AsOf) -> DataFrame:
 
 def workforce_report(profile, certs, roster, suppliers, as_of: AsOf, positions=tuple(FIELD_POSITIONS)) -> DataFrame:
     """F54."""
-    people = profile.agg(F.count_if("is_active").alias("active_workers"))
-    tickets = certs.agg(F.count_if("is_expired").alias("expired_certs"),
-                        F.count_if(~F.col("is_expired") & F.col("days_to_expiry").between(0, 30)).alias("expiring_30d"))
-    pool = find_deployable_workers(profile, certs, roster, as_of, positions).agg(F.count("*").alias("deployable"))
-    idle = find_roster_gaps(profile, roster, as_of).agg(F.count("*").alias("bench"))
+    figures = workforce_figures(worker_facts(profile, certs, roster, positions), as_of).select(
+        F.col("active").alias("active_workers"), F.col("expired").alias("expired_certs"), F.col("due_30d").alias("expiring_30d"),
+        "deployable", F.col("idle").alias("bench"))
     supply = suppliers.filter("is_active").agg(F.count("*").alias("active_suppliers"),
                   F.max_by("supplier_name", F.struct("worker_count", "supplier_name")).alias("largest_supplier"))
-    return beside(people, tickets, pool, idle, supply)
+    return beside(figures, supply)
 
 
 def site_readiness(sites: DataFrame, certs: DataFrame) -> DataFrame:
