@@ -258,14 +258,18 @@ def weekly_timesheet(lines: DataFrame, hours: DataFrame, gaps: DataFrame, contex
 
     plant = F.upper("position_name").startswith(PLANT_PREFIX) & (F.upper(F.trim("site_name")) == PLANT_SITE)
     sited = all_lines.join(site_names, "site_id", "left").filter(~F.coalesce(plant, F.lit(False)))
+    if mode != "reference" and "_pos" not in lines.columns:
+        raise ValueError("roster lines need their position (_pos): without it the first line of a day is unknown")
     day = ["opms", "work_date"]
-    matched = sited.join(hours, day, "left").join(gaps, day, "left")
+    # everything known about a worker-day in one row: entered hours, gaps, and its first roster line (plant lines were
+    # dropped above, so they do not cover a day)
+    known = (hours.select(*day, "hours").unionByName(gaps.select(*day, "gap_hours"), allowMissingColumns=True)
+             .unionByName(sited.select(*day, F.col("_pos").alias("_first"), F.lit(True).alias("_lined")), allowMissingColumns=True)
+             .groupBy(*day).agg(F.max("hours").alias("hours"), F.max("gap_hours").alias("gap_hours"), F.min("_first").alias("_first"),
+                                F.coalesce(F.bool_or("_lined"), F.lit(False)).alias("_lined")))
+    matched = sited.join(known.filter("_lined").drop("_lined"), day)
     if mode != "reference":
-        if "_pos" not in lines.columns:
-            raise ValueError("roster lines need their position (_pos): without it the first line of a day is unknown")
-        # only the first line of a day keeps hours: one small row per worker-day decides which
-        firsts = sited.groupBy(*day).agg(F.min("_pos").alias("_first"))
-        matched = matched.join(firsts, day, "left")
+        # only the first line of a day keeps hours
         later = F.coalesce(F.col("_pos") > F.col("_first"), F.lit(False))
         matched = (matched.withColumn("hours", F.when(later & F.col("hours").isNotNull(), F.lit(0.0))
                                       .otherwise(F.col("hours")))
@@ -274,27 +278,24 @@ def weekly_timesheet(lines: DataFrame, hours: DataFrame, gaps: DataFrame, contex
         matched.withColumn("roster_hours", F.coalesce("hours", "line_hours", F.lit(0.0)))
         .withColumn("hours_source", F.when(F.col("hours").isNotNull(), SOURCE_SHEET)
                     .when(F.col("line_hours").isNotNull(), SOURCE_ROSTER).otherwise(SOURCE_NONE))
-        .join(own, "supplier_id", "left").join(listed, "opms", "left")
-        .withColumn("supplier_name", F.coalesce("own_name", "list_name"))
     )
 
     names = latest(employees.select(norm_id("id").alias("opms"), F.col("first_name").alias("_fn"),
                                     F.col("last_name").alias("_ln"), get(employees, "_pos", "bigint").alias("_pos")),
                    ["opms"], ["_pos"], first=True).drop("_pos")
-    # plant lines were dropped above, so they do not cover a day
-    missing = hours.join(sited.select(*day).distinct(), day, "left_anti")
-    ctx = missing.join(context, day, "left")
+    missing = known.filter("NOT _lined AND hours IS NOT NULL").select(*day, "hours", "gap_hours")
     not_plant = ~F.coalesce(F.upper(F.trim("position_name")).startswith(PLANT_PREFIX), F.lit(False))
     backfill = (
-        ctx.filter(not_plant).join(gaps, day, "left").join(names, "opms", "left").join(listed, "opms", "left")
+        missing.join(context, day, "left").filter(not_plant).join(names, "opms", "left")
         .withColumn("first_name", F.coalesce(text("first_name"), F.col("_fn")))
         .withColumn("last_name", F.coalesce(text("last_name"), F.col("_ln")))
         .withColumn("position_name", text("position_name"))
         .withColumn("work_type", F.col("work_type_name")).withColumn("roster_hours", F.col("hours"))
-        .withColumn("site_name", F.lit(None).cast("string")).withColumn("supplier_name", F.col("list_name"))
+        .withColumn("site_name", F.lit(None).cast("string")).withColumn("supplier_id", F.lit(None).cast("string"))
         .withColumn("hours_source", F.lit(SOURCE_BACKFILL))
     )
-    keep = [*day, "first_name", "last_name", "position_name", "project_name", "site_name", "supplier_name",
+    keep = [*day, "first_name", "last_name", "position_name", "project_name", "site_name", "supplier_id",
             "work_type", "roster_hours", "gap_hours", "hours_source"]
-    both = rostered.select(*keep).unionByName(backfill.select(*keep))
+    both = (rostered.select(*keep).unionByName(backfill.select(*keep)).join(own, "supplier_id", "left").join(listed, "opms", "left")
+            .withColumn("supplier_name", F.coalesce("own_name", "list_name")))
     return _finish(with_client(both)).select(*WEEKLY)

@@ -164,10 +164,12 @@ class Tables:
     def roster_list(self) -> DataFrame:
         o = self.raw("orders")
         low = F.col("o_orderpriority") == "5-LOW"
+        # 16:30 UTC is the next day here; pending orders are listed a day late, so their worked day has no line
+        moved = F.when(F.col("o_orderstatus") == "P", 0).otherwise(1)
         code = F.when(F.col("o_orderstatus") == "F", F.lower(job_code("o_orderkey"))).otherwise(job_code("o_orderkey"))
         return o.select(
             F.col("o_custkey").cast("string").alias("OPMS"),
-            F.concat(iso(F.date_sub(F.col("o_orderdate").cast("date"), 1)), F.lit("T16:30:00Z")).alias("Date_x0020_From"),
+            F.concat(iso(F.date_sub(F.col("o_orderdate").cast("date"), moved)), F.lit("T16:30:00Z")).alias("Date_x0020_From"),
             F.lit("Customer").alias("First_x0020_Name"),
             F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("Last_x0020_Name"),
             F.when(low, "Z. CRANE").otherwise(F.col("o_orderpriority")).alias("Position"),

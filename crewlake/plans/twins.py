@@ -84,7 +84,7 @@ SELECT o_custkey AS opms_employee_id, 'Customer' AS first_name, lpad(CAST(o_cust
 FROM orders, (VALUES (0), (1)) t(d)""",
     "list_lines": """
 SELECT o_custkey AS opms_employee_id, 'Customer' AS first_name, lpad(CAST(o_custkey AS VARCHAR),9,'0') AS last_name,
-  CAST(o_orderdate AS DATE) AS roster_day, o_orderkey AS pos,
+  CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS roster_day, o_orderkey AS pos,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'Z. CRANE' ELSE o_orderpriority END AS position_name,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'Yard '||(o_orderkey % 7)
        WHEN o_orderstatus = 'F' THEN 'sh-'||(25000 + o_orderkey % 100)||' - list'
