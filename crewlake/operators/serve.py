@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crewlake.functions.scalars import AsOf, day, full_name, has_text, iso_date
+from crewlake.functions.scalars import AsOf, full_name, has_text
 from crewlake.operators.reconcile import live_worker_hours  # noqa: F401  (F25)
 from crewlake.spec import GOLD, SUPERUSERS
 
