@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlake.llm.shared import HashFilter, cut, with_columns
-from crewlake.llm.textbytes import LETTER, Chunk, chunks, lowest_in_windows, mix
+from crewlake.llm.textbytes import CHUNK, LETTER, Chunk, chunks, lowest_from, mix
 
 LENGTH, GRAM = 200, 64
 HOT = 50_000
@@ -39,29 +41,42 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+
+
 class _Sums:
     """Hashes of any stretch of a chunk's bytes, from running sums of a polynomial modulo 2 ** 64."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), _BASE, np.uint64)))) if n else np.zeros(0, np.uint64)
-            self.down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BACK, np.uint64))))
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTER[data] * up, dtype=np.uint64)))
+        size = CHUNK if n <= CHUNK else n
+        self.down = _powers(_BACK, size)
+        values = LETTER[data]
+        values *= _powers(_BASE, size)[:n]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def runs(self, width: int) -> np.ndarray:
+        """Hashes of all stretches of ``width`` bytes, by their first byte."""
+        h = self.sums[width:] - self.sums[:-width]
+        h *= self.down[: len(h)]
+        return mix(h + np.uint64(width))
+
 
 def _anchors(chunk: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, _Sums]:
     """(hash, position in the chunk) of the anchors of all rows, which have at least ``length`` bytes each."""
     sums = _Sums(chunk.data)
-    per_row = np.diff(chunk.offsets) - gram + 1
-    bounds = np.concatenate(([0], np.cumsum(per_row)))
-    start = np.arange(int(bounds[-1])) + np.repeat(chunk.offsets[:-1] - bounds[:-1], per_row)
-    h = sums.of(start, start + gram)
-    picked = lowest_in_windows(h, bounds, length - gram + 1)
-    return h[picked], start[picked], sums
+    h = sums.runs(gram)
+    fits = np.zeros(len(h), bool)  # a whole string begins here within its row
+    for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
+        fits[a: b - length + 1] = True
+    at = lowest_from(h, fits, length - gram + 1)
+    return h[at], at, sums
 
 
 def _long_texts(docs: DataFrame, text_column: str, length: int) -> DataFrame:
@@ -219,7 +234,7 @@ def _range_batch(anchor, around, found) -> pa.RecordBatch:
                                       ["anchor", "around", "near", "far"])
 
 
-def _by_suffixes(tuples: DataFrame, length: int, gram: int) -> DataFrame:
+def _by_suffixes(dealt: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows (anchor, around, near, far): strings that start ``near`` to ``far`` bytes before the anchor are repeated."""
     reach = length - gram
 
@@ -241,6 +256,7 @@ def _by_suffixes(tuples: DataFrame, length: int, gram: int) -> DataFrame:
             return _range_batch(anchor, np.array(around, np.int64), found)
 
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("hot")))
             held.extend(zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "left", "right", "n"))))
             if len(held) >= BLOCK_ROWS:
                 last = held[-1][0]
@@ -251,14 +267,16 @@ def _by_suffixes(tuples: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield close(held)
 
-    return (tuples.select("anchor", "around", "left", "right", "n").repartition("anchor")
-            .sortWithinPartitions("anchor", "right", "around").mapInArrow(run, _RANGE))
+    return dealt.sortWithinPartitions("anchor", "right", "around").mapInArrow(run, _RANGE)
 
 
-def _by_hash(tuples: DataFrame, length: int, gram: int) -> DataFrame:
+def _by_hash(dealt: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for anchors with very many surroundings: distinct surroundings give the hashes of their strings."""
     reach = length - gram
-    one = tuples.groupBy("anchor", "around").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (batch.filter(batch.column("hot")) for batch in batches)
+
+    one = dealt.mapInArrow(hot, dealt.schema).groupBy("anchor", "around").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +299,13 @@ def _by_hash(tuples: DataFrame, length: int, gram: int) -> DataFrame:
     each = one.select("anchor", "around", "left", "right", "n").mapInArrow(strings, "anchor long, around long, near long, string long, n long")
     # at one distance from the anchor: a run of one letter holds its anchor at several places
     many = each.groupBy("anchor", "near", "string").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
-    return each.join(many, ["anchor", "near", "string"]).select("anchor", "around", "near", F.col("near").alias("far")).filter(F.col("near") <= reach)
+    found = (each.join(many, ["anchor", "near", "string"]).filter(F.col("near") <= reach)
+             .groupBy("anchor", "around").agg(F.collect_set("near").alias("at")))  # at most reach + 1 distances
+    # runs of neighbouring distances become one range each
+    near = F.sort_array(F.filter("at", lambda x: ~F.array_contains("at", x - 1)))
+    far = F.sort_array(F.filter("at", lambda x: ~F.array_contains("at", x + 1)))
+    return found.select("anchor", "around", F.explode(F.arrays_zip(near.alias("near"), far.alias("far"))).alias("r")).select(
+        "anchor", "around", "r.near", "r.far")
 
 
 def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
@@ -294,9 +318,12 @@ def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = LEN
     known = (HashFilter.of(counts, "anchor", filter_bits), HashFilter.of(counts.filter(F.col("n") > hot), "anchor", HOT_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(known)
     tuples = _surroundings(texts, shared, length, gram, True)
-    ranges = _by_suffixes(tuples.filter("not hot"), length, gram)
+    # one shuffle for both ways (each picks its rows after it, so that Spark reads the texts once): a hot anchor's tuples are
+    # spread by their surroundings, all others lie together
+    dealt = tuples.repartition("anchor", F.when(F.col("hot"), F.col("around")))
+    ranges = _by_suffixes(dealt, length, gram)
     if known[1].table.any():
-        ranges = ranges.unionByName(_by_hash(tuples.filter("hot"), length, gram))
+        ranges = ranges.unionByName(_by_hash(dealt, length, gram))
     places = _surroundings(texts, shared, length, gram, False)
     return (places.join(ranges, ["anchor", "around"])
             .select("h1", "h2", F.struct((F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + length).alias("end")).alias("s"))

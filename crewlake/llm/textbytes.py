@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+_STRETCH = 1 << 18
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
@@ -92,10 +93,20 @@ class Chunk:
         if not len(starts):
             return np.zeros(0, np.uint64)
         lens = ends - starts
-        at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        pos = np.arange(int(lens.sum())) - np.repeat(at, lens)
-        values = LETTER[fold[self.data[self._solid]]] * power_of(pos)
-        return mix(np.add.reduceat(values, at) + lens.astype(np.uint64))
+        letters = fold[self.data[self._solid]]
+        bounds = np.concatenate(([0], np.cumsum(lens)))
+        out = np.empty(len(lens), np.uint64)
+        first = 0
+        while first < len(lens):  # a stretch of words at a time: the wide arrays stay small
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _STRETCH, side="right")) - 1)
+            at = (bounds[first:last] - bounds[first]).astype(np.int32 if bounds[last] - bounds[first] < 1 << 31 else np.int64)
+            some = lens[first:last]
+            pos = np.arange(int(bounds[last] - bounds[first]), dtype=at.dtype) - np.repeat(at, some)
+            values = LETTER[letters[bounds[first]: bounds[last]]]
+            values *= power_of(pos)
+            out[first:last] = np.add.reduceat(values, at)
+            first = last
+        return mix(out + lens.astype(np.uint64))
 
     def joined(self, fold: np.ndarray = FOLD) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words one space apart, and each word's start and end in that."""
@@ -167,17 +178,26 @@ def lowest_in_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> np
     n = len(values)
     if n == 0:
         return np.zeros(0, np.int64)
-    ranked = (values & ~_POSITION) | (_POSITION - np.arange(n, dtype=np.uint64))
-    ok = windows(values, offsets, width)
-    chosen: list[np.ndarray] = []
-    if ok.any():
-        table = np.concatenate((ranked, np.full(-n % width, ~np.uint64(0)))).reshape(-1, width)
-        left = np.minimum.accumulate(table, axis=1).ravel()
-        right = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.flatnonzero(ok)
-        low = np.minimum(right[starts], left[starts + width - 1])
-        chosen.append(low[np.concatenate(([True], low[1:] != low[:-1]))])
+    chosen = [lowest_from(values, windows(values, offsets, width), width)]
     lens = np.diff(offsets)
     for r in np.flatnonzero((lens > 0) & (lens < width)):
-        chosen.append(ranked[offsets[r]: offsets[r + 1]].min(keepdims=True))
-    return np.sort((_POSITION - (np.concatenate(chosen) & _POSITION)).astype(np.int64)) if chosen else np.zeros(0, np.int64)
+        part = values[offsets[r]: offsets[r + 1]] & ~_POSITION
+        chosen.append(np.array([offsets[r + 1] - 1 - int(np.argmin(part[::-1]))]))
+    return np.sort(np.concatenate(chosen))
+
+
+def lowest_from(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Ascending positions of the lowest (rightmost of equals) of the ``width`` values from each marked position on."""
+    n = len(values)
+    if n < width or not starts.any():
+        return np.zeros(0, np.int64)
+    table = np.full(n + -n % width, ~np.uint64(0))
+    ranked = table[:n]
+    np.bitwise_and(values, ~_POSITION, out=ranked)
+    ranked |= _POSITION - np.arange(n, dtype=np.uint64)
+    table = table.reshape(-1, width)
+    left = np.minimum.accumulate(table, axis=1).ravel()
+    right = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    low = np.minimum(right[: n - width + 1], left[width - 1: n])[starts[: n - width + 1]]
+    low = low[np.concatenate(([True], low[1:] != low[:-1]))]
+    return (_POSITION - (low & _POSITION)).astype(np.int64)
