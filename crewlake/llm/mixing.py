@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 from crewlake.llm.shared import cut
 
@@ -57,10 +58,10 @@ def mix(docs: DataFrame, carry: list[str], id_column: str = "doc_id", text_colum
     """
     size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
     ident = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    base = docs.select(*[F.col(c) for c in carry], F.col(source_column).alias("_source"), ident.alias("_id"), size.alias("size"),
+    base = docs.select(F.struct(*carry).alias("_doc"), F.col(source_column).alias("_source"), ident.alias("_id"), size.alias("size"),
                        F.md5(F.concat(F.lit(seed + "|"), ident)).alias("_hash"))
-    if text_column not in carry:  # narrow rows: count words once
-        base = cut(base)
+    if all(isinstance(docs.schema[c].dataType, (NumericType, BooleanType, DatetimeType)) for c in carry):
+        base = cut(base)  # rows of a few numbers: words are counted once, not once per use
     cells_of = base.withColumn("_class", F.length(F.bin("size")))
     totals = base.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goals = targets(totals, weights, percent, most).withColumn("_slots", F.ceil(F.col("n") / CELL)).select(
@@ -79,4 +80,4 @@ def mix(docs: DataFrame, carry: list[str], id_column: str = "doc_id", text_colum
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("_before") + F.col("_rank")
     copies = (F.floor(offset + rank * expected) - F.floor(offset + (rank - 1) * expected)).cast("long")
-    return met.select(*carry, "size", "source_size", "target", copies.alias("copies"))
+    return met.select(*[F.col("_doc")[c].alias(c) for c in carry], "size", "source_size", "target", copies.alias("copies"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlake.llm.shared import is_test_fold
+from crewlake.llm.shared import is_test_fold, with_columns
 from crewlake.llm.textbytes import KEEP, chunks
 
 ORDER, DECAY = 3, 0.6
@@ -37,7 +37,7 @@ MINING = 3  # rounds of adding hard clean words
 SHORT = 24  # words up to this length go through index tables, longer ones through the recurrence
 THRESHOLD = 0.3
 _BEGIN, _FINISH = 1, 2
-SCORE_CHUNK = 1 << 22
+SCORE_CHUNK, FIT_CHUNK = 1 << 21, 1 << 19
 
 
 @dataclass
@@ -77,7 +77,7 @@ class Words:
         lens = np.diff(self.bounds)
         for n in range(3, SHORT + 1):
             at = np.flatnonzero(lens == n)
-            step = max(1, (1 << 21) // (n * n * n))
+            step = max(1, (1 << 20) // (n * n * n))
             for i in range(0, len(at), step):
                 some = at[i: i + step]
                 yield n, some, self.codes[self.bounds[some][:, None] + np.arange(n)]
@@ -139,24 +139,31 @@ def margins(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def landmark_kernel(words: Words, phi: np.ndarray) -> np.ndarray:
-    """Normalised kernel of every word (row) with every landmark, given as a column of subsequence weights."""
+def landmark_kernel(words: Words, phi: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+    """Normalised kernel of every word (row) with every landmark, given as a column of subsequence weights.
+
+    ``row_of`` has the row of each subsequence in ``phi``, 0 for those no landmark has.
+    """
     out = np.zeros((len(words.bounds) - 1, phi.shape[1]), np.float32)
     for n, at, codes in words.groups():
         t = _TRIPLES[n]
         c = codes.astype(np.int32)
         value = np.zeros((len(at), phi.shape[1]), np.float32)
         for i, j, m in t:
-            value += phi[(c[:, i] * SIDE + c[:, j]) * SIDE + c[:, m]] * np.float32(DECAY ** (m - i + 1))
+            value += phi[row_of[(c[:, i] * SIDE + c[:, j]) * SIDE + c[:, m]]] * np.float32(DECAY ** (m - i + 1))
         out[at] = value / np.maximum(np.sqrt(_self_kernel(codes)), 1e-12)[:, None]
     for i, codes in words.long():
         own = _features(codes)
-        out[i] = own @ phi / max(np.sqrt((own * own).sum()), 1e-12)
+        some = np.flatnonzero(own)
+        out[i] = own[some] @ phi[row_of[some]] / max(np.sqrt((own * own).sum()), 1e-12)
     return out
 
 
-def _vocabulary(texts: list[bytes]) -> list[set[bytes]]:
-    return [set(t.lower().split()) for t in texts]
+def _vocabulary(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """All distinct words, and for each text the numbers of its own."""
+    number: dict[bytes, int] = {}
+    own = [np.unique(np.array([number.setdefault(w, len(number)) for w in t.lower().split()], dtype=np.int64)) for t in texts]
+    return list(number), own
 
 
 @dataclass
@@ -169,10 +176,10 @@ class ToxicModel:
     def probability(self, shape: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.column_stack((np.ones(len(shape)), shape)) @ self.curve, -35, 35)))
 
-    def text_shape(self, column: pa.Array) -> np.ndarray:
+    def text_shape(self, column: pa.Array, size: int = SCORE_CHUNK) -> np.ndarray:
         """Per text: best margin, second best margin (both clipped to -2..2), log of 1 + number of positive words."""
         out = np.tile(np.array([-2.0, -2.0, 0.0]), (len(column), 1))
-        for chunk in chunks(column, SCORE_CHUNK):
+        for chunk in chunks(column, size):
             starts, ends = chunk.bounds
             if not len(starts):
                 continue
@@ -244,17 +251,27 @@ def _word_svm(insults: list[bytes], clean: list[bytes], marks: list[bytes], clas
     units = Words.of(marks, classes)
     units_at = [units.codes[units.bounds[i]: units.bounds[i + 1]] for i in range(len(marks))]
     units_at = [c for c in units_at if len(c)]
-    phi = np.zeros((SIDE ** 3, len(units_at)), np.float32)  # one column per landmark
-    for k, codes in enumerate(units_at):
-        own = _features(codes)
-        phi[:, k] = own / max(np.sqrt((own * own).sum()), 1e-12)
+    # subsequences that some landmark has, one row each; row 0 stands for all others
+    held = []
+    for c in units_at:
+        own = _features(c)
+        some = np.flatnonzero(own)
+        held.append((some, own[some] / max(np.sqrt((own * own).sum()), 1e-12)))
+    codes = np.unique(np.concatenate([some for some, _ in held]))
+    row_of = np.zeros(SIDE ** 3, np.int32)
+    row_of[codes] = np.arange(1, len(codes) + 1)
+    phi = np.zeros((len(codes) + 1, len(held)), np.float32)  # one column per landmark
+    for k, (some, own) in enumerate(held):
+        phi[row_of[some], k] = own
     value, vector = np.linalg.eigh((phi.T @ phi).astype(float) + RIDGE * np.eye(phi.shape[1]))
     whiten = vector / np.sqrt(value)  # K(L, L) ** -1/2
-    kernel = landmark_kernel(Words.of(insults + clean, classes), phi).astype(float)
+    kernel = landmark_kernel(Words.of(insults + clean, classes), phi, row_of).astype(float)
     y = np.concatenate((np.ones(len(insults)), -np.ones(len(clean))))
     balance = np.where(y > 0, len(y) / (2 * len(insults)), len(y) / (2 * len(clean)))
     w = _svm(kernel @ whiten, y, balance, 1.0)
-    return (phi @ (whiten @ w[:-1]).astype(np.float32)).astype(float), float(w[-1])
+    table = np.zeros(SIDE ** 3)
+    table[codes] = (phi @ (whiten @ w[:-1]).astype(np.float32))[1:]
+    return table, float(w[-1])
 
 
 def fit(texts: list[bytes], toxic: list[int], base_rate: float) -> ToxicModel:
@@ -270,21 +287,21 @@ def fit(texts: list[bytes], toxic: list[int], base_rate: float) -> ToxicModel:
     model = ToxicModel(classes, table, bias, curve)
     if not 0 < labels.sum() < len(labels):
         return model
-    vocab = _vocabulary(texts)
-    bad: Counter[bytes] = Counter()
-    good: Counter[bytes] = Counter()
-    for words, y in zip(vocab, labels):
-        (bad if y else good).update(words)
-    n_bad, n_good = labels.sum(), len(labels) - labels.sum()
-    odds = {w: np.log((c + 0.5) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1)) for w, c in bad.items() if c >= 2}
-    witness: Counter[bytes] = Counter()
-    for words, y in zip(vocab, labels):
-        if y and (told := [(odds[w] * np.log(bad[w]), w) for w in words if odds.get(w, 0) > 1]):
-            top = max(told)[0]
-            witness.update(w for s, w in told if s >= 0.7 * top)
-    shortest = min(2, max(witness.values(), default=0))
-    insults = [w for w, c in sorted(witness.items(), key=lambda x: (-x[1], x[0])) if c >= shortest]
-    rest = [w for w, c in sorted(good.items(), key=lambda x: (-x[1], x[0])) if odds.get(w, 0) <= 0]
+    words, vocab = _vocabulary(texts)
+    # texts of each class that hold each word
+    counts = [np.bincount(np.concatenate([v for v, y in zip(vocab, labels) if y == side]), minlength=len(words)) for side in (0, 1)]
+    good, bad = counts
+    odds = np.where(bad >= 2, np.log((bad + 0.5) / (labels.sum() + 1)) - np.log((good + 0.5) / (len(labels) - labels.sum() + 1)), 0.0)
+    weight = np.where(odds > 1, odds * np.log(np.maximum(bad, 1)), 0.0)
+    # the most telling words of every toxic text are its witnesses
+    witness = np.zeros(len(words), np.int64)
+    for v, y in zip(vocab, labels):
+        if y and len(v) and (top := weight[v].max()) > 0:
+            witness[v[weight[v] >= 0.7 * top]] += 1
+    shortest = min(2, int(witness.max(initial=0)))
+    ranked = [(-int(witness[k]), words[k]) for k in np.flatnonzero(witness >= max(shortest, 1))]
+    insults = [w for _, w in sorted(ranked)]
+    rest = [w for _, w in sorted((-int(good[k]), words[k]) for k in np.flatnonzero((good > 0) & (odds <= 0)))]
     if not insults or not rest:
         return model
     clean = rest[:CLEAN_WORDS]
@@ -295,7 +312,10 @@ def fit(texts: list[bytes], toxic: list[int], base_rate: float) -> ToxicModel:
         # clean words that come closest to the insults join the negative class (and, as landmarks, describe it)
         hard = np.argsort(-margins(pool, model.table, model.bias), kind="stable")[:HARD_WORDS]
         clean = list(dict.fromkeys([rest[i] for i in hard] + clean))
-    shape = model.text_shape(pa.array(texts, pa.binary()))
+    n_bad = labels.sum()
+    n_good = len(labels) - n_bad
+    del vocab, pool
+    shape = model.text_shape(pa.array(texts, pa.binary()), FIT_CHUNK)
     model.curve = _logistic(shape, labels, np.where(labels > 0, base_rate / max(n_bad, 1), (1 - base_rate) / max(n_good, 1)) * len(labels))
     return model
 
@@ -319,15 +339,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit([bytes(t) for t in got.column("_text").to_pylist()], got.column("_toxic").to_pylist(), bad / n if n else 0.01)
 
 
-def score(docs: DataFrame, model: ToxicModel, carry: list[str], text_column: str = "text") -> DataFrame:
-    """Carried columns, score (0 to 1) and predicted (1 if score >= ``THRESHOLD``) of every whole text; NULL is empty."""
+def score(docs: DataFrame, model: ToxicModel, carry: list[str], text_column: str = "text",
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Carried columns, score (0 to 1) and predicted (1 if score >= ``THRESHOLD``) of every whole text; NULL is empty.
+
+    ``names`` are those of the two new columns.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = list(carry) if text_column in carry else [*carry, text_column]
+    place, kept = given.index(text_column), len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.probability(shared.value.text_shape(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
-                                             [*batch.schema.names[:-1], "score", "predicted"])
+            p = shared.value.probability(shared.value.text_shape(batch.column(place)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
+                                             [*batch.schema.names[:kept], *names])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "score double", "predicted int"])
-    return docs.select(*carry, F.coalesce(F.col(text_column), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*given).mapInArrow(run, with_columns(docs, carry, f"`{names[0]}` double, `{names[1]}` int"))
