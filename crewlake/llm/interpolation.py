@@ -26,7 +26,7 @@ from crewlake.llm.textbytes import Chunk, chunks, mix
 SHARE = 1 << 20
 CONTEXTS = 1 << 14
 #: Distinct n-grams a task holds before it passes its sums on.
-HELD = 1 << 21
+HELD = 1 << 20
 ADD = 0.1
 BUCKETS = 15
 END = mix(np.array([1], np.uint64))[0]
