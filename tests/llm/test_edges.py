@@ -218,6 +218,41 @@ def test_passages_cover_all_exact_runs(docs_of):
         assert places <= got.get(i, set())
 
 
+def reworded(words, rate, r, edits="r"):
+    """The words with a share of them replaced, left out or doubled up."""
+    out = []
+    for w in words:
+        kind = r.choice(edits) if r.random() < rate else ""
+        out += {"": [w], "r": [f"new{r.random()}"], "d": [], "i": [w, f"new{r.random()}"]}[kind]
+    return out
+
+
+def close_passage(a, b, size=50, share=0.8):
+    """Whether some ``size`` words of a agree in place with those of b."""
+    same = [x == y for x, y in zip(a, b)]
+    return any(sum(same[k:k + size]) >= share * size for k in range(len(same) - size + 1))
+
+
+def test_passages_are_found_at_every_similarity(docs_of):
+    r = random.Random(12)
+    rows, want, loose = [], set(), set()
+    for k, (rate, size) in enumerate([(rate, size) for rate in (0.05, 0.1, 0.14, 0.2) for size in (60, 120) for _ in range(12)]):
+        words = prose(size, 5000 + k).split()
+        copy = reworded(words, rate, r)
+        rows += [(2 * k, prose(30, 6000 + k) + " " + " ".join(words) + " " + prose(30, 6500 + k)),
+                 (2 * k + 1, prose(30, 7000 + k) + " " + " ".join(copy) + " " + prose(30, 7500 + k))]
+        if close_passage(words, copy):
+            want.add(2 * k + 1)
+    for k in range(20):  # words left out and put in
+        words = prose(90, 8000 + k).split()
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join(reworded(words, 0.08, r, "rdi")))]
+        loose.add(1001 + 2 * k)
+    every7 = prose(60, 9000).split()
+    rows += [(2000, " ".join(every7)), (2001, " ".join(w if i % 7 else f"x{i}" for i, w in enumerate(every7, 1)))]
+    got = {x.doc_id: x.other_doc_id for x in chaining.repeated_passages(docs_of(*rows)).collect()}
+    assert len(want) > 60 and all(got.get(i) == i - 1 for i in want | loose | {2001})
+
+
 def test_simhash(docs_of):
     got = sh.near_duplicates(odd(docs_of)).collect()
     rows = sorted(ODD, key=lambda x: (x[0] is None, x[0] or 0))
