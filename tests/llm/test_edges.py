@@ -253,6 +253,19 @@ def test_passages_are_found_at_every_similarity(docs_of):
     assert len(want) > 60 and all(got.get(i) == i - 1 for i in want | loose | {2001})
 
 
+def test_passages_need_one_earlier_document(docs_of):
+    lines = [prose(17, 400 + k) for k in range(3)]
+    stock = [(k, prose(40, 410 + k) + " " + x + " " + prose(40, 420 + k)) for k, x in enumerate(lines)]
+    clean = (10, prose(30, 430) + " " + " ".join(lines) + " " + prose(30, 431))
+    assert chaining.repeated_passages(docs_of(*stock, clean)).count() == 0
+    # the later of two documents that share more than the stock lines is found, although the lines occur earlier
+    words = f"{lines[0]} {prose(6, 440)} {lines[1]} {prose(6, 441)} {lines[2]}".split()
+    copy = [w if i not in (18, 42, 50) else "changed" for i, w in enumerate(words)]
+    rows = [*stock, (20, prose(30, 442) + " " + " ".join(words)), (21, " ".join(copy) + " " + prose(30, 443))]
+    (x,) = chaining.repeated_passages(docs_of(*rows)).collect()
+    assert (x.doc_id, x.other_doc_id, x.start_word, x.end_word) == (21, 20, 0, len(words))
+
+
 def test_simhash(docs_of):
     got = sh.near_duplicates(odd(docs_of)).collect()
     rows = sorted(ODD, key=lambda x: (x[0] is None, x[0] or 0))
