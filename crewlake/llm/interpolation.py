@@ -1,13 +1,13 @@
 """Language-model scoring by deleted interpolation.
 
 Maximum-likelihood bigram estimates are mixed with the additive unigram model.  The mixture weight depends on how frequent
-the context is (buckets of powers of two of its share of all tokens); weights are learned by expectation-maximisation in
+the context is (buckets of powers of two of its count); weights are learned by expectation-maximisation in
 which every training bigram is deleted from its own estimate (counts less one), so that it acts as held-out evidence.
 
 Sizes: a word or bigram whose count is at least 1 / ``SHARE`` of all tokens is frequent, so there are at most ``SHARE`` of
-them whatever the corpus; these small tables are broadcast.  Bigrams are kept for contexts with at least 1 / ``CONTEXTS`` of
-all tokens; rarer contexts back off to the unigram model altogether.  Everything else is counted, and looked up again, by
-hash joins on rows that are summed per task and text first.  Words are told apart by 64-bit hashes.
+them whatever the corpus; these small tables are broadcast.  Bigrams are kept for every context seen ``CONTEXT`` times or
+more; a context seen less has no evidence once its bigram is deleted, and backs off to the unigram model.  Everything else is
+counted, and looked up again, by hash joins on rows that are summed per task and text first.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,20 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlake.llm.shared import cut, stored
+from crewlake.llm.shared import HashFilter, cut, stored
 from crewlake.llm.textbytes import Chunk, chunks, mix
 
 SHARE = 1 << 20
-CONTEXTS = 1 << 14
+CONTEXT = 2
 #: Distinct n-grams a task holds before it passes its sums on.
 HELD = 1 << 20
 ADD = 0.1
-BUCKETS = 15
+BUCKETS = 40
+#: Size of the filter of words that may be contexts; others are told by the join.
+FILTER_BITS = 27
 END = mix(np.array([1], np.uint64))[0]
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of rows on the way to a score: a text's tokens and base part, its frequent tokens and their score, rare words, and
-#: rare pairs by bucket.
-WORDS, SEEN, RARE, KINDS = 0, 1, 2, 32
+#: Kinds of rows on the way to a score: a text's tokens and base part, its frequent tokens and their score, rare words, the
+#: end token where it is rare (it is no context), and rare pairs.
+WORDS, SEEN, RARE, LAST, PAIR, KINDS = 0, 1, 2, 3, 4, 8
 _STEPS = 16  # bins of the likelihood ratio per unit of its logarithm
 
 
@@ -72,11 +74,10 @@ class Frequent:
         return self.n + ADD * (self.v + 1)
 
     def context(self, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each context (0: none is kept) and its bucket."""
+        """Count of each context (0: rare, or not kept) and its bucket."""
         c = np.where(found, self.counts[at], 0) if len(self.counts) else np.zeros(len(at), np.int64)
-        c = np.where(c * CONTEXTS >= max(self.n, 1), c, 0)
-        share = np.log2(np.maximum(c, 1) / max(self.n, 1))
-        return c, np.clip(np.floor(share + BUCKETS), 0, BUCKETS - 1).astype(np.int64)
+        c = np.where(c >= CONTEXT, c, 0)
+        return c, np.clip(np.frexp(c.astype(float))[1] - 1, 0, BUCKETS - 1).astype(np.int64)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -108,23 +109,30 @@ def count_words(train: DataFrame, text_column: str = "text") -> DataFrame:
             .groupBy("w").agg(F.sum("c").alias("c")))
 
 
-def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFrame:
-    """Rows (p, cur, c1, c12) of every bigram whose context is kept; ``frequent`` is a broadcast :class:`Frequent`."""
+def count_pairs(train: DataFrame, shared, text_column: str = "text") -> DataFrame:
+    """Rows (prev, cur, c12, c1, c2) of every bigram whose context may be kept.
+
+    ``shared`` is a broadcast (:class:`Frequent`, filter of the words that may be contexts); c1 and c2, the counts of the two
+    words, are NULL for rare ones.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
+        known, again = shared.value
         pairs: list[np.ndarray] = []
+        before: list[np.ndarray] = []
         ends: list[np.ndarray] = []
-        contexts: list[np.ndarray] = []
         held = 0
 
+        def count(words: np.ndarray) -> pa.Array:
+            at, found = _lookup(known.words, words)
+            return pa.array(known.counts[at] if len(known.counts) else np.zeros(len(at), np.int64), mask=~found)
+
         def flush() -> pa.RecordBatch:
-            p, first, n = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
-            cur, at = np.concatenate(ends)[first], np.concatenate(contexts)[first]
-            c = known.counts[at]
-            for held_back in (pairs, ends, contexts):
+            _, first, n = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
+            prev, cur = np.concatenate(before)[first], np.concatenate(ends)[first]
+            for held_back in (pairs, before, ends):
                 held_back.clear()
             return pa.RecordBatch.from_arrays(
-                [_signed(p), _signed(cur), pa.array(c), pa.array(n.astype(np.int64))], ["p", "cur", "c1", "c12"])
+                [_signed(prev), _signed(cur), pa.array(n.astype(np.int64)), count(prev), count(cur)], ["prev", "cur", "c12", "c1", "c2"])
 
         for batch in batches:
             for chunk in chunks(batch.column(0)):
@@ -132,12 +140,11 @@ def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFr
                 inner = np.ones(len(tokens), bool)
                 inner[bounds[:-1]] = False
                 cur = np.flatnonzero(inner)
-                at, found = _lookup(known.words, tokens[cur - 1])
-                kept = known.context(at, found)[0] > 0
-                ends.append(tokens[cur[kept]])
-                pairs.append(_pairs(tokens[cur[kept] - 1], ends[-1]))
-                contexts.append(at[kept].astype(np.int32))
-                held += len(ends[-1])
+                cur = cur[again.has(tokens[cur - 1])]
+                before.append(tokens[cur - 1])
+                ends.append(tokens[cur])
+                pairs.append(_pairs(before[-1], ends[-1]))
+                held += len(cur)
                 if held > HELD:
                     yield flush()
                     held = 0
@@ -145,8 +152,18 @@ def count_pairs(train: DataFrame, frequent, text_column: str = "text") -> DataFr
             yield flush()
 
     return (train.select(F.coalesce(F.col(text_column), F.lit("")))
-            .mapInArrow(run, "p long, cur long, c1 long, c12 long")
-            .groupBy("p", "cur", "c1").agg(F.sum("c12").alias("c12")))
+            .mapInArrow(run, "prev long, cur long, c12 long, c1 long, c2 long")
+            .groupBy("prev", "cur", "c1", "c2").agg(F.sum("c12").alias("c12")))
+
+
+def _named(counted: DataFrame) -> DataFrame:
+    """``counted`` with the number p of each pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prev, cur = (batch.column(c).to_numpy().view(np.uint64) for c in ("prev", "cur"))
+            yield pa.RecordBatch.from_arrays([_signed(_pairs(prev, cur)), *batch.columns], ["p", *batch.schema.names])
+
+    return counted.mapInArrow(run, "p long, prev long, cur long, c1 long, c2 long, c12 long")
 
 
 def learn_weights(bins: list[tuple[int, int | None, float]], rounds: int = 50) -> np.ndarray:
@@ -177,6 +194,10 @@ class Model:
     v: int
 
 
+def _bucket(count):
+    return F.least(F.lit(BUCKETS - 1), F.length(F.bin(count.cast("long"))) - 1)
+
+
 def train(docs: DataFrame, text_column: str = "text") -> Model:
     """Counts over all of ``docs`` and the mixture weights."""
     spark = docs.sparkSession
@@ -186,12 +207,17 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     h = top.column("w").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     frequent = Frequent(int(n), int(v), h[order], top.column("c").to_numpy().astype(np.int64)[order])
-    counted = count_pairs(docs, spark.sparkContext.broadcast(frequent), text_column)
+    again = HashFilter.of(words.filter(F.col("c") >= CONTEXT), "w", FILTER_BITS)
+    counted = stored(_named(count_pairs(docs, spark.sparkContext.broadcast((frequent, again)), text_column)))
+    # only rare words are looked up by a join
+    rare = words.filter(F.col("c") * SHARE < n)
+    for own, c in (("prev", "c1"), ("cur", "c2")):
+        met = counted.filter(F.col(c).isNull()).drop(c).join(rare.select(F.col("w").alias(own), F.col("c").alias(c)), own)
+        counted = counted.filter(F.col(c).isNotNull()).unionByName(met).filter(F.col("c1").isNull() | (F.col("c1") >= CONTEXT))
     total = frequent.total
-    p1 = (F.col("c") + ADD) / F.lit(total)
-    bucket = F.floor(F.log2(F.col("c1") / F.lit(float(max(n, 1)))) + BUCKETS).cast("int")
-    pairs = stored(counted.join(words.withColumnRenamed("w", "cur"), "cur").select(
-        "p", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), bucket)).alias("bucket"), "c12", (F.col("c12") / F.col("c1") / p1).alias("gain"),
+    p1 = (F.col("c2") + ADD) / F.lit(total)
+    pairs = stored(counted.select(
+        "p", _bucket(F.col("c1")).alias("bucket"), "c12", (F.col("c12") / F.col("c1") / p1).alias("gain"),
         F.when(F.col("c12") > 1, F.round(F.log((F.col("c12") - 1) / (F.col("c1") - 1) / p1) * _STEPS).cast("int")).alias("bin")))
     bins = pairs.groupBy("bucket", "bin").agg(F.sum("c12")).collect()  # buckets times bins: a few thousand at most
     frequent.weights = learn_weights([(r[0], r[1], float(r[2])) for r in bins])
@@ -199,8 +225,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     h = top.column("p").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     frequent.pairs, frequent.gains = h[order], top.column("gain").to_numpy()[order]
-    rare = pairs.filter(F.col("c12") * SHARE < n).select("p", "gain")
-    return Model(spark.sparkContext.broadcast(frequent), words.filter(F.col("c") * SHARE < n), rare, int(n), int(v))
+    return Model(spark.sparkContext.broadcast(frequent), rare, pairs.filter(F.col("c12") * SHARE < n).select("p", "gain", "bucket"), int(n), int(v))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "text") -> DataFrame:
@@ -226,6 +251,11 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "t
                 inner = np.ones(len(tokens), bool)
                 inner[bounds[:-1]] = False
                 cur = np.flatnonzero(inner)
+                # pairs after frequent words, and those after rare ones, which only the join knows
+                some = found[cur - 1]
+                after = _pairs(tokens[cur[~some] - 1], tokens[cur[~some]])
+                after_row = row_of[cur[~some]]
+                cur = cur[some]
                 c, bucket = known.context(at[cur - 1], found[cur - 1])
                 kept = c > 0
                 cur, bucket = cur[kept], bucket[kept]
@@ -239,11 +269,12 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "t
                 yield out(own, own, np.diff(bounds), WORDS, base)
                 yield out(own, own, np.bincount(row_of, found, chunk.rows).astype(np.int64), SEEN,
                           base + np.bincount(row_of[cur], fix, chunk.rows))
-                for who, what, kind in ((row_of[~found], tokens[~found], np.full(int((~found).sum()), RARE)),
-                                        (row_of[cur[~pfound]], pairs[~pfound], RARE + 1 + bucket[~pfound])):
+                last = tokens == END
+                for who, what, kind in ((row_of[~found & ~last], tokens[~found & ~last], RARE), (row_of[~found & last], tokens[~found & last], LAST),
+                                        (np.concatenate((row_of[cur[~pfound]], after_row)), np.concatenate((pairs[~pfound], after)), PAIR)):
                     if len(who):
                         _, first, m = np.unique(mix(what + who.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
-                        yield out(rows[chunk.first + who[first]], what[first].view(np.int64), m, kind[first], np.zeros(len(first)))
+                        yield out(rows[chunk.first + who[first]], what[first].view(np.int64), m, kind, np.zeros(len(first)))
 
     def out(row, key, n, kind, x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -258,16 +289,20 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "t
             "_row", "key", F.expr(f"what div {KINDS}").alias("n"), F.expr(f"what % {KINDS}").cast("int").alias("kind"), "x")
     frequent = shared.value
     total, none = frequent.total, float(np.log10(ADD / frequent.total))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in frequent.weights]), F.greatest(F.col("kind") - RARE, F.lit(1)))
-    table = (model.words.select(F.col("w").alias("key"), F.col("c").cast("double").alias("value"))
-             .unionByName(model.pairs.select(F.col("p").alias("key"), F.col("gain").alias("value"))))
+    weights = F.array(*[F.lit(float(w)) for w in frequent.weights])
+    # a rare word leaves its share to the unigram part of the word after it; a pair found puts its own part right
+    table = (model.words.select(F.col("w").alias("key"), F.col("c").cast("double").alias("value"), F.when(F.col("c") >= CONTEXT, _bucket(F.col("c"))).alias("bucket"))
+             .unionByName(model.pairs.select(F.col("p").alias("key"), F.col("gain").alias("value"), "bucket")))
     met = parts.join(table, "key", "left")
-    is_head, is_seen, word, hit = F.col("kind") == WORDS, F.col("kind") == SEEN, F.col("kind") == RARE, F.col("value").isNotNull()
+    weight = F.element_at(weights, F.coalesce(F.col("bucket"), F.lit(0)) + 1)
+    is_head, is_seen, hit = F.col("kind") == WORDS, F.col("kind") == SEEN, F.col("value").isNotNull()
+    word = F.col("kind").isin(RARE, LAST)
     lp = F.when(hit, F.log10((F.col("value") + ADD) / F.lit(total))).otherwise(F.lit(none)) * F.col("n")
+    left = F.when((F.col("kind") == RARE) & F.col("bucket").isNotNull(), F.log10(1 - weight)).otherwise(0.0) * F.col("n")
     fix = F.when(hit, F.log10(weight * F.col("value") + 1 - weight) - F.log10(1 - weight)).otherwise(0.0) * F.col("n")
     sums = met.groupBy("_row").agg(
         F.sum(F.when(is_head, F.col("x")).when(word, lp).otherwise(0.0)).alias("x"),
-        F.sum(F.when(is_head, 0.0).when(is_seen, F.col("x")).when(word, lp).otherwise(fix)).alias("y"),
+        F.sum(F.when(is_head, 0.0).when(is_seen, F.col("x")).when(word, lp + left).otherwise(fix)).alias("y"),
         F.sum(F.when(is_seen | (word & hit), F.col("n")).otherwise(0)).alias("seen"),
         F.sum(F.when(is_head, F.col("n")).otherwise(0)).alias("n"), F.sum(is_head.cast("int")).alias("unit"))
     one = sums.select("_row", (F.col("n") / F.col("unit")).cast("long").alias("n_tokens"),

@@ -1,6 +1,7 @@
 """NULLs, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -311,6 +312,36 @@ def test_language_model(docs_of):
     assert interpolation.score(empty(docs_of), interpolation.train(docs), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("share", [1 << 20, 4])
+def test_language_model_keeps_bigrams_of_rare_contexts(docs_of, monkeypatch, share):
+    monkeypatch.setattr(interpolation, "SHARE", share)
+    r = random.Random(6)
+    names = [f"n{k}" for k in range(40)]
+    train = [(k, " ".join(prose(400, 3000 + k).split() + [f"{w} {w}end" for w in r.sample(names, 6)])) for k in range(120)]
+    held = [(900, prose(5, 3999)), (901, " ".join(f"{w} {w}end" for w in names)), (902, "n1 n2end unseen n3 n3end")]
+    got = {x.doc_id: x for x in interpolation.score(docs_of(*held), interpolation.train(docs_of(*train)), ["doc_id"]).collect()}
+    # every word: context count, and the mixture of its bigram and its unigram estimate, by hand
+    tokens = [t.split() + ["</s>"] for _, t in train]
+    one, two = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip(t, t[1:]))
+    n, v = sum(one.values()), len(one)
+    p1 = {w: (c + 0.1) / (n + 0.1 * (v + 1)) for w, c in one.items()}
+    none = 0.1 / (n + 0.1 * (v + 1))
+    bins = {}
+    for (a, b), c in two.items():
+        if one[a] >= 2:
+            key = one[a].bit_length() - 1, round(float(np.log((c - 1) / (one[a] - 1) / p1[b]) * 16)) if c > 1 else None
+            bins[key] = bins.get(key, 0) + c
+    w = interpolation.learn_weights([(*k, float(c)) for k, c in bins.items()])
+    for i, text in held:
+        t = text.split() + ["</s>"]
+        want = np.log10(p1.get(t[0], none))
+        for a, b in zip(t, t[1:]):
+            s = w[one[a].bit_length() - 1] if one[a] >= 2 else 0.0
+            want += np.log10(s * two[a, b] / max(one[a], 1) + (1 - s) * p1.get(b, none))
+        assert abs(got[i].score - want) < 0.02 * abs(want)
+    assert got[901].score > got[901].base_score + 40
+
+
 def test_weights_follow_the_evidence():
     w = interpolation.learn_weights([(0, 32, 100.0), (0, None, 1.0), (1, None, 50.0), (1, 32, 1.0)])
     assert w[0] > 0.8 and w[1] < 0.1 and (w[2:] == 0).all()
