@@ -76,6 +76,14 @@ def test_decontamination_finds_new_numbers_and_names(spark, docs_of):
     assert texts_of(decontam.drop_contaminated(odd(docs_of), benchmark).collect()) == texts_of(odd(docs_of).collect())
 
 
+def test_decontamination_finds_items_of_few_literals(spark, docs_of):
+    items = [(1, "2, 4, 8, 16, 32, 64, 128, 256, 512?"), (2, "Convert 5 km 300 m 20 cm to mm: A 5300200 B 530020 C 53002"),
+             (3, "Who Wrote The Long Winter Of Anna Petrowna Kusmin")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(*[(i, prose(20, 70 + i) + " " + t + " " + prose(20, 80 + i)) for i, t in items], (9, "2, 4, 8, 16, 33, 65, 129, 257, 513?"), (10, prose(90, 91)))
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/net/", "http://", "HTTP://WWW.Example.NET/en/x?q=1", "http://a.net", "http://a.net/", "http://xnet/", "http://a.org/fr/?a#b",
             "http://example.com/de/1", "http://example.com/de/1", "ftp://" + "h" * 3000 + ".com/" + "p/" * 3000, "x://e.com?://y.net/"]
