@@ -84,6 +84,16 @@ def test_decontamination_finds_items_of_few_literals(spark, docs_of):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_decontamination_finds_other_case_names_and_parts(spark, docs_of):
+    item = "Anna Smith has 12 red apples and gives five of them to Boris. He eats 2 apples after Three hours of play. Then Maria comes home"
+    renamed = item.replace("Anna Smith", "Joe").replace("Boris", "Mary Ann Lee").replace("five", "7").replace("12", "twenty six")
+    long = prose(200, 60)
+    benchmark = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    docs = docs_of((1, item.lower()), (2, item.upper()), (3, renamed), (4, prose(20, 61) + " " + " ".join(long.split()[30:120])),
+                   (5, " ".join(long.split()[30:60]) + " " + prose(30, 62)))
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/net/", "http://", "HTTP://WWW.Example.NET/en/x?q=1", "http://a.net", "http://a.net/", "http://xnet/", "http://a.org/fr/?a#b",
             "http://example.com/de/1", "http://example.com/de/1", "ftp://" + "h" * 3000 + ".com/" + "p/" * 3000, "x://e.com?://y.net/"]
