@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlake.llm.shared import is_test_fold, with_columns
-from crewlake.llm.textbytes import KEEP, chunks
+from crewlake.llm.textbytes import KEEP, chunks, mix
 
 ORDER, DECAY = 3, 0.6
 #: Bounds of the learning sample: labelled texts per class, and characters of a text that may be in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 LANDMARKS, CLEAN_WORDS, HARD_WORDS = 160, 6000, 3000
-LETTERS = 60
+#: Classes of letters, and how many of them rarer letters share where a sample has more letters than classes.
+LETTERS, SHARED_LETTERS = 60, 16
 RIDGE = 1e-2
 MINING = 3  # rounds of adding hard clean words
 SHORT = 24  # words up to this length go through index tables, longer ones through the recurrence
@@ -207,15 +208,16 @@ class ToxicModel:
 
 
 def _spaced_out(raw: bytes, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Runs of three or more one-character words, joined, and their rows."""
-    one = ends - starts == 1
+    """Runs of three or more words of one code point, joined, and their rows."""
+    heads = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+    one = heads[ends] - heads[starts] == 1
     edge = np.flatnonzero(np.diff(np.concatenate(([0], one.view(np.int8), [0]))))
     words, owner = [], []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         while b - a >= 3:
             last = a + int(np.searchsorted(rows[a:b], rows[a], side="right"))
             if last - a >= 3:
-                words.append(b"".join(raw[s: s + 1] for s in starts[a:last].tolist()))
+                words.append(b"".join(raw[s:e] for s, e in zip(starts[a:last].tolist(), ends[a:last].tolist())))
                 owner.append(int(rows[a]))
             a = last
     return words, np.array(owner, dtype=np.int64)
@@ -280,7 +282,11 @@ def fit(texts: list[bytes], toxic: list[int], base_rate: float) -> ToxicModel:
     distinct = dict(zip(texts, toxic))
     texts, labels = list(distinct), np.array(list(distinct.values()), dtype=float)
     letters = Counter(c for t in texts for c in t.decode("utf-8", "replace").lower() if c.isalpha())
-    for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+    own = len(letters) if len(letters) < LETTERS else LETTERS - SHARED_LETTERS
+    # letters without a class of their own, those the sample has not included, share the others by hash
+    points = np.array([c for c in range(len(classes)) if chr(c).isalpha()], dtype=np.uint64)
+    classes[points] = 3 + own + mix(points) % np.uint64(LETTERS - own)
+    for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:own]):
         classes[ord(c)] = 3 + i
     table, bias = np.zeros(SIDE ** 3), -1.0
     curve = np.array([np.log(max(base_rate, 1e-6) / max(1 - base_rate, 1e-6)), 0.0, 0.0, 0.0])

@@ -153,6 +153,26 @@ def test_toxicity_tolerates_gaps(spark, docs_of):
     assert {r.predicted for r in toxkernel.score(odd(docs_of), nothing, ["doc_id"]).collect()} == {0}
 
 
+def test_toxicity_in_rare_scripts(spark, docs_of):
+    r = random.Random(15)
+
+    def words(first, n, many):
+        return ["".join(chr(first + r.randrange(n)) for _ in range(r.randint(3, 8))) for _ in range(many)]
+
+    cyrillic, greek, armenian = words(0x430, 32, 200), words(0x3C3, 7, 200) + words(0x3B1, 17, 100), words(0x561, 38, 40)
+    insults = words(0x561, 38, 3)
+
+    def text(k, bad):
+        own = prose(30, 2000 + k).split() + r.choices(cyrillic, k=20) + r.choices(greek, k=20) + r.choices(armenian, k=4) + [r.choice(insults) for _ in range(bad)]
+        return " ".join(r.sample(own, len(own)))
+
+    rows = [(k, text(k, 3 * (k < 60))) for k in range(180)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(180)], "doc_id long, toxic int")
+    model = toxkernel.learn(docs_of(*rows), labels)
+    new = docs_of((1, text(901, 0) + " " + insults[0]), (2, text(902, 0)), (3, text(903, 0) + " " + " ".join(insults[1])), (4, text(904, 0)))
+    assert [x.predicted for x in sorted(toxkernel.score(new, model, ["doc_id"]).collect(), key=lambda x: x.doc_id)] == [1, 0, 1, 0]
+
+
 def test_kernel_equals_sum_over_subsequences():
     classes_of = np.zeros(0x110000, np.uint8)
     classes_of[97:123] = np.arange(3, 29)
