@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewlake.llm import chaining, decontam, hostrules, interpolation, langid, mixing, simhash, suffixes, toxkernel, urltrees
+from crewlake.llm import (chaining, decontam, hostrules, interpolation, langid, merkle, mixing, packing, repair, simhash, suffixes, toxkernel,
+                          urltrees)
 from crewlake.llm.shared import is_test_fold
 
 
@@ -66,9 +67,31 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(docs.withColumn("held_out", is_test_fold("doc_id", 10, 0)), model, ["doc_id", "held_out"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tree = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered, {"n_chars": more})
+    folded = F.coalesce(F.try_element_at("version", F.lit(-1)), "root")
+    return tree.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+                       folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_language_id, op2_template_decontamination, op3_url_trees, op4_host_rules, op5_toxicity_kernel,
-                            op6_systematic_mixing, op7_suffix_dedup, op8_chained_passages, op9_simhash_components, op10_interpolated_lm)}
+                            op6_systematic_mixing, op7_suffix_dedup, op8_chained_passages, op9_simhash_components, op10_interpolated_lm,
+                            op11_conversation_repair, op12_mixture_packing, op13_merkle_manifest)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Statements for the operators that SQL can express; the others learn, hash or align and are tested against plain versions.
