@@ -14,7 +14,10 @@ go through a shuffle unless there are so many sources that their counts no longe
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +33,104 @@ WINDOW = 4096
 LEAST = 16
 #: Quanta are whole multiples of 2 ** -_FRACTION tokens.
 _FRACTION = 28
-#: Words remembered by a task, and the longest one that is.
-_WORDS, _LONGEST = 1 << 18, 64
-_SLICE = 1 << 20
-_ENCODE = 1 << 12
+#: Bytes of words and ids that a worker remembers, bytes of text or ids handled at a time, words tokenised at a time.
+_HELD, _SLICE, _ENCODE = 1 << 26, 1 << 23, 1 << 12
+#: ASCII punctuation between a Latin letter and white space or the end; other letters, and U+0130, may become a letter and a mark.
+_TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-/:-@\[-`{-~]+)(\s|$)"
+
+#: Letters below this code point have no combining marks among them, so nothing composes.
+_LATIN_END = "\u0250"
+#: Byte-level vocabularies write a byte as a visible letter: itself where it is one in Latin-1, else the next free one from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class Words:
-    """Ids of texts whose tokens never cross ASCII white space: each distinct word is tokenised once and looked up afterwards."""
+    """Ids of texts whose tokens never cross ASCII white space: each distinct word is tokenised once and looked up afterwards.
+
+    The tokenizer folds case and takes letters and punctuation apart, so A-Z are folded and punctuation at the end of a word
+    is cut off before words are told apart; a text with special tokens is left as it is.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.folds = self._same("Ab cD?! e.g. Éa, x9;y (z)", "ab cd ?! e.g . Éa , x9;y (z )")
+        sample = ["the", "straße", "éàüñœ", "ƀžıſ", "x", "supercalifragilistic", "großzügigkeiten"]
+        self.direct = self.folds and all([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                                         == self.tokenizer.encode(w, add_special_tokens=False).ids for w in sample)
         #: the narrowest numbers that hold every id
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _same(self, one: str, other: str) -> bool:
+        a, b = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (one, other))
+        return a == b
+
+    def _forget(self) -> None:
+        self.words, self.table = pa.array([], pa.string()), np.zeros(0, self.kind)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        words = new.to_pylist()
+        found: list[list[int]] = [[]] * len(words)
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for k, word in enumerate(words):
+            low = word.lower()
+            if self.direct and low.isalpha() and max(low) < _LATIN_END:
+                # letters that compose with nothing: one piece, whose bytes go straight to the merges
+                found[k] = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            else:
+                rest.append(k)
+        for first in range(0, len(rest), _ENCODE):
+            some = rest[first:first + _ENCODE]
+            for k, e in zip(some, self.tokenizer.encode_batch([words[k] for k in some], add_special_tokens=False)):
+                found[k] = e.ids
+        self.words = pa.concat_arrays([self.words, new])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64)])
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(found), self.kind)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
+        if self.folds:
+            plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > _WORDS:
-            self.known.clear()
-        here: dict[str, np.ndarray] = {}
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), _ENCODE):
-            some = new[k:k + _ENCODE]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                (self.known if len(w) <= _LONGEST else here)[w] = np.array(e.ids, self.kind)
-        parts = [here[w] if len(w) > _LONGEST else self.known[w] for w in words]
-        sizes = np.array([len(x) for x in parts], np.int64)
-        table = np.concatenate(parts) if parts else np.zeros(0, self.kind)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if parts else np.zeros(0, np.int64)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        lens = sizes[code]
+        if self.words.nbytes + self.table.nbytes > _HELD:
+            self._forget()
+        place = pc.index_in(coded.dictionary, value_set=self.words)
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        known = len(self.words)
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            place[new] = known + np.arange(int(new.sum()))
+            self._learn(coded.dictionary.filter(pa.array(new)))
+        code = place[coded.indices.to_numpy(zero_copy_only=False)]
+        lens = self.sizes[code]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        out = table[np.arange(total) + np.repeat(starts[code] - (ends - lens), lens)]
+        out = self.table[np.arange(total) + np.repeat(self.starts[code] - (ends - lens), lens)]
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return out, np.diff(bounds)
 
 
+@lru_cache(maxsize=1)
+def _words(tokenizer_path: str) -> Words:
+    """What a worker has looked up stays for its next task."""
+    return Words(tokenizer_path)
+
+
 def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows (id, source, part, before, n, ids): ids as packed numbers, and the tokens of the same source before in the task."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = Words(tokenizer_path), TaskContext.get().partitionId()
+        words, part = _words(tokenizer_path), TaskContext.get().partitionId()
         so_far: dict[str | None, int] = {}
         for batch in batches:
             lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
@@ -198,7 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", source
     total = counted.agg(F.sum("n")).first()[0] or 0
     by_source = counted.groupBy("source").agg(F.sum("n").alias("n"))
     # at most window / LEAST rows by their own definition
-    large = by_source.filter(F.col("n") * window >= F.lit(LEAST) * F.lit(total)).orderBy(F.col("source").asc_nulls_last()).collect()
+    large = by_source.filter(F.col("n") >= LEAST * total / window).orderBy(F.col("source").asc_nulls_last()).collect()
     rest = total - sum(r.n for r in large)
     sizes = [r.n for r in large] + [rest]
     share = [(weights or {}).get(r.source) for r in large] + [None]

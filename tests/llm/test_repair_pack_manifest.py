@@ -142,6 +142,21 @@ def test_packing_of_odd_documents(spark):
     assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_looked_up_words_are_the_tokenizer_s(small):
+    import pyarrow as pa
+    rnd = random.Random(4)
+    letters = [chr(c) for c in range(33, 0x250)] + list("αβΣς日本語ｱ한글İıſﬁ́̈ \u200d\u00ad\u0085\u2028🙂")
+    texts = ["".join(rnd.choice(letters if rnd.random() < 0.5 else "abcdeXYZ,.' \n") for _ in range(rnd.randint(0, 40))) for _ in range(4000)]
+    texts += ["<|ENDOFTEXT|> <|endoftext|>", "It's, they'LL 'd.", "A\u030a. ﬃ", "e\u0301. E\u0301,"] + [r.text or "" for r in small.collect()]
+    tokenizer, words = Tokenizer.from_file(TOKENIZER), packing.Words(TOKENIZER)
+    assert words.folds and words.direct
+    ids, sizes = words.ids(pa.array(texts))
+    at = 0
+    for text, n in zip(texts, sizes):
+        assert ids[at:at + n].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        at += n
+
+
 def test_repeated_and_null_ids_are_packed_as_documents(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c"), (1, "c")], "doc_id long, text string").withColumn("source", F.lit("s"))
     got = packing.pack(docs, TOKENIZER).collect()
