@@ -305,6 +305,55 @@ def test_passages_need_one_earlier_document(docs_of):
     assert (x.doc_id, x.other_doc_id, x.start_word, x.end_word) == (21, 20, 0, len(words))
 
 
+def covered(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+    return out
+
+
+@pytest.mark.parametrize("size,between", [(400, 0), (60, 0), (400, 9), (60, 9)])
+def test_a_copy_whose_pieces_all_occur_earlier_is_found(docs_of, size, between):
+    words = prose(size, 700).split()
+    step = max(1, (size - 24) // 19)
+    pieces = [words[min(k * step, size - 24):][:24] for k in range(20)]
+    stock = lambda first: [(first + k, prose(30, 710 + first + k) + " " + " ".join(x) + " " + prose(30, 740 + first + k)) for k, x in enumerate(pieces)]
+    rows = [r for first in range(0, 20 * 6, 20) for r in stock(first)]  # every seed occurs in six earlier documents
+    rows += [(500, prose(20, 770) + " " + " ".join(words))] + [r for first in range(600, 600 + 20 * between, 20) for r in stock(first)]
+    rows += [(900, " ".join(words) + " " + prose(20, 771)), (901, " ".join(words) + " " + prose(20, 771))]
+    got = chaining.repeated_passages(docs_of(*rows)).collect()
+    found = covered(got)
+    assert found[900] >= set(range(size)) and found[901] == set(range(size + 20))
+    assert not set(found) - {900, 901}
+    assert {x.other_doc_id for x in got if x.doc_id == 900} == {500}
+
+
+def test_chains_decide_what_is_aligned(docs_of):
+    one, two = prose(35, 780).split(), prose(35, 781).split()
+    rows = [(1, " ".join(one + two)), (2, " ".join(one + [f"put{k}" for k in range(12)] + two)),  # no half has 50 words alone
+            (3, " ".join(two + prose(40, 782).split() + one))]  # the halves in the other order are no passage
+    found = chaining.repeated_passages(docs_of(*rows)).collect()
+    assert [(x.doc_id, x.other_doc_id, x.start_word, x.end_word) for x in found] == [(2, 1, 0, 82)]
+
+
+def test_passages_of_stock_lines_are_found(docs_of):
+    r = random.Random(21)
+    lines = [prose(r.randint(10, 22), 800 + k) for k in range(30)]
+    rows, want = [(k, " ".join(r.choice(lines) + (" " + prose(9, 830 + 7 * k + j) if r.random() < 0.5 else "") for j in range(8))) for k in range(60)], {}
+    for k in range(60):
+        source = rows[r.randrange(len(rows))][1].split()
+        at = r.randrange(max(1, len(source) - 70))
+        part = source[at:at + 70]
+        copy = reworded(part, 0.08, r)
+        head = prose(25, 2000 + k) + " " + " ".join(r.choice(lines) for _ in range(2))
+        if len(part) >= 50 and close_passage(part, copy):
+            want[1000 + k] = set(range(len(head.split()), len(head.split()) + len(copy)))
+        rows.append((1000 + k, head + " " + " ".join(copy) + " " + prose(25, 3000 + k)))
+    found = covered(chaining.repeated_passages(docs_of(*rows)).collect())
+    hit = sum(len(found.get(i, set()) & w) >= 0.8 * len(w) for i, w in want.items())
+    assert len(want) > 50 and hit >= 0.9 * len(want)
+
+
 def test_simhash(docs_of):
     got = sh.near_duplicates(odd(docs_of)).collect()
     rows = sorted(ODD, key=lambda x: (x[0] is None, x[0] or 0))
