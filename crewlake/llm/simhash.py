@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlake.llm.shared import components, cut
+from crewlake.llm.shared import components, cut, free_name
 from crewlake.llm.textbytes import chunks
 
 BLOCKS = 4
@@ -54,17 +54,18 @@ def _fingerprints(column: pa.Array, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """Rows (id, fp): A-Z lower-cased, words cut at ASCII white space, shingles of ``width`` words.
+    """Rows (id, text_key, fp): A-Z lower-cased, words cut at ASCII white space, shingles of ``width`` words.
 
     Fewer words make one shingle of all of them; a text without words (NULL, empty) has fingerprint 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_fingerprints(batch.column(1), width).view(np.int64))], ["id", "fp"])
+                [batch.column(0), batch.column(1), pa.array(_fingerprints(batch.column(2), width).view(np.int64))], ["id", "text_key", "fp"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, F.col(text_column).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    text = F.col(text_column).cast("string")
+    return docs.select(id_column, F.xxhash64(text), text).mapInArrow(run, f"id {kind}, text_key long, fp long")
 
 
 class BKTree:
@@ -208,24 +209,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     NULL ids keep their row; a component of NULL ids alone has a NULL component_id.  Repeated rows, texts without words and
     exact copies share a fingerprint and hence a component.  Other columns are ignored.
     """
+    classed = _classed(docs, id_column, text_column, width, radius)
+    return classed.select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classed(docs: DataFrame, id_column: str, text_column: str, width: int, radius: int) -> DataFrame:
+    """Rows (fp, id, text_key, root, component_id), one per document; ``root`` tells components of equal ids apart."""
     marked = cut(fingerprints(docs, id_column, text_column, width))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
     roots = components(links(distinct.select("fp"), radius))
     classed = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = classed.join(lowest, "root").select("fp", "component_id")
-    return marked.join(by_print, "fp").select(
-        F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = classed.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(by_print, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3,
                          radius: int = 2) -> DataFrame:
-    """The documents whose id is the smallest of their component; rows that repeat an id and its text stay once.
+    """The documents whose id is the smallest of their component; of several that share it the one of lowest text hash stays, once.
 
-    Rows with a NULL id all stay: without an id none can be preferred.
+    An id with several texts is judged text by text.  Rows with a NULL id all stay: without an id none can be preferred.
     """
-    classes = near_duplicates(docs, id_column, text_column, width, radius)
-    keep = classes.filter(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.join(keep, id_column, "left_semi").dropDuplicates([id_column, text_column])
+    classes = _classed(docs, id_column, text_column, width, radius)
+    own, key = free_name(docs, "_keep_id"), free_name(docs, "_keep_key")
+    keep = classes.filter(F.col("id") == F.col("component_id")).groupBy("root", F.col("id").alias(own)).agg(F.min("text_key").alias(key)).drop("root")
+    named = docs.join(keep, (F.col(id_column) == F.col(own)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(key)), "left_semi").dropDuplicates([id_column, text_column])
     return named.select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))

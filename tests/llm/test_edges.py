@@ -368,6 +368,13 @@ def test_simhash(docs_of):
     assert sh.near_duplicates(empty(docs_of)).count() == 0 and sh.drop_near_duplicates(empty(docs_of)).count() == 0
 
 
+def test_an_id_with_several_texts_is_judged_text_by_text(docs_of):
+    one, other, third = prose(80, 900), prose(80, 901), prose(80, 902)
+    docs = docs_of((3, one), (5, other), (5, one), (5, third), (7, third), (5, other))
+    kept = sorted((r.doc_id, r.text) for r in sh.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(3, one), (5, other), (5, third)])
+
+
 @pytest.mark.parametrize("shard", [256, 4])
 def test_hot_shards_lose_no_link(spark, shard):
     r = random.Random(3)
