@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crewlake.functions.ordered import latest, neighbour
 from crewlake.functions.phrases import relative_range
 from crewlake.functions.scalars import AsOf, full_name, has_text, norm_name
+from crewlake.session import kept, new_folder
 
 # --- fixed values ---------------------------------------------------------------------------
 AUTO, CANDIDATE, SUGGEST = 90.0, 70.0, 55.0
@@ -27,6 +28,8 @@ EXPLICIT = r"(?i)(site|project|client|supplier|company)\s*[=:：]\s*([A-Za-z0-9
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SORT_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij"
 STAGES = (90.0, 70.0, 55.0)
+#: Letters of a text that fit one number, with a bit to spare for the carry.
+WORD_BITS = 62
 
 CHITCHAT = r"(?iU)^(hi|hello|hey|thanks?|thank you|ok|okay|cool|great|good|nice|bye|你好|谢谢|好的|嗯|哈喽)\W*$"
 QUESTION = (r"(?i)[?？]|^(who|what|which|how|when|where|is |are |do |does |can |show|list|give|"
@@ -101,11 +104,31 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(total > 0, 200.0 * lcs_length(letters(a), letters(b)) / total).otherwise(0.0)
 
 
-def letter_order(vocab: DataFrame) -> str:
-    """The letters of comparison forms from rare to common, as counted in the dictionary (36 numbers, one scan)."""
-    seen = vocab.agg(*[F.count_if(F.col("norm").contains(ch)).alias(f"n_{ch}") for ch in ALPHABET]).first()
-    return "".join(sorted(ALPHABET, key=lambda ch: (seen[f"n_{ch}"] or 0, ch)))
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _masks(a: Column) -> Column:
+    """For each letter of an array of letters a number with one bit per place where the letter stands."""
+    places = F.sequence(F.lit(0), F.size(a) - 1)
+    kinds = F.array_distinct(a)
+    bits = F.transform(kinds, lambda c: F.aggregate(
+        F.filter(places, lambda i: F.get(a, i) == c), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(_bit(i))))
+    return F.map_from_arrays(kinds, bits)
+
+
+def _common(masks: Column, la: Column, b: Column) -> Column:
+    """:func:`lcs_length` of a text of at most ``WORD_BITS`` letters, given by its masks, and letters ``b``: a row of the table is one number."""
+    full = _bit(la) - 1
 
+    def step(open_places: Column, ch: Column) -> Column:
+        met = open_places.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("long")))
+        return (open_places + met).bitwiseOR(open_places - met).bitwiseAND(full)
+
+    return la - F.bit_count(F.aggregate(b, full, step))
+
+
+# --- the name index ------------------------------------------------------------------------------------------
 
 def _tokens(c: Column, order: str) -> Column:
     """Each character with its running number in the text, so equal texts share all tokens; rare letters first."""
@@ -121,66 +144,123 @@ def _need(la: Column, lb: Column, threshold: float) -> Column:
     return F.ceil((la + lb) * threshold / 200.0 - 1e-9).cast("int")
 
 
-def _pairs(prefix: Column) -> Column:
-    """All unordered pairs of a sorted prefix."""
+def _shortest(length: Column, threshold: float) -> Column:
+    """Length of the shortest text that can reach the threshold with a text of this length."""
+    return F.greatest(F.ceil(length * (threshold / (200.0 - threshold)) - 1e-9).cast("int"), F.lit(1))
+
+
+def _pairs(tokens: Column, length: Column, threshold: float) -> Column:
+    """Pairs (sig, at) of the rarest tokens, ``at`` being the place of the less rare one; as many as any other text may ask for."""
+    longest = F.greatest(length - _need(length, _shortest(length, threshold), threshold) + 2, F.lit(0))
+    prefix = F.slice(tokens, F.lit(1), F.least(longest, length))
+
     def with_rest(x: Column, i: Column) -> Column:
-        rest = F.slice(prefix, i + 2, F.greatest(F.size(prefix) - i - 1, F.lit(0)))
-        return F.transform(rest, lambda y: F.concat(x, F.lit("~"), y))
+        rest = F.sequence(i + 2, F.size(prefix))
+        return F.when(i + 2 <= F.size(prefix), F.transform(rest, lambda k: F.struct(F.concat(x, F.lit("~"), F.get(prefix, k - 1)).alias("sig"), k.alias("at")))).otherwise(
+            F.array().cast("array<struct<sig:string,at:int>>"))
     return F.flatten(F.transform(prefix, with_rest))
 
 
-def near_names(terms: DataFrame, vocab: DataFrame, threshold: float, best: int | None = None) -> DataFrame:
-    """(norm, vocabulary entry) pairs with similarity of at least ``threshold``; none is missed.
+class NameIndex:
+    """A stored index of names for similarity search: built once, grown by merging, looked up by equi-joins.
 
-    With ``best`` a term is looked up in stages, from very similar to the threshold, and leaves as soon as a stage has found
-    that many different names: all names above the stage's bound are known then, so its best ``best`` are exact, and the
-    many weaker pairs of names that differ in a digit or two are never made.
-    """
-    order = letter_order(vocab)
-    stages = [s for s in STAGES if s > threshold + 1e-9] if best is not None else []
-    parts, left = [], terms.select("norm").distinct()
-    for stage in stages:
-        found = _near(left, vocab, stage, order)
-        done = found.groupBy("norm").agg(F.count_distinct("value").alias("_names")).filter(F.col("_names") >= int(best)).select("norm")
-        parts.append(found.join(done, "norm", "left_semi"))
-        left = left.join(done, "norm", "left_anti")
-    return reduce(DataFrame.unionByName, [*parts, _near(left, vocab, threshold, order)])
-
-
-def _near(terms: DataFrame, vocab: DataFrame, threshold: float, order: str) -> DataFrame:
-    """All pairs of at least ``threshold``.
-
-    Two texts of known lengths that are similar enough share at least ``t`` numbered
-    characters.  Sorted from rare to common, their first ``len - t + 2`` ones must then have
-    two in common, so pairs are found by an equi-join on (two tokens, length) instead of
-    comparing everything with everything.  Length and shared-character bounds discard most
-    of the rest before the exact score is computed.
+    Two texts that are similar enough share at least ``t`` numbered characters.  Sorted from rare to common, their first
+    ``len - t + 2`` ones must then have two in common.  The index holds the pairs of rare characters of every name with the
+    place that the pair needs; a look-up joins on the pair and compares places and lengths, so one index serves every
+    threshold from ``floor`` on, and no name is missed.  The letters' order is fixed when the index is built: rare letters
+    of later names only cost time.
+
+    Folders under ``root``: ``order`` (one row), ``pairs`` (sig, at, v_norm, lv), ``entries`` (type, norm, value).  Pairs are
+    written first; a lost merge leaves pairs of names that no entry names, which a rerun adds once more without effect.
     """
-    ratio = threshold / (200.0 - threshold)
-    v = vocab.select("norm").distinct().select(F.col("norm").alias("v_norm"), F.length("norm").alias("lv"), _tokens(F.col("norm"), order).alias("v_tok"))
-    t = terms.select("norm").distinct().select("norm", F.length("norm").alias("lt"), _tokens(F.col("norm"), order).alias("t_tok"))
-
-    def fan(df: DataFrame, own: str, other: str, tok: str) -> DataFrame:
-        first = F.greatest(F.ceil(F.col(own) * ratio - 1e-9).cast("int"), F.lit(1))
-        last = F.greatest(F.floor(F.col(own) / ratio + 1e-9).cast("int"), first)
-        out = df.withColumn(other, F.explode(F.sequence(first, last)))
-        t_need = _need(F.col(own), F.col(other), threshold)
-        keep = F.col(own) - t_need + 2
-        prefix = F.slice(F.col(tok), F.lit(1), F.greatest(F.least(keep, F.col(own)), F.lit(0)))
-        return out.withColumn("sig", F.explode(_pairs(prefix)))
-
-    left = fan(t, "lt", "lv", "t_tok")
-    right = fan(v, "lv", "lt", "v_tok")
-    found = left.select("norm", "t_tok", "lt", "lv", "sig").join(
-        right.select("v_norm", "v_tok", "lt", "lv", "sig"), ["lt", "lv", "sig"])
-    shared = F.size(F.array_intersect("t_tok", "v_tok"))
-    pairs = found.filter(shared >= _need(F.col("lt"), F.col("lv"), threshold)).select("norm", "v_norm").distinct()
-    # with replacements allowed a text is never further away than without, so this cheap distance loses no pair
-    far = F.levenshtein("norm", "v_norm") > (F.length("norm") + F.length("v_norm")) * ((100.0 - threshold) / 100.0) + 1e-9
-    pairs = pairs.filter(~far)
-    scored = pairs.withColumn("raw_score", similarity(F.col("norm"), F.col("v_norm"))).filter(F.col("raw_score") >= threshold - 1e-9)
-    return scored.join(vocab.select(F.col("norm").alias("v_norm"), "type", "value"), "v_norm").select(
-        "norm", "type", "value", "raw_score", F.round("raw_score", 1).alias("score"))
+
+    def __init__(self, spark: SparkSession, root: str, order: str | None = None, floor: float | None = None):
+        self.spark, self.root, self.order, self.floor = spark, root, order, floor
+        if order is None:
+            self.order, self.floor = spark.read.parquet(f"{root}/order").first()
+        self.entries = spark.read.schema("type string, norm string, value string").parquet(f"{root}/entries")
+        self.pairs = spark.read.schema("sig string, at int, v_norm string, lv int").parquet(f"{root}/pairs")
+
+    @classmethod
+    def build(cls, vocab: DataFrame, root: str | None = None, floor: float = SUGGEST) -> NameIndex:
+        """Index a dictionary (type, norm, value) under ``root``, by default a new folder in the shared one."""
+        spark = vocab.sparkSession
+        root = root or new_folder(spark, "names")
+        entries = kept(vocab.select("type", "norm", "value"), f"{root}/entries")
+        order = letter_order(entries)
+        spark.createDataFrame([(order, float(floor))], "letters string, floor double").coalesce(1).write.parquet(f"{root}/order")
+        cls._pairs_of(entries.select("norm").distinct(), order, floor).write.parquet(f"{root}/pairs")
+        return cls(spark, root, order, floor)
+
+    @staticmethod
+    def _pairs_of(norms: DataFrame, order: str, floor: float) -> DataFrame:
+        rows = norms.select(F.col("norm").alias("v_norm"), F.length("norm").alias("lv"), _tokens(F.col("norm"), order).alias("tok"))
+        return rows.select("v_norm", "lv", F.inline(_pairs(F.col("tok"), F.col("lv"), floor))).select("sig", "at", "v_norm", "lv")
+
+    def merge(self, vocab: DataFrame) -> NameIndex:
+        """The index with the entries of ``vocab`` that it lacks; of a known type and form the stored value stays."""
+        new = kept(vocab.select("type", "norm", "value").join(self.entries.select("type", "norm"), ["type", "norm"], "left_anti"))
+        norms = new.select("norm").distinct().join(self.entries.select("norm"), "norm", "left_anti")
+        self._pairs_of(norms, self.order, self.floor).write.mode("append").parquet(f"{self.root}/pairs")
+        new.write.mode("append").parquet(f"{self.root}/entries")
+        return NameIndex(self.spark, self.root)
+
+    def near(self, terms: DataFrame, threshold: float, best: int | None = None, form: Column | None = None,
+             types: Sequence[str] | None = None) -> DataFrame:
+        """(norm, type, value, raw_score, score) of all names of ``types`` that reach ``threshold``, at least the floor.
+
+        With ``best`` a term is looked up in stages, from very similar to the threshold, and leaves as soon as a stage has
+        found that many different names, told apart by ``form`` (the value): all names above the stage's bound are known
+        then, so its best ``best`` are exact, and the many weaker pairs of names that differ in a digit or two are never made.
+        What is left after a stage is stored, so no stage runs twice.
+        """
+        if threshold < self.floor - 1e-9:
+            raise ValueError(f"this index holds no names below {self.floor}")
+        form = F.col("value") if form is None else form
+        entries = self.entries if types is None else self.entries.filter(F.col("type").isin(list(types)))
+        text = letters(F.col("norm"))
+        left = kept(terms.select("norm").distinct().filter("norm <> ''").select(
+            "norm", F.length("norm").alias("lt"), _tokens(F.col("norm"), self.order).alias("tok"), F.when(F.length("norm") <= WORD_BITS, _masks(text)).alias("masks")))
+        parts = []
+        for stage in [*[s for s in STAGES if best is not None and s > threshold + 1e-9], threshold]:
+            found = self._stage(left, stage).join(entries.withColumnRenamed("norm", "v_norm"), "v_norm").select(
+                "norm", "type", "value", "raw_score", F.round("raw_score", 1).alias("score"))
+            if stage == threshold:
+                parts.append(found)
+                break
+            found = kept(found)
+            done = found.groupBy("norm").agg(F.count_distinct(form).alias("_names")).filter(F.col("_names") >= int(best)).select("norm")
+            parts.append(found.join(done, "norm", "left_semi"))
+            left = kept(left.join(done, "norm", "left_anti"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _stage(self, terms: DataFrame, threshold: float) -> DataFrame:
+        """(norm, v_norm, raw_score) of all pairs of at least ``threshold``."""
+        asked = terms.select("norm", "lt", F.inline(_pairs(F.col("tok"), F.col("lt"), threshold))).withColumnRenamed("at", "t_at")
+        met = asked.join(self.pairs, "sig")
+        need = _need(F.col("lt"), F.col("lv"), threshold)
+        fits = (F.least("lt", "lv") >= need) & (F.col("t_at") <= F.col("lt") - need + 2) & (F.col("at") <= F.col("lv") - need + 2)
+        pairs = met.filter(fits).select("norm", "v_norm").distinct().join(terms.select("norm", "lt", "masks"), "norm")
+        other = letters(F.col("v_norm"))
+        common = F.when(F.col("masks").isNotNull(), _common(F.col("masks"), F.col("lt"), other)).otherwise(lcs_length(letters(F.col("norm")), other))
+        return pairs.withColumn("raw_score", 200.0 * common / (F.col("lt") + F.length("v_norm"))).filter(
+            F.col("raw_score") >= threshold - 1e-9).select("norm", "v_norm", "raw_score")
+
+
+def letter_order(vocab: DataFrame) -> str:
+    """The letters of comparison forms from rare to common, as counted in the dictionary (36 numbers, one scan)."""
+    seen = vocab.agg(*[F.count_if(F.col("norm").contains(ch)).alias(f"n_{ch}") for ch in ALPHABET]).first()
+    return "".join(sorted(ALPHABET, key=lambda ch: (seen[f"n_{ch}"] or 0, ch)))
+
+
+def _indexed(vocab: DataFrame | NameIndex, floor: float) -> NameIndex:
+    return vocab if isinstance(vocab, NameIndex) else NameIndex.build(vocab, floor=floor)
+
+
+def near_names(terms: DataFrame, vocab: DataFrame | NameIndex, threshold: float, best: int | None = None,
+               types: Sequence[str] | None = None) -> DataFrame:
+    """(norm, vocabulary entry) pairs with similarity of at least ``threshold``; see :meth:`NameIndex.near`."""
+    return _indexed(vocab, threshold).near(terms, threshold, best, types=types)
 
 
 def _rank(order: Sequence[str], c: str = "type") -> Column:
@@ -196,22 +276,21 @@ def collapse(found: DataFrame) -> DataFrame:
 
 # --- T1 ---------------------------------------------------------------------------------------------------------
 
-def resolve_mentions(mentions: DataFrame, vocab: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mention -> status, matched entity and up to four candidates.
+def resolve_mentions(mentions: DataFrame, vocab: DataFrame | NameIndex, aliases: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """Mention -> status, matched entity and up to four candidates, of ``types`` only if given.
 
-    Exact comparison form first, then alias, then similarity.  A single candidate of 90 or
-    more is a match; several are ambiguous; 70 to 90 are only offered.
+    Exact comparison form first, then alias, then similarity.  A single candidate of 90 or more is a match and the next best
+    ones from 70 on are offered beside it; several of 90 or more are ambiguous; 70 to 90 are only offered.  An alias stands
+    for whatever its target resolves to, by similarity too; one whose target has no match is passed over.
     """
+    index = _indexed(vocab, CANDIDATE)
+    entries = index.entries if types is None else index.entries.filter(F.col("type").isin(list(types)))
+    goals = resolve_aliases(aliases, index, types)
     m = mentions.select("mention").distinct().withColumn("norm", norm_name("mention"))
-    known = direct(m, vocab, aliases)
+    known = kept(direct(m, entries, goals))
 
     # only what is still open enters the similarity join
-    best = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(TYPE_PRIORITY), "value")
-    terms = known.filter("_value IS NULL AND length(norm) >= 2")
-    top = (collapse(near_names(terms, vocab, CANDIDATE, RUNNERS + 1)).withColumn("n", F.row_number().over(best))
-           .filter(F.col("n") <= RUNNERS + 1))
-    # at most four candidates per term reach this aggregation
-    lists = top.groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("n", "type", "value", "score"))).alias("c"))
+    lists = _offers(known.filter("_value IS NULL AND length(norm) >= 2"), index, types)
     rows = known.join(lists, "norm", "left")
     found = F.col("_value").isNotNull()
     first = F.get("c", F.lit(0))
@@ -228,19 +307,52 @@ def resolve_mentions(mentions: DataFrame, vocab: DataFrame, aliases: DataFrame)
         F.when(found, F.lit(100.0)).when(hit, first["score"]).alias("score"), offered.alias("candidates"))
 
 
-def direct(m: DataFrame, vocab: DataFrame, aliases: DataFrame, typed: bool = False) -> DataFrame:
+def _offers(terms: DataFrame, index: NameIndex, types: Sequence[str] | None) -> DataFrame:
+    """(norm, c): the best four candidates of each term, one per comparison form of the name."""
+    best = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(TYPE_PRIORITY), "value")
+    near = index.near(terms, CANDIDATE, RUNNERS + 1, norm_name("value"), types)
+    top = collapse(near).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= RUNNERS + 1)
+    # at most four candidates per term reach this aggregation
+    return top.groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("n", "type", "value", "score"))).alias("c"))
+
+
+def resolve_aliases(aliases: DataFrame, index: NameIndex, types: Sequence[str] | None = None) -> DataFrame:
+    """(norm, type, value) of every alias whose target resolves: exactly, by another alias (up to three in a row), or as the
+    single name of 90 or more."""
+    entries = index.entries if types is None else index.entries.filter(F.col("type").isin(list(types)))
+    steps = kept(aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"]))
+    meant = entries.join(steps.select(F.col("_to").alias("norm")), "norm", "left_semi").withColumn("_p", _rank(LOOKUP_ORDER))
+    exact = kept(latest(meant, ["norm"], ["_p"], first=True).select(F.col("norm").alias("_to"), "type", "value"))
+    goal = steps
+    for _ in range(3):  # a target that is no name may be an alias itself
+        onward = steps.select(F.col("norm").alias("_to"), F.col("_to").alias("_next"))
+        goal = goal.join(exact.select("_to", F.lit(True).alias("_known")), "_to", "left").join(onward, "_to", "left").select(
+            "norm", F.when(F.col("_known").isNull(), F.coalesce("_next", "_to")).otherwise(F.col("_to")).alias("_to"))
+    goal = kept(goal.join(exact, "_to", "left"))
+    unknown = goal.filter("type IS NULL").select(F.col("_to").alias("norm"))
+    if unknown.isEmpty():
+        return goal.select("norm", "type", "value")
+    # only a single name of AUTO or more counts, so one stage tells
+    near = collapse(index.near(unknown, AUTO, form=norm_name("value"), types=types)).filter(F.col("score") >= AUTO)
+    close = near.groupBy("norm").agg(F.count("*").alias("_n"), F.first(F.struct("type", "value")).alias("_c")).filter("_n = 1").select(
+        F.col("norm").alias("_to"), "_c")
+    return kept(goal.join(close, "_to", "left").select(
+        "norm", F.coalesce("type", "_c.type").alias("type"), F.coalesce("value", "_c.value").alias("value")).filter("value IS NOT NULL"))
+
+
+def direct(m: DataFrame, vocab: DataFrame, goals: DataFrame, typed: bool = False) -> DataFrame:
     """Rows with ``norm`` (and ``type`` when ``typed``) plus _type, _value, _how of an exact or alias hit.
 
-    Left joins keep every row, so the input is read once and nothing is subtracted again.
+    ``goals`` is what :func:`resolve_aliases` gives.  Left joins keep every row, so the input is read once and nothing is
+    subtracted again.
     """
     on = ["type", "norm"] if typed else ["norm"]
     one = (vocab.select("type", "norm", "value") if typed else
            latest(vocab.withColumn("_p", _rank(LOOKUP_ORDER)), ["norm"], ["_p"], first=True).select("norm", "type", "value"))
     long_enough = F.length("norm") >= 2
     hit = one.select(*([F.col("type")] if typed else []), "norm", F.col("type").alias("_t1"), F.col("value").alias("_v1"))
-    goal = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"])
-    end = one.select(*([F.col("type")] if typed else []), F.col("norm").alias("_to"), F.col("type").alias("_t2"), F.col("value").alias("_v2"))
-    rows = m.join(hit, on, "left").join(goal, "norm", "left").join(end, ["type", "_to"] if typed else ["_to"], "left")
+    goal = goals.select(*([F.col("type")] if typed else []), "norm", F.col("type").alias("_t2"), F.col("value").alias("_v2"))
+    rows = m.join(hit, on, "left").join(goal, on, "left")
     exact, alias = F.col("_v1").isNotNull() & long_enough, F.col("_v2").isNotNull() & long_enough
     return rows.select(
         *m.columns, F.when(exact, F.col("_t1")).when(alias, F.col("_t2")).alias("_type"),
@@ -248,10 +360,10 @@ def direct(m: DataFrame, vocab: DataFrame, aliases: DataFrame, typed: bool = Fal
         F.when(exact, "exact").when(alias, "alias").alias("_how"))
 
 
-def suggest(terms: DataFrame, vocab: DataFrame, limit: int = 5) -> DataFrame:
-    """T4: the ``limit`` closest entities per term from 55 on, one per name."""
-    t = terms.select("mention").distinct().withColumn("norm", norm_name("mention")).filter("norm <> ''")
-    near = near_names(t, vocab, SUGGEST, limit)
+def suggest(terms: DataFrame, vocab: DataFrame | NameIndex, limit: int = 5, types: Sequence[str] | None = None) -> DataFrame:
+    """T4: the ``limit`` closest entities per term from 55 on, one per name, of ``types`` only if given."""
+    t = kept(terms.select("mention").distinct().withColumn("norm", norm_name("mention")).filter("norm <> ''"))
+    near = _indexed(vocab, SUGGEST).near(t, SUGGEST, limit, types=types)
     one = latest(near.withColumn("_p", -_rank(LOOKUP_ORDER)), ["norm", "value"], ["score", "_p"]).drop("_p")
     w = Window.partitionBy("norm").orderBy(F.desc("score"), _rank(LOOKUP_ORDER), "value")
     top = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= int(limit))
@@ -270,19 +382,25 @@ def phrases(c: Column | str) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, at)))
 
 
-def detect_mentions(questions: DataFrame, vocab: DataFrame, aliases: DataFrame) -> DataFrame:
+def detect_mentions(questions: DataFrame, vocab: DataFrame | NameIndex, aliases: DataFrame) -> DataFrame:
     """T5: the one entity each question is about: (question_id, type, value, score, raw).
 
     An explicit ``site=x`` wins and is kept even when unknown; otherwise the longest phrase
-    that resolves; otherwise a capital abbreviation known as an alias.
+    that resolves; otherwise a capital abbreviation known as an alias.  Different phrases are resolved once, however many
+    questions say them.
     """
+    index = _indexed(vocab, CANDIDATE)
+    entries, goals = index.entries, resolve_aliases(aliases, index)
     q = questions.select("question_id", "text")
     cols = ["question_id", "type", "value", "score", "raw"]
 
     stated = q.select("question_id", F.lower(F.regexp_extract("text", EXPLICIT, 1)).alias("type"),
                       F.trim(F.regexp_extract("text", EXPLICIT, 2)).alias("raw")).filter("type <> ''")
-    asked = direct(stated.select("type", "raw", norm_name("raw").alias("norm")).distinct(), vocab, aliases, typed=True)
-    near = near_names(asked.filter("_value IS NULL"), vocab, AUTO)
+    # a stated kind is kept, so an alias stands for the entity of that kind which it names
+    typed_goals = aliases.select(norm_name("alias").alias("norm"), norm_name("value").alias("_to")).dropDuplicates(["norm"]).join(
+        entries.withColumnRenamed("norm", "_to"), "_to").select("norm", "type", "value")
+    asked = kept(direct(stated.select("type", "raw", norm_name("raw").alias("norm")).distinct(), entries, typed_goals, typed=True))
+    near = index.near(asked.filter("_value IS NULL"), AUTO)
     close = latest(near.select("norm", "type", "value", "score"), ["norm", "type"], ["score", "value"])
     known = asked.join(close, ["norm", "type"], "left").select(
         "raw", "type", F.coalesce("_value", "value").alias("_best"),
@@ -293,14 +411,14 @@ def detect_mentions(questions: DataFrame, vocab: DataFrame, aliases: DataFrame)
 
     said = q.select("question_id", F.explode(phrases("text")).alias("mention")).filter(
         F.length(norm_name("mention")) >= MIN_PHRASE)
-    hits = resolve_mentions(said.select("mention"), vocab, aliases).filter(F.col("score") >= AUTO)
+    hits = kept(resolve_mentions(said.select("mention"), index, aliases).filter(F.col("score") >= AUTO))
     spoken = said.join(hits, "mention").select(
         "question_id", "type", "value", "score", F.col("mention").alias("raw"), F.lit(2).alias("_kind"), F.length("norm").alias("_len"))
 
     short = q.select("question_id", F.posexplode(F.regexp_extract_all("text", F.lit(ABBREVIATION), 1)).alias("p", "raw"))
-    abbr = direct(short.withColumn("norm", norm_name("raw")), vocab, aliases).filter("_how = 'alias'").select(
-        "question_id", F.col("_type").alias("type"), F.col("_value").alias("value"), F.lit(100.0).alias("score"), "raw",
-        F.lit(1).alias("_kind"), (-F.col("p")).alias("_len"))
+    abbr = short.withColumn("norm", norm_name("raw")).filter("length(norm) >= 2").join(goals, "norm").join(
+        entries.select("norm"), "norm", "left_anti").select(
+        "question_id", "type", "value", F.lit(100.0).alias("score"), "raw", F.lit(1).alias("_kind"), (-F.col("p")).alias("_len"))
     every = explicit.unionByName(spoken).unionByName(abbr)
     return latest(every, ["question_id"], ["_kind", "_len", "score", "raw"]).select(*cols)
 
@@ -324,7 +442,7 @@ def related_probes(probes: Sequence[tuple[str, DataFrame, Column | str, str]], t
 
 
 def zero_row_diagnosis(table: DataFrame, column: str, date_from: str, date_to: str, probes, term: str,
-                       terms: DataFrame, vocab: DataFrame) -> DataFrame:
+                       terms: DataFrame, vocab: DataFrame | NameIndex) -> DataFrame:
     """Everything worth saying about an empty answer as (step, subject, detail) rows."""
     cover = coverage_note(table, column, date_from, date_to).select(
         F.lit("coverage").alias("step"), F.concat_ws("..", "first_day", "last_day").alias("subject"), F.col("note").alias("detail"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SCALE_SETTINGS = {
     # run-time re-planning: merge small partitions, split hot ones, pick joins by real size
@@ -38,6 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there: later steps start from the rows, not from their plan."""
+    path = path or new_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(app: str = "crewlake", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the scale settings; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)

@@ -57,6 +57,57 @@ def test_similarity_join_misses_nothing(spark, threshold):
     assert {(r.norm, r.value) for r in got} == want
 
 
+def entries(spark, rows):
+    names = spark.createDataFrame([(t, v, 0) for t, v in rows], "type string, value string, source_rank int")
+    return T.vocabulary(names)
+
+
+def test_one_name_in_four_spellings_hides_no_other(spark):
+    v = entries(spark, [("site", "Red-Widget"), ("client", "Red Widget"), ("supplier", "RED WIDGET"), ("project", "RedWidget"), ("site", "Red Gidgets")])
+    r = T.resolve_mentions(spark.createDataFrame([("redwidgetz",)], "mention string"), v, T.alias_table(spark, {"q": "q"})).first()
+    assert (r.status, r.type, r.value, r.candidates) == ("fuzzy", "site", "Red-Widget", "Red Gidgets (site)")
+
+
+def test_types_limit_the_search(spark, vocab):
+    m, none = spark.createDataFrame([("Acorn Grup",), ("Transport and Hire",), ("AG",)], "mention string"), T.alias_table(spark, {"AG": "Acorn Group"})
+    got = {r.mention: (r.status, r.value) for r in T.resolve_mentions(m, vocab, none, ["supplier"]).collect()}
+    assert got == {"Acorn Grup": ("none", None), "Transport and Hire": ("exact", "Transport & Hire"), "AG": ("none", None)}
+    assert {r.type for r in T.suggest(m, vocab, types=["client", "supplier"]).collect()} <= {"client", "supplier"}
+
+
+def test_an_alias_stands_for_what_its_target_resolves_to(spark, vocab):
+    aliases = T.alias_table(spark, {"AG": "Acorn Grup", "A2": "AG", "A3": "A2", "gone": "qqqqzzzz"})
+    m = spark.createDataFrame([("AG",), ("A2",), ("A3",), ("gone",)], "mention string")
+    got = {r.mention: (r.status, r.value) for r in T.resolve_mentions(m, vocab, aliases).collect()}
+    assert got == {"AG": ("alias", "Acorn Group"), "A2": ("alias", "Acorn Group"), "A3": ("alias", "Acorn Group"), "gone": ("none", None)}
+
+
+def test_index_grows_by_merging(spark, tmp_path):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdexyz12") for _ in range(rnd.randint(3, 11)))
+    words = sorted({word() for _ in range(120)} | {"a" * 70 + "b" * 9, "a" * 66 + "b" * 12})
+    first, more = words[::2], words[1::2] + words[::2][:5]
+    frame = lambda ws: spark.createDataFrame([("site", w, w.upper()) for w in ws], "type string, norm string, value string")
+    index = T.NameIndex.build(frame(first), f"{tmp_path}/names", 55.0).merge(frame(more)).merge(frame(more))
+    terms = sorted({word() for _ in range(40)} | {"a" * 69 + "c"})
+    for threshold in (55.0, 90.0):
+        got = sorted((r.norm, r.value) for r in index.near(spark.createDataFrame([(t,) for t in terms], "norm string"), threshold).collect())
+        assert got == sorted((a, b.upper()) for a in terms for b in words if 200 * lcs(a, b) / (len(a) + len(b)) >= threshold - 1e-9)
+    assert T.NameIndex(spark, f"{tmp_path}/names").entries.count() == len(words)
+
+
+def test_best_names_in_stages_are_exact(spark):
+    rnd = random.Random(9)
+    words = sorted({"worker" + "".join(rnd.choice("0123456789") for _ in range(4)) for _ in range(200)} | {"wrker", "workers", "wooker12"})
+    v = spark.createDataFrame([("site", w, w) for w in words], "type string, norm string, value string")
+    terms = ["worker12", "worker0000", "wrkers", "zzz"]
+    near = T.near_names(spark.createDataFrame([(t,) for t in terms], "norm string"), v, 55.0, best=4).collect()
+    for t in terms:
+        scores = sorted((round(200 * lcs(t, w) / (len(t) + len(w)), 6) for w in words), reverse=True)[:4]
+        got = sorted((round(r.raw_score, 6) for r in near if r.norm == t), reverse=True)[:4]
+        assert got == [x for x in scores if x >= 55]
+
+
 def test_chunks_merge_and_cut(spark):
     text = "intro\n## A\nshort\n## B\n" + "x" * 8000
     rows = RT.chunks(spark.createDataFrame([(1, "stem", text)], "doc_id int, title string, text string")).collect()
