@@ -14,6 +14,7 @@ from crewlake.session import shared_folder
 from crewlake.plans.stand_in import AS_OF, Tables
 from crewlake.sources import bronze, gold_io
 from crewlake.streaming import incremental as I
+from crewlake.streaming.gaps import gap_pairs_stream
 
 # --- the gate ---------------------------------------------------------------------------------------
 
@@ -305,6 +306,28 @@ add("stream_ingest", _stream, """
 SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 
 
+def _gap_stream(t: Tables) -> DataFrame:
+    """Land the sign forms as NDJSON, a later part first, and pair them as a stream; a form years later closes the last gaps."""
+    root = work_dir(t)
+    forms = t.forms.select("OPMS", "Status", "Date").withColumns({c: F.col(c).cast("string") for c in ("OPMS", "Status", "Date")})
+    half = F.pmod(F.xxhash64("OPMS", "Date"), F.lit(2))
+    schema = "OPMS string, Status string, Date string"
+    closing = t.spark.createDataFrame([("0", "Sign In", "2100-01-01T00:00:00")], schema)
+    for part in (forms.filter(half == 1), forms.filter(half == 0), closing):
+        part.write.mode("append").json(f"{root}/forms")
+        stream = t.spark.readStream.schema(schema).json(f"{root}/forms")
+        # the delay spans the table, so whatever order its parts come in nothing is late
+        gap_pairs_stream(stream, "3650 days").writeStream.format("parquet").option("path", f"{root}/pairs").option(
+            "checkpointLocation", f"{root}/pairs-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("opms string, started timestamp, ended timestamp, hours double").parquet(f"{root}/pairs").select(
+        "opms", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("ended", "yyyy-MM-dd HH:mm:ss").alias("ended"),
+        F.round("hours", 4).alias("hours"))
+
+
+add("gap_pairs_stream", _gap_stream, """
+SELECT CAST(opms AS VARCHAR) AS opms, strftime(started,'%Y-%m-%d %H:%M:%S') AS started, strftime(ended,'%Y-%m-%d %H:%M:%S') AS ended, round(hours,4) AS hours FROM pairs""")
+
+
 def _gold_cycle(t: Tables) -> DataFrame:
     root = work_dir(t)
     gold_io.write_gold(t.project_jobs, root, "project_job_summary")

@@ -1,10 +1,15 @@
 import json
+import random
 import tempfile
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from crewlake.operators import reconcile as R
 from crewlake.sources import bronze, flatten, gold_io
 from crewlake.streaming import incremental as I
+from crewlake.streaming.gaps import gap_pairs_stream
 
 
 def folder():
@@ -65,6 +70,89 @@ def test_merge_batches_survive_a_repeat(spark):
     assert sorted((r.id, r.v) for r in I.read_merged(spark, root).collect()) == [(1, "b"), (2, "a"), (3, "c")]
 
 
+class Lost(Exception):
+    pass
+
+
+def merged_model(batches):
+    """One row per key: the newest, of equally new ones the first."""
+    out = {}
+    for batch in batches:
+        for k, m, v in batch:
+            if k not in out or m > out[k][0]:
+                out[k] = (m, v)
+    return sorted((k, m, v) for k, (m, v) in out.items())
+
+
+@pytest.mark.parametrize("lost_at", range(12))
+def test_a_merge_lost_at_any_step_is_finished_by_a_rerun(spark, monkeypatch, lost_at):
+    root, rnd = folder(), random.Random(lost_at)
+    batches = [[(rnd.randint(0, 30), rnd.randint(0, 5), f"{b}") for _ in range(rnd.randint(1, 12))] for b in range(4)]
+    batches = [[r for k, r in enumerate(b) if r[0] not in {x[0] for x in b[:k]}] for b in batches]
+    left = [lost_at]
+
+    def failing(name, before):
+        whole = getattr(I, name)
+
+        def run(*args, **more):
+            left[0] -= 1
+            if before and left[0] == 0:
+                raise Lost
+            out = whole(*args, **more)
+            if not before and left[0] == 0:
+                raise Lost
+            return out
+        monkeypatch.setattr(I, name, run)
+
+    for name in ("_write_run", "_commit", "remove"):
+        failing(name, lost_at % 2)
+    for b, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, "id int, m int, v string")
+        for _ in range(2):
+            try:
+                I.merge_batch(frame, root, ["id"], "m", b, 2)
+                break
+            except Lost:
+                pass
+    assert sorted(tuple(r) for r in I.read_merged(spark, root).select("id", "m", "v").collect()) == merged_model(batches)
+
+
+def test_small_batches_write_a_few_times_their_size(spark):
+    root = folder()
+    rows = lambda lo, hi, m: spark.range(lo, hi).select(F.col("id"), F.lit(m).alias("m"), F.lit("x" * 20).alias("v"))
+    I.merge_batch(rows(0, 20_000, 0), root, ["id"], "m", 0)
+    for b in range(1, 13):
+        I.merge_batch(rows(b * 1000, b * 1000 + 200, b), root, ["id"], "m", b)
+    log = spark.read.schema(I.RUN_LOG).parquet(f"{root}/log").filter("live")
+    written = log.agg(F.sum("rows")).first()[0] - 20_000
+    assert written <= 3 * 12 * 200  # each batch once, and once more per merge of four
+    assert len(I.live_runs(spark, root)) <= 4
+    table = I.read_merged(spark, root)
+    assert table.count() == 20_000 and table.filter("m > 0").count() == 12 * 200
+    assert sorted(tuple(r) for r in I.read_merged(spark, root, [(1100,), (3,), (99_999,)]).select("id", "m").collect()) == [(3, 0), (1100, 1)]
+
+
+def test_gap_stream_equals_the_batch_after_disorder(spark):
+    rnd, root = random.Random(4), folder()
+    start = datetime(2024, 1, 1)
+    rows = [(str(rnd.randint(1, 6)), rnd.choice(["Sign Out", "Sign In"]), start + timedelta(minutes=rnd.randint(0, 60 * 24 * 12))) for _ in range(400)]
+    words = {"Sign Out": R.OUT, "Sign In": R.IN}
+    frame = lambda rs: spark.createDataFrame([(o, words[s], t.strftime("%Y-%m-%dT%H:%M:%S")) for o, s, t in rs], "OPMS string, Status string, Date string")
+    rows = sorted(rows, key=lambda r: r[2] + timedelta(hours=rnd.uniform(0, 20)))  # up to 20 hours out of order
+    late = [("1", "Sign Out", start), ("2", "Sign In", start + timedelta(hours=1))]  # far beyond the delay
+    close = [("0", "Sign In", start + timedelta(days=60))]
+    query = None
+    for k, part in enumerate([rows[:100], rows[100:250], rows[250:], late, close, close]):
+        frame(part).coalesce(1).write.mode("append").json(f"{root}/in")
+        stream = spark.readStream.schema("OPMS string, Status string, Date string").json(f"{root}/in")
+        query = gap_pairs_stream(stream, "1 day").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/cp").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.opms, r.started, r.ended, round(r.hours, 6)) for r in spark.read.parquet(f"{root}/out").collect())
+    want = sorted((r.opms, r.started, r.ended, round(r.hours, 6)) for r in R.gap_pairs(frame(rows)).collect())
+    assert got == want and len(want) > 30
+
+
 def test_version_gate(spark):
     now, version, loads = [0.0], ["v1"], []
     gate = I.VersionGate(lambda: version[0], lambda: loads.append(version[0]) or spark.range(1), ttl=10, clock=lambda: now[0])
