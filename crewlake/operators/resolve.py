@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crewlake.functions.ordered import latest, neighbour
 from crewlake.functions.phrases import relative_range
 from crewlake.functions.scalars import AsOf, full_name, has_text, norm_name
+from crewlake.operators.patterns import find_patterns
 from crewlake.session import kept, new_folder
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -475,21 +476,19 @@ def recall_rules(questions: DataFrame, sites: Sequence[str], definitions: Sequen
                  suppliers: Sequence[str] = ()) -> DataFrame:
     """Learned rules that a question touches, (question_id, kind, subject).
 
-    What was learned is a short list held as a parameter, so it is tested inside each row
-    and no join of questions with rules is needed.
+    A rule is touched where the question contains its subject, as it is or with spaces for underscores, in any case; flags of
+    suppliers also where it is about suppliers or risk at all.  All subjects are searched for in one pass over the texts.
     """
-    q = F.lower("text")
-
-    def hits(kind: str, names: Sequence[str], extra: Column | None = None) -> Column:
-        arr = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-        def said(n: Column) -> Column:
-            found = q.contains(F.lower(F.replace(n, F.lit("_"), F.lit(" ")))) | q.contains(F.lower(n))
-            return found if extra is None else found | extra
-        return F.transform(F.filter(arr, said), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("subject")))
-
-    about_supply = q.contains("supplier") | q.contains("供应商") | q.contains("risk") | q.contains("风险")
-    found = F.concat(hits("site_rule", sites), hits("definition", definitions), hits("supplier_flag", suppliers, about_supply))
-    return questions.select("question_id", F.inline(found))
+    spark = questions.sparkSession
+    rules = spark.createDataFrame([(k, n) for k, names in (("site_rule", sites), ("definition", definitions), ("supplier_flag", suppliers))
+                                   for n in dict.fromkeys(names)], "kind string, subject string")
+    forms = rules.withColumn("pattern", F.explode(F.array(F.lower("subject"), F.lower(F.replace(F.col("subject"), F.lit("_"), F.lit(" ")))))).distinct()
+    asked = questions.select("question_id", F.lower("text").alias("text"))
+    said = find_patterns(asked, forms).join(forms, "pattern").select("question_id", "kind", "subject").distinct()
+    about_supply = F.col("text").rlike("supplier|供应商|risk|风险")
+    flags = F.array(*[F.lit(n) for n in dict.fromkeys(suppliers)]) if suppliers else F.array().cast("array<string>")
+    rest = asked.filter(about_supply).select("question_id", F.lit("supplier_flag").alias("kind"), F.explode(flags).alias("subject"))
+    return said.unionByName(rest).distinct()
 
 
 # --- T12 ---------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlake.operators import logs as L
+from crewlake.operators import patterns as P
 from crewlake.operators import resolve as T
 from crewlake.operators import retrieve as RT
 from crewlake.plans.registry import add
@@ -148,6 +149,72 @@ SELECT c_custkey AS question_id, 'site_rule' AS kind, 'bma_site' AS subject FROM
 UNION ALL SELECT c_custkey, 'definition', 'hot bolt' FROM customer WHERE c_custkey % 5 = 4 UNION ALL SELECT c_custkey, 'supplier_flag', 'Delta Crew' FROM customer""")
 
 
+# --- over the given texts: names, rules and follow-ups as they stand there -------------------------------------
+
+TERMS = r"""w0 AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
+wc AS (SELECT w, count(*) AS n FROM w0 WHERE length(w) >= 6 GROUP BY w)"""
+
+
+def _words(t: Tables, least: int) -> DataFrame:
+    words = t.raw("conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    return words.filter(F.length("w") >= least).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def _named(t: Tables) -> DataFrame:
+    """Every long word and every opening pair of words of the conversations, looked up in all documents."""
+    opening = t.raw("conversations").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= 2)
+    vocab = _words(t, 9).select(F.lit("site").alias("type"), F.col("w").alias("value")).unionByName(
+        opening.select(F.lit("client").alias("type"), F.concat_ws(" & ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("value")).distinct())
+    return P.named_in(t.raw("documents").select("doc_id", "text"), vocab)
+
+
+add("named_in_documents", _named, r"""
+WITH w0 AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
+names AS (SELECT DISTINCT 'site' AS type, x AS value, ' '||x||' ' AS pattern FROM (SELECT unnest(w) AS x FROM w0) WHERE length(x) >= 9
+  UNION SELECT DISTINCT 'client', w[1]||' & '||w[2], ' '||w[1]||' '||w[2]||' ' FROM w0 WHERE len(w) >= 2),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+grams AS (SELECT doc_id, ' '||x||' ' AS pattern FROM (SELECT doc_id, unnest(w) AS x FROM d)
+  UNION ALL SELECT doc_id, ' '||w[i]||' '||w[i+1]||' ' FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
+SELECT doc_id, type, value, count(*) AS hits FROM grams JOIN names USING (pattern) GROUP BY ALL""")
+
+
+def _recalled(t: Tables) -> DataFrame:
+    """The thirty most frequent long words as subjects of rules: ten of each kind."""
+    top = [r.w for r in _words(t, 6).orderBy(F.desc("n"), "w").limit(30).collect()]
+    asked = t.raw("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "text")
+    return T.recall_rules(asked, top[:10], top[10:20], top[20:])
+
+
+add("recall_rules_in_conversations", _recalled, f"""
+WITH {TERMS}, top AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM wc QUALIFY r <= 30),
+rules AS (SELECT w AS subject, CASE WHEN r <= 10 THEN 'site_rule' WHEN r <= 20 THEN 'definition' ELSE 'supplier_flag' END AS kind FROM top)
+SELECT DISTINCT conv_id||':'||turn AS question_id, kind, subject FROM conversations, rules
+WHERE contains(lower(text), subject) OR (kind = 'supplier_flag' AND regexp_matches(lower(text), 'supplier|供应商|risk|风险'))""")
+
+
+def _told(t: Tables) -> DataFrame:
+    """Conversations with their own texts; long turns of users stand for tool calls."""
+    c = t.raw("conversations")
+    call = (F.col("role") == "user") & (F.length("text") > 120)
+    args = F.create_map(F.lit("worker_name"), F.lit("Jane"), F.lit("site"), F.lit("A"))
+    turns = c.select(F.col("conv_id").alias("conversation_id"), "turn", "text", F.when(call, "timesheet").alias("tool"),
+                     F.when(call, "get_weekly_timesheet").alias("function"), F.when(call, args).alias("args"))
+    out = T.followups(turns, AS_OF, F.floor(F.col("turn") / 2))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("args")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.withColumn("args", text)
+
+
+add("followups_in_conversations", _told, """
+WITH told AS (SELECT *, role = 'user' AND length(text) > 120 AS call FROM conversations),
+heard AS (SELECT *, max(CASE WHEN call THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z]{2,}') AND w NOT IN
+    ('What','About','And','The','How','Who','Show','Same','Last','This','Next','Week','Month','Today','Tomorrow'))[1] AS who FROM told)
+SELECT conv_id AS conversation_id, turn, 'timesheet' AS tool, 'get_weekly_timesheet' AS function, 'site=A;worker_name='||who AS args,
+  FALSE AS time_changed, TRUE AS person_changed, FALSE AS entity_changed FROM heard
+WHERE before IS NOT NULL AND who IS NOT NULL AND (length(trim(text)) <= 12
+  OR regexp_matches(text, '(?i)那|呢|换成|改成|那么|还有|这个|那个|他|她|这周|上周|下周|这个月|上个月|what about|how about|and (for|in|at)\\b|same (for|but)|instead'))""")
+
+
 def _turns(t: Tables) -> DataFrame:
     c = t.raw("conversations")
     n = F.length("text")

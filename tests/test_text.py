@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crewlake.operators import logs as L
+from crewlake.operators import patterns as P
 from crewlake.operators import resolve as T
 from crewlake.operators import retrieve as RT
 
@@ -108,6 +109,24 @@ def test_best_names_in_stages_are_exact(spark):
         assert got == [x for x in scores if x >= 55]
 
 
+def test_patterns_are_found_whatever_the_shards(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("ab c") for _ in range(rnd.randint(1, n)))
+    texts, patterns = [None, "", *[word(60) for _ in range(60)]], sorted({word(5) for _ in range(40)})
+    frame = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "id int, text string, hits_before int")
+    names = spark.createDataFrame([(p,) for p in [*patterns, "", patterns[0]]], "pattern string")
+    want = sorted((k, p, sum(t.startswith(p, i) for i in range(len(t)))) for k, t in enumerate(texts) if t for p in patterns if p in t)
+    for shard in (1 << 20, 16):
+        assert sorted((r.id, r.pattern, r.hits) for r in P.find_patterns(frame, names, shard=shard).collect()) == want
+    assert P.find_patterns(frame, names.limit(0)).count() == 0 and P.find_patterns(frame.limit(0), names).count() == 0
+
+
+def test_names_are_said_word_by_word(spark):
+    texts = spark.createDataFrame([(1, "Red-Widget, red widget! redwidget"), (2, "a Tired widget"), (3, "T&H hires; T H")], "id int, text string")
+    vocab = spark.createDataFrame([("site", "Red Widget"), ("client", "T & H"), ("client", "--")], "type string, value string")
+    assert sorted((r.id, r.value, r.hits) for r in P.named_in(texts, vocab).collect()) == [(1, "Red Widget", 2), (3, "T & H", 2)]
+
+
 def test_chunks_merge_and_cut(spark):
     text = "intro\n## A\nshort\n## B\n" + "x" * 8000
     rows = RT.chunks(spark.createDataFrame([(1, "stem", text)], "doc_id int, title string, text string")).collect()
