@@ -253,6 +253,9 @@ SELECT c_custkey, c_nationkey||'.0' AS nation_id, n_name AS nation_name FROM cus
 # --- reconciliation ----------------------------------------------------------------------------------------
 
 add("winning_sheet", lambda t: R.winning_sheet(t.entries).select(*ENTRY_COLS.split(", ")), f"SELECT {ENTRY_COLS} FROM won")
+add("winning_sheet_by_worker", lambda t: R.winning_sheet(t.entries).groupBy("opms_employee_id").agg(
+    F.count("*").alias("entries"), F.count_distinct("timesheet_id").alias("sheets"), F.round(F.sum(E.to_number("hours")), 2).alias("hours")),
+    "SELECT opms_employee_id, count(*) AS entries, count(DISTINCT timesheet_id) AS sheets, round(sum(hours), 2) AS hours FROM won GROUP BY 1")
 MONTH_COLS = "opms_employee_id, site_id, month, total_hours, entry_count, first_name, last_name, site_name"
 add("timesheet_summary", lambda t: t.months.select(*MONTH_COLS.split(", ")), f"SELECT {MONTH_COLS} FROM months")
 add("opms_hours", lambda t: t.hours.select("opms", E.iso_date("work_date").alias("work_date"), "hours"),
