@@ -33,5 +33,5 @@ def add(name: str, build: Build, oracle: str | None = None) -> None:
 
 
 def load_all() -> dict[str, Query]:
-    from crewlake.plans import q_controls, q_gold, q_logs, q_more, q_serving, q_silver  # noqa: F401
+    from crewlake.plans import q_controls, q_gold, q_index, q_logs, q_more, q_serving, q_silver  # noqa: F401
     return QUERIES
