@@ -3,39 +3,38 @@
 Maximum-likelihood bigram estimates are mixed with the additive unigram model.  The mixture weight depends on how frequent
 the context is (buckets of powers of two of its count); weights are learned by expectation-maximisation in
 which every training bigram is deleted from its own estimate (counts less one), so that it acts as held-out evidence.
-
-Sizes: a word or bigram whose count is at least 1 / ``SHARE`` of all tokens is frequent, so there are at most ``SHARE`` of
-them whatever the corpus; these small tables are broadcast.  Bigrams are kept for every context seen ``CONTEXT`` times or
-more; a context seen less has no evidence once its bigram is deleted, and backs off to the unigram model.  Everything else is
-counted, and looked up again, by hash joins on rows that are summed per task and text first.  Words are told apart by 64-bit hashes.
+Bigrams are kept for every context seen ``CONTEXT`` times or more; a context seen less has no evidence once its bigram is
+deleted, and backs off to the unigram model.
+
+Counts are asked for where they are needed.  Documents are packed into blocks of about ``BLOCK`` tokens.  A block sends its
+distinct words, and later its distinct bigrams, to the parts that count them; a part sums what all blocks send and answers
+each block.  So nothing is sent per document, a hot word or bigram is one entry per block, and no table of n-grams is broadcast.
+Words are numbered by descending count: a number then tells its word's count from a table of the distinct counts (at most the
+square root of twice the number of tokens), and sorted bigrams of small numbers take two to three bytes.  Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from crewlake.llm.shared import HashFilter, cut, stored
+from crewlake.llm.shared import stored, with_columns
 from crewlake.llm.textbytes import Chunk, chunks, mix
 
-SHARE = 1 << 20
 CONTEXT = 2
-#: Distinct n-grams a task holds before it passes its sums on.
-HELD = 1 << 20
+#: Tokens of a block (a longer document is a block of its own), and tokens of the corpus per part of the counts.
+BLOCK, PART = 1 << 20, 1 << 21
 ADD = 0.1
 BUCKETS = 40
-#: Size of the filter of words that may be contexts; others are told by the join.
-FILTER_BITS = 27
 END = mix(np.array([1], np.uint64))[0]
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of rows on the way to a score: a text's tokens and base part, its frequent tokens and their score, rare words, the
-#: end token where it is rare (it is no context), and rare pairs.
-WORDS, SEEN, RARE, LAST, PAIR, KINDS = 0, 1, 2, 3, 4, 8
 _STEPS = 16  # bins of the likelihood ratio per unit of its logarithm
 
 
@@ -45,125 +44,274 @@ def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def _pairs(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
-    return mix(prev * _PAIR + cur)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: planes that are zero throughout are left out."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = values.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return struct.pack("<QB", len(values), width) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
-def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each wanted value in the sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
 
 
-@dataclass
-class Frequent:
-    """Frequent words and their counts; contexts are those of them with a bucket."""
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending numbers, packed as their differences."""
+    return _packed(np.diff(values, prepend=np.uint64(0)))
 
-    n: int
-    v: int
-    words: np.ndarray
-    counts: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    gains: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
-
-    @property
-    def total(self) -> float:
-        return self.n + ADD * (self.v + 1)
 
-    def context(self, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each context (0: rare, or not kept) and its bucket."""
-        c = np.where(found, self.counts[at], 0) if len(self.counts) else np.zeros(len(at), np.int64)
-        c = np.where(c >= CONTEXT, c, 0)
-        return c, np.clip(np.frexp(c.astype(float))[1] - 1, 0, BUCKETS - 1).astype(np.int64)
+def _climb(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(h).view(np.int64))
-
-
-def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
-
-
-def count_words(train: DataFrame, text_column: str = "text") -> DataFrame:
-    """Rows (w, c): hash and count of every token, the end token included."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                parts.append(_tokens(chunk)[0])
-                held += len(parts[-1])
-                if held > HELD:
-                    yield out(*_summed(parts))
-                    parts, held = [], 0
-        if parts:
-            yield out(*_summed(parts))
-
-    def out(h, n):
-        return pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], ["w", "c"])
+def _blobs(parts: list[bytes]) -> pa.Array:
+    return pa.array(parts, pa.binary())
 
-    return (train.select(F.coalesce(F.col(text_column), F.lit(""))).mapInArrow(run, "w long, c long")
-            .groupBy("w").agg(F.sum("c").alias("c")))
 
+def blocks(docs: DataFrame, carry: list[str], text: Column, learned: Column, scored: Column) -> DataFrame:
+    """Rows (block, n, tokens, words, counts, taught, docs): the documents in blocks, in no order.
 
-def count_pairs(train: DataFrame, shared, text_column: str = "text") -> DataFrame:
-    """Rows (prev, cur, c12, c1, c2) of every bigram whose context may be kept.
-
-    ``shared`` is a broadcast (:class:`Frequent`, filter of the words that may be contexts); c1 and c2, the counts of the two
-    words, are NULL for rare ones.
+    ``words`` are the distinct hashes of a block, ascending; ``counts`` and ``taught`` their tokens in all and in the training
+    documents; ``tokens`` places in the list of words by descending count.  ``docs`` holds the carried columns of every document,
+    whether it is learned from and scored, and its number of tokens.
     """
+    kinds = StructType([*(StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(carry)),
+                        StructField("learned", BooleanType()), StructField("scored", BooleanType()), StructField("n", LongType())])
+    schema = StructType([*StructType.fromDDL("block long, n long, tokens binary, words binary, counts binary, taught binary").fields,
+                         StructField("docs", ArrayType(kinds))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, again = shared.value
-        pairs: list[np.ndarray] = []
-        before: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        held = 0
+        from pyspark import TaskContext
 
-        def count(words: np.ndarray) -> pa.Array:
-            at, found = _lookup(known.words, words)
-            return pa.array(known.counts[at] if len(known.counts) else np.zeros(len(at), np.int64), mask=~found)
+        number = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
+        rows: list[list[pa.Array]] = []
 
         def flush() -> pa.RecordBatch:
-            _, first, n = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
-            prev, cur = np.concatenate(before)[first], np.concatenate(ends)[first]
-            for held_back in (pairs, before, ends):
-                held_back.clear()
+            tokens, n = np.concatenate(held), np.concatenate(lens)
+            columns = [pa.concat_arrays(list(c)) for c in zip(*rows, strict=True)]
+            words, place, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            learned = np.repeat(columns[-2].to_numpy(zero_copy_only=False).astype(bool), n)
+            taught = np.bincount(place[learned], minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[_by_count(counts)] = np.arange(len(words))
+            each = pa.StructArray.from_arrays([*columns, pa.array(n)], kinds.names)
+            for part in (held, lens, rows):
+                part.clear()
             return pa.RecordBatch.from_arrays(
-                [_signed(prev), _signed(cur), pa.array(n.astype(np.int64)), count(prev), count(cur)], ["prev", "cur", "c12", "c1", "c2"])
+                [pa.array([number]), pa.array([len(tokens)]), _blobs([_packed(rank[place])]), _blobs([_steps(words)]),
+                 _blobs([_packed(counts)]), _blobs([_packed(taught)]),
+                 pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), each)], schema.names)
 
+        size = 0
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 tokens, bounds = _tokens(chunk)
-                inner = np.ones(len(tokens), bool)
-                inner[bounds[:-1]] = False
-                cur = np.flatnonzero(inner)
-                cur = cur[again.has(tokens[cur - 1])]
-                before.append(tokens[cur - 1])
-                ends.append(tokens[cur])
-                pairs.append(_pairs(before[-1], ends[-1]))
-                held += len(cur)
-                if held > HELD:
+                held.append(tokens)
+                lens.append(np.diff(bounds))
+                rows.append([c.slice(chunk.first, chunk.rows) for c in batch.columns[1:]])
+                size += len(tokens)
+                if size >= BLOCK:
                     yield flush()
-                    held = 0
-        if held:
+                    number, size = number + 1, 0
+        if size:
             yield flush()
 
-    return (train.select(F.coalesce(F.col(text_column), F.lit("")))
-            .mapInArrow(run, "prev long, cur long, c12 long, c1 long, c2 long")
-            .groupBy("prev", "cur", "c1", "c2").agg(F.sum("c12").alias("c12")))
+    return docs.select(F.coalesce(text, F.lit("")), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)],
+                       F.coalesce(learned, F.lit(False)), scored).mapInArrow(run, schema)
 
 
-def _named(counted: DataFrame) -> DataFrame:
-    """``counted`` with the number p of each pair."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """A block's words by descending count, equal ones by hash."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a word: ranges of its hash, so that ascending words are ascending parts."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Every part of an ascending list of them, and its slice."""
+    for p in np.unique(part):
+        yield int(p), slice(int(np.searchsorted(part, p)), int(np.searchsorted(part, p, side="right")))
+
+
+def count_words(packed: DataFrame, parts: int) -> DataFrame:
+    """Answers (block, part, counts, ranks, classes): training count of every word that a block sent to a part.
+
+    A rank numbers the words of the part that have equal counts; ``classes``, in one row of each part, says how many those are.
+    """
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prev, cur = (batch.column(c).to_numpy().view(np.uint64) for c in ("prev", "cur"))
-            yield pa.RecordBatch.from_arrays([_signed(_pairs(prev, cur)), *batch.columns], ["p", *batch.schema.names])
+            for block, words, taught in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, n = _climb(words), _unpacked(taught)
+                sent = [(p, _steps(h[at]), _packed(n[at])) for p, at in _cuts(_part(h, parts))]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in sent], pa.int32()), pa.array([block] * len(sent), pa.int64()),
+                                                  _blobs([w for _, w, _ in sent]), _blobs([c for *_, c in sent])], ["part", "block", "words", "taught"])
+
+    out = StructType.fromDDL("block long, part int, counts binary, ranks binary, classes array<struct<c:long,m:long>>")
+
+    def answer(asked: pa.Table) -> pa.Table:
+        h = [_climb(w) for w in asked.column("words").to_pylist()]
+        n = np.concatenate([_unpacked(c) for c in asked.column("taught").to_pylist()])
+        _, place = np.unique(np.concatenate(h), return_inverse=True)
+        counts = np.bincount(place, n).astype(np.int64)
+        order = np.argsort(counts, kind="stable")
+        kinds, first, m = np.unique(counts[order], return_index=True, return_counts=True)
+        ranks = np.empty(len(counts), np.int64)
+        ranks[order] = np.arange(len(counts)) - np.repeat(first, m)
+        classes = [{"c": int(c), "m": int(k)} for c, k in zip(kinds, m, strict=True) if c]
+        ends = np.cumsum([len(x) for x in h])[:-1]
+        return pa.Table.from_arrays(
+            [asked.column("block"), asked.column("part"), _blobs([_packed(x) for x in np.split(counts[place], ends)]),
+             _blobs([_packed(x) for x in np.split(ranks[place], ends)]),
+             pa.array([classes] + [[]] * (len(h) - 1), pa.list_(pa.struct([("c", pa.int64()), ("m", pa.int64())])))], names=out.names)
+
+    return packed.select("block", "words", "taught").mapInArrow(ask, "part int, block long, words binary, taught binary").groupBy(
+        "part").applyInArrow(answer, out)
+
+
+@dataclass
+class Numbers:
+    """Counts of words by their numbers: words from ``first[k]`` on have ``counts[k]`` training tokens."""
+
+    counts: np.ndarray
+    first: np.ndarray
+    n: int
+    v: int
 
-    return counted.mapInArrow(run, "p long, prev long, cur long, c1 long, c2 long, c12 long")
+    @property
+    def total(self) -> float:
+        return self.n + ADD * (self.v + 1)
+
+    def count(self, number: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.first, number, side="right") - 1] if len(self.counts) else np.zeros(len(number), np.int64)
+
+
+def number_words(answers: DataFrame) -> tuple[DataFrame, Numbers]:
+    """Rows (block, ids): numbers of a block's words in their order, plus one (0: no training token); and what the numbers mean."""
+    classes = answers.select("part", F.inline("classes"))
+    each = classes.groupBy("c").agg(F.sum("m").alias("m")).toArrow()  # distinct counts: at most sqrt(2 * tokens) rows
+    c, m = (each.column(k).to_numpy().astype(np.int64) for k in ("c", "m"))
+    order = np.argsort(-c)
+    c, m = c[order], m[order]
+    numbers = Numbers(c, np.cumsum(m) - m, int((c * m).sum()), int(m.sum()))
+    shared = answers.sparkSession.sparkContext.broadcast(numbers)
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    starts = classes.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0))).groupBy("part").agg(
+        F.sort_array(F.collect_list(F.struct("c", "ahead"))).alias("s"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids = []
+            for counts, ranks, c, ahead in zip(*(batch.column(k).to_pylist() for k in ("counts", "ranks", "c", "ahead")), strict=True):
+                n, rank = _unpacked(counts).astype(np.int64), _unpacked(ranks).astype(np.int64)
+                out = np.zeros(len(n), np.int64)
+                has = n > 0
+                if has.any():
+                    base = known.first[len(known.counts) - 1 - np.searchsorted(known.counts[::-1], n[has])]
+                    out[has] = base + np.array(ahead, np.int64)[np.searchsorted(np.array(c, np.int64), n[has])] + rank[has] + 1
+                ids.append(_packed(out))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), _blobs(ids)], ["block", "part", "ids"])
+
+    met = answers.join(starts, "part", "left").select("block", "part", "counts", "ranks", F.col("s.c").alias("c"), F.col("s.ahead").alias("ahead"))
+    named = met.mapInArrow(name, "block long, part int, ids binary")
+    return named.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("ids")).select(
+        "block", F.col("ids.ids").alias("ids")), numbers
+
+
+class _Block:
+    """A block's tokens by number, and its bigrams."""
+
+    def __init__(self, tokens: bytes, counts: bytes, ids: list[bytes], lens: np.ndarray, known: Numbers, parts: int):
+        numbers = np.concatenate([_unpacked(x) for x in ids]).astype(np.int64) - 1
+        self.tokens = numbers[_by_count(_unpacked(counts))][_unpacked(tokens).astype(np.int64)]
+        self.counts = np.where(self.tokens >= 0, known.count(np.maximum(self.tokens, 0)), 0)
+        self.row = np.repeat(np.arange(len(lens)), lens)
+        inner = np.ones(len(self.tokens), bool)
+        inner[np.cumsum(lens) - lens] = False
+        cur = np.flatnonzero(inner)
+        #: Tokens after a kept context, and those of them whose bigram can have been seen.
+        self.after = cur[self.counts[cur - 1] >= CONTEXT]
+        self.seen = self.after[self.tokens[self.after] >= 0]
+        a, b = self.tokens[self.seen - 1].astype(np.uint64), self.tokens[self.seen].astype(np.uint64)
+        wide = np.uint64(known.v // parts + 1)
+        part, inside = (a + b) % np.uint64(parts), a * wide + b // np.uint64(parts)
+        # by part, and by the two words in it
+        span = known.v * int(wide)
+        if span * parts < 1 << 64:
+            pairs, self.place = np.unique(part * np.uint64(span) + inside, return_inverse=True)
+            self.part, self.inside = (pairs // np.uint64(span or 1)).astype(np.int64), pairs % np.uint64(span or 1)
+        else:
+            order = np.lexsort((inside, part))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(part[order]) != 0) | (np.diff(inside[order]) != 0)
+            self.place = np.empty(len(order), np.int64)
+            self.place[order] = np.cumsum(new) - 1
+            self.part, self.inside = part[order][new].astype(np.int64), inside[order][new]
+
+
+def _each(batch: pa.RecordBatch, known: Numbers, parts: int) -> Iterator[tuple[int, _Block, pa.StructArray]]:
+    for k in range(batch.num_rows):
+        docs = batch.column("docs").slice(k, 1).flatten()
+        tokens, counts, ids = (batch.column(c)[k].as_py() for c in ("tokens", "counts", "ids"))
+        yield k, _Block(tokens, counts, ids, docs.field("n").to_numpy(), known, parts), docs
+
+
+def bucket(count: np.ndarray) -> np.ndarray:
+    """Bucket of a context's count: its power of two."""
+    return np.clip(np.frexp(count.astype(float))[1] - 1, 0, BUCKETS - 1).astype(np.int64)
+
+
+def count_pairs(named: DataFrame, shared, parts: int) -> DataFrame:
+    """Answers (block, part, counts, bins): training count of every bigram that a block sent to a part.
+
+    ``bins``, in one row of each part, holds the tokens of its bigrams by bucket and deleted likelihood ratio.
+    """
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_pylist()
+            for k, b, docs in _each(batch, shared.value, parts):
+                learned = docs.field("learned").to_numpy(zero_copy_only=False).astype(bool)[b.row[b.seen]]
+                taught = np.bincount(b.place[learned], minlength=len(b.part))
+                sent = [(p, _steps(b.inside[at]), _packed(taught[at])) for p, at in _cuts(b.part)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in sent], pa.int32()), pa.array([blocks[k]] * len(sent), pa.int64()),
+                                                  _blobs([w for _, w, _ in sent]), _blobs([c for *_, c in sent])], ["part", "block", "pairs", "taught"])
+
+    out = StructType.fromDDL("block long, part int, counts binary, bins array<struct<bucket:int,bin:int,n:long>>")
+
+    def answer(asked: pa.Table) -> pa.Table:
+        known, part = shared.value, asked.column("part")[0].as_py()
+        sent = [_climb(x) for x in asked.column("pairs").to_pylist()]
+        n = np.concatenate([_unpacked(c) for c in asked.column("taught").to_pylist()])
+        pairs, place = np.unique(np.concatenate(sent), return_inverse=True)
+        c12 = np.bincount(place, n).astype(np.int64)
+        met = c12 > 0
+        wide = known.v // parts + 1
+        a = (pairs[met] // np.uint64(wide)).astype(np.int64)
+        b = (pairs[met] % np.uint64(wide)).astype(np.int64) * parts + (part - a) % parts
+        seen, c1, p1 = c12[met], known.count(a), (known.count(b) + ADD) / known.total
+        again = seen > 1
+        ratio = np.full(len(seen), np.iinfo(np.int32).min, np.int64)
+        ratio[again] = np.round(np.log((seen[again] - 1) / (c1[again] - 1) / p1[again]) * _STEPS)
+        kinds, at = np.unique(np.stack((bucket(c1), ratio)), axis=1, return_inverse=True)
+        sums = np.bincount(at.reshape(-1), seen, kinds.shape[1]).astype(np.int64)
+        bins = [{"bucket": int(x), "bin": None if y == np.iinfo(np.int32).min else int(y), "n": int(z)} for x, y, z in zip(*kinds, sums, strict=True)]
+        ends = np.cumsum([len(x) for x in sent])[:-1]
+        return pa.Table.from_arrays(
+            [asked.column("block"), asked.column("part"), _blobs([_packed(x) for x in np.split(c12[place], ends)]),
+             pa.array([bins] + [[]] * (len(sent) - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])))],
+            names=out.names)
+
+    return named.mapInArrow(ask, "part int, block long, pairs binary, taught binary").groupBy("part").applyInArrow(answer, out)
 
 
 def learn_weights(bins: list[tuple[int, int | None, float]], rounds: int = 50) -> np.ndarray:
@@ -185,128 +333,63 @@ def learn_weights(bins: list[tuple[int, int | None, float]], rounds: int = 50) -
     return weights
 
 
+def learn_and_score(docs: DataFrame, learned: Column, carry: list[str], text_column: str = "text", scored: Column | None = None) -> DataFrame:
+    """Learn from the rows of ``docs`` that fulfil ``learned`` and score those that fulfil ``scored`` (all).
+
+    Rows (carried columns, n_tokens, n_known, train_tokens, base_score, score), one per scored row, repeated ones included.  NULL
+    texts are empty: one end token.  With nothing learned every token is unknown.
+    """
+    spark = docs.sparkSession
+    packed = stored(blocks(docs, carry, F.col(text_column), learned, F.lit(True) if scored is None else scored))
+    parts = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // PART + 1
+    ids, numbers = number_words(stored(count_words(packed, parts)))
+    shared = spark.sparkContext.broadcast(numbers)
+    named = packed.select("block", "tokens", "counts", "docs").join(stored(ids), "block")
+    answers = stored(count_pairs(named, shared, parts))
+    bins = answers.select(F.inline("bins")).groupBy("bucket", "bin").agg(F.sum("n")).collect()  # buckets times bins: a few thousand at most
+    weights = learn_weights([(r[0], r[1], float(r[2])) for r in bins])
+    pairs = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", F.col("counts").alias("c")))).alias("found")).select(
+        "block", F.col("found.c").alias("found"))
+    schema = with_columns(docs, carry, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for k, b, docs in _each(batch, known, parts):
+                p1 = (b.counts + ADD) / known.total
+                base = np.log10(p1)
+                c12 = np.zeros(len(b.tokens))
+                found = batch.column("found")[k].as_py()
+                if found:
+                    c12[b.seen] = np.concatenate([_unpacked(x) for x in found])[b.place]
+                c1 = b.counts[b.after - 1]
+                w = weights[bucket(c1)]
+                mixed = base.copy()
+                mixed[b.after] = np.log10(w * c12[b.after] / c1 + (1 - w) * p1[b.after])
+                rows = len(docs)
+                sums = [pa.array(docs.field("n")), pa.array(np.bincount(b.row[b.counts > 0], minlength=rows).astype(np.int64)),
+                        pa.array(np.full(rows, known.n, np.int64)), pa.array(np.bincount(b.row, base, rows)), pa.array(np.bincount(b.row, mixed, rows))]
+                out = pa.RecordBatch.from_arrays([*(docs.field(f"c{i}") for i in range(len(carry))), *sums], schema.names)
+                yield out.filter(docs.field("scored"))
+
+    return named.join(pairs, "block", "left").mapInArrow(run, schema)
+
+
 @dataclass
 class Model:
-    frequent: object
-    words: DataFrame
-    pairs: DataFrame
-    n: int
-    v: int
-
+    """The documents to learn from; they are counted together with those that are scored."""
 
-def _bucket(count):
-    return F.least(F.lit(BUCKETS - 1), F.length(F.bin(count.cast("long"))) - 1)
+    docs: DataFrame
+    text_column: str
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Model:
-    """Counts over all of ``docs`` and the mixture weights."""
-    spark = docs.sparkSession
-    words = cut(count_words(docs, text_column))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("c") * SHARE >= n).toArrow()  # at most SHARE rows
-    h = top.column("w").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    frequent = Frequent(int(n), int(v), h[order], top.column("c").to_numpy().astype(np.int64)[order])
-    again = HashFilter.of(words.filter(F.col("c") >= CONTEXT), "w", FILTER_BITS)
-    counted = stored(_named(count_pairs(docs, spark.sparkContext.broadcast((frequent, again)), text_column)))
-    # only rare words are looked up by a join
-    rare = words.filter(F.col("c") * SHARE < n)
-    for own, c in (("prev", "c1"), ("cur", "c2")):
-        met = counted.filter(F.col(c).isNull()).drop(c).join(rare.select(F.col("w").alias(own), F.col("c").alias(c)), own)
-        counted = counted.filter(F.col(c).isNotNull()).unionByName(met).filter(F.col("c1").isNull() | (F.col("c1") >= CONTEXT))
-    total = frequent.total
-    p1 = (F.col("c2") + ADD) / F.lit(total)
-    pairs = stored(counted.select(
-        "p", _bucket(F.col("c1")).alias("bucket"), "c12", (F.col("c12") / F.col("c1") / p1).alias("gain"),
-        F.when(F.col("c12") > 1, F.round(F.log((F.col("c12") - 1) / (F.col("c1") - 1) / p1) * _STEPS).cast("int")).alias("bin")))
-    bins = pairs.groupBy("bucket", "bin").agg(F.sum("c12")).collect()  # buckets times bins: a few thousand at most
-    frequent.weights = learn_weights([(r[0], r[1], float(r[2])) for r in bins])
-    top = pairs.filter(F.col("c12") * SHARE >= n).select("p", "gain").toArrow()  # at most SHARE rows
-    h = top.column("p").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    frequent.pairs, frequent.gains = h[order], top.column("gain").to_numpy()[order]
-    return Model(spark.sparkContext.broadcast(frequent), rare, pairs.filter(F.col("c12") * SHARE < n).select("p", "gain", "bucket"), int(n), int(v))
+    return Model(docs, text_column)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_column: str = "text") -> DataFrame:
-    """Rows (carried columns, n_tokens, n_known, train_tokens, base_score, score), one per document.
-
-    NULL texts are empty: one end token.  Documents equal in the carried columns and the text share their result; repeated
-    rows come out as often as they went in.  With nothing learned every token is unknown.
-    """
-    shared = model.frequent
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        logp = np.log10((known.counts + ADD) / known.total)
-        none = np.log10(ADD / known.total)
-        w = known.weights
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for chunk in chunks(batch.column(1)):
-                tokens, bounds = _tokens(chunk)
-                row_of = np.repeat(np.arange(chunk.rows), np.diff(bounds))
-                at, found = _lookup(known.words, tokens)
-                lp = np.where(found, logp[at], 0.0) if len(logp) else np.zeros(len(tokens))
-                inner = np.ones(len(tokens), bool)
-                inner[bounds[:-1]] = False
-                cur = np.flatnonzero(inner)
-                # pairs after frequent words, and those after rare ones, which only the join knows
-                some = found[cur - 1]
-                after = _pairs(tokens[cur[~some] - 1], tokens[cur[~some]])
-                after_row = row_of[cur[~some]]
-                cur = cur[some]
-                c, bucket = known.context(at[cur - 1], found[cur - 1])
-                kept = c > 0
-                cur, bucket = cur[kept], bucket[kept]
-                pairs = _pairs(tokens[cur - 1], tokens[cur])
-                pat, pfound = _lookup(known.pairs, pairs)
-                gain = np.where(pfound, known.gains[pat], 0.0) if len(known.gains) else np.zeros(len(pairs))
-                # a pair that is in no table is worth its unigram part; those found in the join are put right there
-                fix = np.log10(w[bucket] * gain + 1 - w[bucket])
-                base = np.bincount(row_of, lp, chunk.rows)
-                own = rows[chunk.first: chunk.last]
-                yield out(own, own, np.diff(bounds), WORDS, base)
-                yield out(own, own, np.bincount(row_of, found, chunk.rows).astype(np.int64), SEEN,
-                          base + np.bincount(row_of[cur], fix, chunk.rows))
-                last = tokens == END
-                for who, what, kind in ((row_of[~found & ~last], tokens[~found & ~last], RARE), (row_of[~found & last], tokens[~found & last], LAST),
-                                        (np.concatenate((row_of[cur[~pfound]], after_row)), np.concatenate((pairs[~pfound], after)), PAIR)):
-                    if len(who):
-                        _, first, m = np.unique(mix(what + who.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
-                        yield out(rows[chunk.first + who[first]], what[first].view(np.int64), m, kind, np.zeros(len(first)))
-
-    def out(row, key, n, kind, x) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row), pa.array(np.ascontiguousarray(key)), pa.array(np.asarray(n, np.int64) * KINDS + kind), pa.array(x)],
-            ["_row", "key", "what", "x"])
-
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    # documents with equal carried columns and text have equal results, so this number may stand for the row
-    same = F.xxhash64(*[F.col(c) for c in carry], *[F.col(c).isNull() for c in carry], text)
-    parts = docs.select(same.alias("_row"), text.alias("_text")).mapInArrow(
-        run, "_row long, key long, what long, x double").select(
-            "_row", "key", F.expr(f"what div {KINDS}").alias("n"), F.expr(f"what % {KINDS}").cast("int").alias("kind"), "x")
-    frequent = shared.value
-    total, none = frequent.total, float(np.log10(ADD / frequent.total))
-    weights = F.array(*[F.lit(float(w)) for w in frequent.weights])
-    # a rare word leaves its share to the unigram part of the word after it; a pair found puts its own part right
-    table = (model.words.select(F.col("w").alias("key"), F.col("c").cast("double").alias("value"), F.when(F.col("c") >= CONTEXT, _bucket(F.col("c"))).alias("bucket"))
-             .unionByName(model.pairs.select(F.col("p").alias("key"), F.col("gain").alias("value"), "bucket")))
-    met = parts.join(table, "key", "left")
-    weight = F.element_at(weights, F.coalesce(F.col("bucket"), F.lit(0)) + 1)
-    is_head, is_seen, hit = F.col("kind") == WORDS, F.col("kind") == SEEN, F.col("value").isNotNull()
-    word = F.col("kind").isin(RARE, LAST)
-    lp = F.when(hit, F.log10((F.col("value") + ADD) / F.lit(total))).otherwise(F.lit(none)) * F.col("n")
-    left = F.when((F.col("kind") == RARE) & F.col("bucket").isNotNull(), F.log10(1 - weight)).otherwise(0.0) * F.col("n")
-    fix = F.when(hit, F.log10(weight * F.col("value") + 1 - weight) - F.log10(1 - weight)).otherwise(0.0) * F.col("n")
-    sums = met.groupBy("_row").agg(
-        F.sum(F.when(is_head, F.col("x")).when(word, lp).otherwise(0.0)).alias("x"),
-        F.sum(F.when(is_head, 0.0).when(is_seen, F.col("x")).when(word, lp + left).otherwise(fix)).alias("y"),
-        F.sum(F.when(is_seen | (word & hit), F.col("n")).otherwise(0)).alias("seen"),
-        F.sum(F.when(is_head, F.col("n")).otherwise(0)).alias("n"), F.sum(is_head.cast("int")).alias("unit"))
-    one = sums.select("_row", (F.col("n") / F.col("unit")).cast("long").alias("n_tokens"),
-                      (F.col("seen") / F.col("unit")).cast("long").alias("n_known"),
-                      F.lit(model.n).cast("long").alias("train_tokens"),
-                      (F.col("x") / F.col("unit")).alias("base_score"), (F.col("y") / F.col("unit")).alias("score"))
-    return docs.select(*carry, same.alias("_row")).join(one, "_row").drop("_row")
+    """Like :func:`learn_and_score` where the documents to learn from are another table."""
+    own = docs.select(F.struct(*carry).alias("kept"), F.col(text_column).alias("text"), F.lit(False).alias("learned"))
+    others = model.docs.select(F.lit(None).cast(own.schema["kept"].dataType).alias("kept"), F.col(model.text_column).alias("text"), F.lit(True).alias("learned"))
+    out = learn_and_score(own.unionByName(others), F.col("learned"), ["kept"], "text", ~F.col("learned"))
+    return out.select("kept.*", *[c for c in out.columns if c != "kept"])

@@ -63,8 +63,8 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = interpolation.train(docs.filter(~is_test_fold("doc_id", 10, 0)))
-    return interpolation.score(docs.withColumn("held_out", is_test_fold("doc_id", 10, 0)), model, ["doc_id", "held_out"])
+    docs = docs.withColumn("held_out", is_test_fold("doc_id", 10, 0))
+    return interpolation.learn_and_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,9 +406,10 @@ def test_language_model(docs_of):
     assert interpolation.score(empty(docs_of), interpolation.train(docs), ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("share", [1 << 20, 4])
-def test_language_model_keeps_bigrams_of_rare_contexts(docs_of, monkeypatch, share):
-    monkeypatch.setattr(interpolation, "SHARE", share)
+@pytest.mark.parametrize("block,part", [(1 << 20, 1 << 21), (2000, 3000)])
+def test_language_model_keeps_bigrams_of_rare_contexts(docs_of, monkeypatch, block, part):
+    monkeypatch.setattr(interpolation, "BLOCK", block)
+    monkeypatch.setattr(interpolation, "PART", part)
     r = random.Random(6)
     names = [f"n{k}" for k in range(40)]
     train = [(k, " ".join(prose(400, 3000 + k).split() + [f"{w} {w}end" for w in r.sample(names, 6)])) for k in range(120)]
