@@ -1,10 +1,11 @@
-"""Queries over stored indexes."""
+"""Queries over stored indexes and digests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crewlake.operators.hashtree import HashTree, differing_keys
 from crewlake.operators.inverted import KeywordIndex
 from crewlake.plans.registry import add
 from crewlake.plans.stand_in import Tables
@@ -23,3 +24,18 @@ d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text),'[^\
 s AS (SELECT item_id, doc_id, count(*) / any_value(n) AS raw FROM d JOIN (SELECT item_id, len(words) AS n, unnest(words) AS word FROM q) USING (word) GROUP BY 1, 2)
 SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id) AS INTEGER) AS rank, round(raw,4) AS score
 FROM s QUALIFY rank <= 5""")
+
+
+def _differing(t: Tables) -> DataFrame:
+    """Orders against a copy with some prices changed, some rows lost and some keys new."""
+    a = t.raw("orders")
+    key = F.col("o_orderkey")
+    b = a.filter(key % 1009 != 5).withColumn("o_totalprice", F.when(key % 997 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    b = b.unionByName(a.filter(key % 1013 == 7).withColumn("o_orderkey", -key))
+    return differing_keys(a, b, HashTree.build(a, "o_orderkey", 256), HashTree.build(b, "o_orderkey", 256))
+
+
+add("parity_keys", _differing, """
+SELECT o_orderkey AS key, CAST(1 AS BIGINT) AS rows_a, CAST(CASE WHEN o_orderkey % 1009 = 5 THEN 0 ELSE 1 END AS BIGINT) AS rows_b,
+  CASE WHEN o_orderkey % 1009 = 5 THEN 'only_a' ELSE 'changed' END AS state FROM orders WHERE o_orderkey % 1009 = 5 OR o_orderkey % 997 = 3
+UNION ALL SELECT -o_orderkey, 0, 1, 'only_b' FROM orders WHERE o_orderkey % 1013 = 7""")
