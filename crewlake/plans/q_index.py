@@ -1,4 +1,4 @@
-"""Queries over stored indexes and digests."""
+"""Queries over stored indexes and digests."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crewlake.operators.hashtree import HashTree, differing_keys
 from crewlake.operators.inverted import KeywordIndex
+from crewlake.operators.nearest import VectorIndex
 from crewlake.plans.registry import add
 from crewlake.plans.stand_in import Tables
 
@@ -39,3 +40,17 @@ add("parity_keys", _differing, """
 SELECT o_orderkey AS key, CAST(1 AS BIGINT) AS rows_a, CAST(CASE WHEN o_orderkey % 1009 = 5 THEN 0 ELSE 1 END AS BIGINT) AS rows_b,
   CASE WHEN o_orderkey % 1009 = 5 THEN 'only_a' ELSE 'changed' END AS state FROM orders WHERE o_orderkey % 1009 = 5 OR o_orderkey % 997 = 3
 UNION ALL SELECT -o_orderkey, 0, 1, 'only_b' FROM orders WHERE o_orderkey % 1013 = 7""")
+
+
+def _nearest(t: Tables) -> DataFrame:
+    """Every twentieth vector against all vectors."""
+    vectors = t.raw("embeddings").select("vec_id", "embedding")
+    hits = VectorIndex.build(vectors, "vec_id", "embedding").search(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5, exact=True)
+    return hits.select(F.col("query_id").alias("vec_id"), F.col("item").alias("near_id"), "rank", "score")
+
+
+add("vector_index_search", _nearest, """
+WITH s AS (SELECT q.vec_id, e.vec_id AS near_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+SELECT vec_id, near_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY raw DESC, near_id) AS INTEGER) AS rank, round(raw,4) AS score
+FROM s WHERE raw > 0 QUALIFY rank <= 5""")
