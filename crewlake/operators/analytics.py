@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewlake.functions.ordered import with_edges
 from crewlake.functions.scalars import AsOf, day, iso_date
 from crewlake.operators.serve import (
     FIELD_POSITIONS,
@@ -297,15 +298,29 @@ def trend_deltas(snapshots: DataFrame) -> DataFrame:
     deviations away from the mean of the up to 14 snapshots before, of which at least 7 are
     needed.  The window runs per metric over one row per day.
     """
-    w = Window.partitionBy("metric").orderBy("date")
+    return _trend(snapshots, Window.partitionBy("metric").orderBy("date")).filter("prev IS NOT NULL AND value IS NOT NULL").select(
+        "date", "metric", "value", "prev", "delta", "anomaly")
+
+
+def series_deltas(series: DataFrame, metric: str, order: Sequence[str], size: int = 100_000) -> DataFrame:
+    """K8 for long series: the rows of ``series`` (``metric``, ``order``, value) with prev, delta and anomaly.
+
+    A metric's rows are cut into parts of ``size`` rows, each led by the rows that its window looks back at, so one metric with
+    most rows is the work of many tasks.  ``order`` must tell a metric's rows apart.  Rows without a value or one before are left out.
+    """
+    cut = with_edges(series, [metric], order, TREND_DAYS, size, "_part", "_edge")
+    out = _trend(cut, Window.partitionBy(metric, "_part").orderBy(*order)).filter("NOT _edge AND prev IS NOT NULL AND value IS NOT NULL")
+    return out.select(*series.columns, "prev", "delta", "anomaly")
+
+
+def _trend(rows: DataFrame, w) -> DataFrame:
+    """``rows`` with the value before, the difference to it and whether that is unusual, along the window's order."""
     back = w.rowsBetween(-TREND_DAYS, -1)
-    out = (snapshots.withColumn("prev", F.lag("value").over(w))
+    out = (rows.withColumn("prev", F.lag("value").over(w))
            .withColumn("n", F.count("value").over(back)).withColumn("mean", F.avg("value").over(back))
            .withColumn("sd", F.stddev_pop("value").over(back)))
     odd = (F.col("n") >= TREND_MIN) & (F.col("sd") > 0) & (F.abs(F.col("value") - F.col("mean")) > TREND_SIGMA * F.col("sd"))
-    return out.filter("prev IS NOT NULL AND value IS NOT NULL").select(
-        "date", "metric", "value", "prev", (F.col("value") - F.col("prev")).alias("delta"),
-        F.coalesce(odd, F.lit(False)).alias("anomaly"))
+    return out.withColumn("delta", F.col("value") - F.col("prev")).withColumn("anomaly", F.coalesce(odd, F.lit(False)))
 
 
 def snapshot_upsert(history: DataFrame, today: DataFrame, key: str = "date") -> DataFrame:

@@ -1,10 +1,11 @@
-"""Queries over stored indexes and digests."""
+"""Queries over stored indexes, digests and long series."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crewlake.operators import analytics as A
 from crewlake.operators.hashtree import HashTree, differing_keys
 from crewlake.operators.inverted import KeywordIndex
 from crewlake.operators.nearest import VectorIndex
@@ -54,3 +55,16 @@ WITH s AS (SELECT q.vec_id, e.vec_id AS near_id, list_cosine_similarity(CAST(e.e
   FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
 SELECT vec_id, near_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY raw DESC, near_id) AS INTEGER) AS rank, round(raw,4) AS score
 FROM s WHERE raw > 0 QUALIFY rank <= 5""")
+
+
+def _series(t: Tables) -> DataFrame:
+    """Every event's value against the events of its type before it."""
+    events = t.raw("events").select("event_type", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    return A.series_deltas(events, "event_type", ["ts", "event_id"], 5_000).select("event_type", "event_id", "prev", F.round("delta", 4).alias("delta"), "anomaly")
+
+
+add("series_deltas", _series, """
+SELECT event_type, event_id, prev, round(value - prev, 4) AS delta, coalesce(n >= 7 AND sd > 0 AND abs(value - mean) > 2*sd, FALSE) AS anomaly FROM (
+SELECT event_type, event_id, CAST(value AS DOUBLE) AS value, lag(CAST(value AS DOUBLE)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev, count(value) OVER b AS n,
+  avg(CAST(value AS DOUBLE)) OVER b AS mean, stddev_pop(CAST(value AS DOUBLE)) OVER b AS sd FROM events
+  WINDOW b AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) WHERE prev IS NOT NULL AND value IS NOT NULL""")
