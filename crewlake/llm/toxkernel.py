@@ -330,8 +330,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
           rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, fold: tuple[int, int] = (4, 2)) -> ToxicModel:
     """Model from labelled rows outside the test fold.
 
-    Sample: per class the ``rows`` labelled ids with the lowest hashes, of texts up to ``chars`` characters.  NULL labels
-    and ids are left out; an id with both labels counts as toxic.  With no labels every score is the same low one.
+    Sample: per class the ``rows`` labelled ids with the lowest hashes, of texts up to ``chars`` characters; of an id with
+    several rows the lowest text.  NULL labels and ids are left out; an id with both labels counts as toxic.  With no labels every score is the same low one.
     """
     known = (labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).filter(~is_test_fold(id_column, *fold))
              .groupBy(id_column).agg(F.max(F.col(label_column).cast("int")).alias("_toxic")))
@@ -340,8 +340,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     some = [known.filter(F.col("_toxic") == y).orderBy(key, id_column).limit(rows) for y in (0, 1)]
     ids = some[0].unionByName(some[1])  # at most 2 * rows small rows
     got = (docs.filter(F.col(text_column).isNotNull() & (F.length(text_column) <= chars)).select(id_column, F.col(text_column).alias("_text"))
-           .join(F.broadcast(ids), id_column).select(id_column, F.col("_text").cast("binary"), "_toxic").toArrow().sort_by(
-               [(id_column, "ascending"), ("_text", "ascending")]))
+           .join(F.broadcast(ids), id_column).groupBy(id_column).agg(F.min(F.col("_text").cast("binary")).alias("_text"), F.first("_toxic").alias("_toxic"))
+           .toArrow().sort_by([(id_column, "ascending")]))  # one row per sampled id
     return fit([bytes(t) for t in got.column("_text").to_pylist()], got.column("_toxic").to_pylist(), bad / n if n else 0.01)
 
 

@@ -440,3 +440,12 @@ def test_language_model_keeps_bigrams_of_rare_contexts(docs_of, monkeypatch, blo
 def test_weights_follow_the_evidence():
     w = interpolation.learn_weights([(0, 32, 100.0), (0, None, 1.0), (1, None, 50.0), (1, 32, 1.0)])
     assert w[0] > 0.8 and w[1] < 0.1 and (w[2:] == 0).all()
+
+
+def test_toxicity_learns_one_text_per_id(spark, docs_of):
+    rows = [(i, prose(30, 7000 + i) + (" grumblefoot" if i % 2 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once, often = docs_of(*rows), docs_of(*rows * 5, *[(i, text + " zz") for i, text in rows])
+    held = docs_of((900, prose(30, 7900)), (901, prose(30, 7901) + " grumblefoot"))
+    one, many = (sorted(map(tuple, toxkernel.score(held, toxkernel.learn(d, labels), ["doc_id"]).collect())) for d in (once, often))
+    assert one == many
