@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crewlake.functions.scalars import local_ts
 from crewlake.operators.gold import match
 from crewlake.operators.reconcile import roster_lines
+from crewlake.operators.resolve import WORD, alias_table, detect_mentions, vocabulary
 from crewlake.operators.silver import lookup_title
 from crewlake.plans.stand_in import Tables
 
@@ -56,3 +57,12 @@ def test_local_times_of_all_spellings(spark):
             "": None, "nan": None, "NaN": None, "soon": None, "T1Z": None, None: None}
     rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", F.date_format(local_ts("t"), "yyyy-MM-dd HH:mm:ss").alias("at")).collect()
     assert {r.t: r.at for r in rows} == said
+
+
+def test_phrases_of_a_question_are_taken_once(spark):
+    vocab = vocabulary(spark.createDataFrame([("site", "small ring", 0), ("site", "hot bolt", 0)], "type string, value string, source_rank int"))
+    asked = spark.createDataFrame([(1, "hours at small ring this week"), (2, "site = hot bolt"), (3, "nothing"), (4, None), (1, "hours at small ring this week")],
+                                  "question_id int, text string")
+    found = detect_mentions(asked, vocab, alias_table(spark, {"SR": "small ring"}))
+    assert sorted((r.question_id, r.value) for r in found.collect()) == [(1, "small ring"), (2, "hot bolt")]
+    assert WORD not in found._jdf.queryExecution().optimizedPlan().toString()
