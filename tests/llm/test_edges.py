@@ -328,6 +328,20 @@ def test_a_copy_whose_pieces_all_occur_earlier_is_found(docs_of, size, between):
     assert {x.other_doc_id for x in got if x.doc_id == 900} == {500}
 
 
+def test_a_copy_is_found_beside_a_text_that_holds_all_its_pieces(docs_of):
+    r = random.Random(12)
+    rows = []
+    for k in range(6):
+        words = [f"t{k}_{r.randrange(10_000)}" for _ in range(120)]
+        pieces = [words[i:i + 8] for i in range(0, 117, 5)]  # all runs of four, in another order
+        r.shuffle(pieces)
+        rows.append((10 * k, " ".join(" ".join(x) + f" n{k}_{i} m{k}_{i}" for i, x in enumerate(pieces))))
+        rows.append((10 * k + 1, " ".join(f"z{k}_{i}" if i % 6 == 3 else x for i, x in enumerate(words))))
+        rows.append((10 * k + 2, " ".join(words)))
+    found = chaining.repeated_passages(docs_of(*rows)).collect()
+    assert {(x.doc_id, x.other_doc_id) for x in found} >= {(10 * k + 2, 10 * k + 1) for k in range(6)}
+
+
 def test_chains_decide_what_is_aligned(docs_of):
     one, two = prose(35, 780).split(), prose(35, 781).split()
     rows = [(1, " ".join(one + two)), (2, " ".join(one + [f"put{k}" for k in range(12)] + two)),  # no half has 50 words alone
