@@ -153,6 +153,25 @@ def test_gap_stream_equals_the_batch_after_disorder(spark):
     assert got == want and len(want) > 30
 
 
+def test_gap_stream_keeps_groups_of_workers(spark):
+    rnd, root = random.Random(6), folder()
+    start = datetime(2024, 1, 1)
+    rows = [(str(w), s, (start + timedelta(minutes=w % 500 + m)).strftime("%Y-%m-%dT%H:%M:%S")) for w in range(1, 2501)
+            for s, m in ((R.OUT, 0), (R.IN, rnd.choice([0, 30, 420, 1300])), (R.OUT, 1500), (R.OUT, 1510), (R.IN, 1530))]
+    rnd.shuffle(rows)
+    form = "OPMS string, Status string, Date string"
+    held = []
+    for part in (rows[:6000], rows[6000:], [("0", R.IN, "2024-03-01T00:00:00")]):
+        spark.createDataFrame(part, form).coalesce(1).write.mode("append").json(f"{root}/in")
+        query = gap_pairs_stream(spark.readStream.schema(form).json(f"{root}/in"), "20 days").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/cp").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+    got = sorted((r.opms, r.started, r.ended, round(r.hours, 6)) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == sorted((r.opms, r.started, r.ended, round(r.hours, 6)) for r in R.gap_pairs(spark.createDataFrame(rows, form)).collect())
+    assert len(got) > 2500 and 0 < max(held) <= 1024  # a call of Python per group, not per worker
+
+
 def test_version_gate(spark):
     now, version, loads = [0.0], ["v1"], []
     gate = I.VersionGate(lambda: version[0], lambda: loads.append(version[0]) or spark.range(1), ttl=10, clock=lambda: now[0])
