@@ -17,12 +17,16 @@ from crewlake.session import kept, new_folder
 
 #: Rows the lists' centres are fitted on, and the most lists there are; every row is indexed.
 SAMPLE, LISTS = 20_000, 4096
-#: Vectors of a list, and queries, that meet in one group; larger lists and more queries are split.
-SHARD, TOGETHER = 4096, 1024
+#: Vectors and queries that meet in one group; small lists share a group, larger lists and more queries are split.
+SHARD, TOGETHER = 4096, 8192
+#: Queries of a group whose products are held at once, and products of them that are computed again in full at once.
+HELD, AGAIN = 256, 1 << 15
 #: Sampled rows and queries among them on which the number of lists to look into is measured, and the recall it must reach.
 MEASURED, ASKED, RECALL = 5_000, 200, 0.95
-#: How many times more lists each further wave of an exact search looks into.
-GROWTH = 4
+#: More than twice what a product of two unit vectors can be off by, per dimension.
+ROUNDING = 1e-14
+#: Lists in the first wave of an exact search, and how many times more lists each further wave looks into.
+WAVE, GROWTH = 16, 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,6 +75,7 @@ class VectorIndex:
         rows = self.lists.orderBy("list").toArrow()  # at most LISTS rows
         self.centres, self.radius = _matrix(rows.column("centre")), rows.column("radius").to_numpy()
         self.names = rows.column("list").to_numpy()
+        self.bands = self._bands(rows.column("n").to_numpy(), rows.column("shards").to_numpy())
         self.probes = spark.read.parquet(f"{root}/fit").first().probes
 
     @classmethod
@@ -113,6 +118,15 @@ class VectorIndex:
         dealt.repartitionByRange("list", "shard").sortWithinPartitions("list", "shard").write.parquet(f"{root}/vectors")
         return cls(spark, root)
 
+    def _bands(self, sizes: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """Per number of a list its band: neighbouring lists of ``SHARD`` vectors together, or a list that is split."""
+        bands, band, filled = np.zeros(int(self.names.max()) + 1 if len(self.names) else 1, np.int32), -1, SHARD
+        for name, n, parts in zip(self.names, sizes.tolist(), shards.tolist()):
+            if parts > 1 or filled + n > SHARD:
+                band, filled = band + 1, 0
+            bands[name], filled = band, SHARD if parts > 1 else filled + n
+        return bands
+
     def _plan(self, asked: DataFrame, exact: bool) -> DataFrame:
         """Each query's lists, the most promising first, with the greatest similarity that a vector of the list can have."""
         shared = self.spark.sparkContext.broadcast((self.centres, self.radius, self.names))
@@ -147,11 +161,9 @@ class VectorIndex:
         left = kept(self._plan(asked, exact).withColumn("least", F.lit(0.0)))
         schema = StructType([left.schema["query_id"], self.vectors.schema["item"], StructField("raw", DoubleType())])
         best, ranked = self.spark.createDataFrame([], schema), Window.partitionBy("query_id").orderBy(F.desc("raw"), "item")
-        first, wave = 0, probes or self.probes
+        first, wave = 0, probes or (min(WAVE, self.probes) if exact else self.probes)
         while first < len(self.names):
-            chosen = F.slice(F.arrays_zip("lists", "most"), first + 1, wave)
-            looks = left.select("query_id", "q", "least", F.inline(chosen).alias("list", "most")).filter("most >= least")
-            found = kept(self._meet(kept(looks.select("query_id", "q", "list")), k, schema))
+            found = kept(self._meet(kept(self._looks(left, first, wave)), k, schema))
             best = kept(best.unionByName(found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= int(k)))
             first, wave = first + wave, wave * GROWTH
             if not exact:
@@ -164,30 +176,71 @@ class VectorIndex:
             best = best.drop("rank")
         return best.select("query_id", "item", F.row_number().over(ranked).alias("rank"), F.round("raw", 4).alias("score"))
 
+    def _looks(self, left: DataFrame, first: int, wave: int) -> DataFrame:
+        """(query_id, q, least, band, lists): the next ``wave`` lists of every query that can still matter, by band."""
+        shared = self.spark.sparkContext.broadcast(self.bands)
+        schema = StructType([*left.select("query_id", "q", "least").schema.fields, StructField("band", IntegerType()), StructField("lists", ArrayType(IntegerType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists, most = (_matrix(batch.column(c))[:, first:first + wave] for c in ("lists", "most"))
+                row, at = np.nonzero(most >= batch.column("least").to_numpy()[:, None])
+                name = lists[row, at]
+                band = shared.value[name]
+                order = np.lexsort((name, band, row))
+                row, name, band = row[order], name[order], band[order]
+                edge = np.flatnonzero(np.concatenate(([True] * (len(row) > 0), (row[1:] != row[:-1]) | (band[1:] != band[:-1]))))
+                some = batch.select(["query_id", "q", "least"]).take(pa.array(row[edge]))
+                asked = pa.ListArray.from_arrays(pa.array(np.append(edge, len(row)).astype(np.int32)), pa.array(name.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(band[edge]), asked], schema.names)
+
+        return left.mapInArrow(run, schema)
+
     def _meet(self, looks: DataFrame, k: int, schema: StructType) -> DataFrame:
-        """The best ``k`` items of every query among the vectors of each shard it looks into."""
-        asked = looks.groupBy("list").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
-        shards = looks.join(self.lists.select("list", "shards"), "list").join(asked, "list")
-        right = shards.select("list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("query_id"), F.col("groups")).cast(
-            "int").alias("part"), "query_id", "q")
-        left = self.vectors.join(asked, "list").select("list", "shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "item", "v")
+        """The best ``k`` items of every query, as good as its ``least``, among the vectors of each band and shard it looks into."""
+        asked = looks.groupBy("band").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+        bands = self.spark.createDataFrame([(int(n), int(self.bands[n])) for n in self.names], "list int, band int")  # at most LISTS rows
+        lists = self.lists.select("list", "shards").join(bands, "list").join(asked, "band")
+        shards = lists.groupBy("band").agg(F.max("shards").alias("shards"), F.first("groups").alias("groups"))
+        right = looks.join(shards, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(
+            F.xxhash64("query_id"), F.col("groups")).cast("int").alias("part"), "query_id", "q", "least", "lists")
+        left = self.vectors.join(lists.select("list", "band", "groups"), "list").select(
+            "band", "shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "list", "item", "v")
 
         def meet(items: pa.Table, queries: pa.Table) -> pa.Table:
-            picked: list[pa.Table] = []
-            if items.num_rows and queries.num_rows:
-                items = items.take(pc.sort_indices(items.column("item"), null_placement="at_start"))
-                names = items.column("item").combine_chunks()
-                m = _matrix(items.column("v"))
-                long = np.sqrt((m * m).sum(axis=1))
-                asks = _matrix(queries.column("q"))
-                for i, q in enumerate(asks):  # row sums: equal vectors have equal similarities wherever they are
-                    raw = (m * q).sum(axis=1) / (long * np.sqrt((q * q).sum()))
-                    at = np.argsort(-raw, kind="stable")[:k]
-                    at = at[raw[at] > 0]
-                    picked.append(pa.table([queries.column("query_id").take(pa.array(np.full(len(at), i))).combine_chunks(), names.take(pa.array(at)),
-                                            pa.array(raw[at])], names=schema.names))
             kinds = queries.schema.field("query_id").type, items.schema.field("item").type, pa.float64()
-            return pa.concat_tables(picked) if picked else pa.table([pa.array([], kind) for kind in kinds], names=schema.names)
-
-        keys = ["list", "shard", "part"]
+            picked = [pa.table([pa.array([], kind) for kind in kinds], names=schema.names)]
+            if not items.num_rows or not queries.num_rows:
+                return picked[0]
+            items = items.take(pc.sort_indices(items.column("item"), null_placement="at_start"))
+            names, own = items.column("item").combine_chunks(), items.column("list").to_numpy()
+            m = _matrix(items.column("v"))
+            long = np.sqrt((m * m).sum(axis=1))
+            for start in range(0, queries.num_rows, HELD):
+                some = queries.slice(start, HELD)
+                asks, least = _matrix(some.column("q")), some.column("least").to_numpy()
+                size = np.sqrt((asks * asks).sum(axis=1))
+                wanted = some.column("lists").combine_chunks()
+                open_lists = np.zeros((len(asks), int(own.max()) + 1), bool)
+                at = wanted.flatten().to_numpy()
+                there = at < open_lists.shape[1]
+                open_lists[np.repeat(np.arange(len(asks)), wanted.value_lengths().to_numpy())[there], at[there]] = True
+                # the products of all with all tell which items may be among the best, whatever was rounded
+                near = asks @ m.T / long
+                near[~open_lists[:, own]] = -np.inf
+                floor = np.partition(near, len(m) - k, axis=1)[:, len(m) - k] if k < len(m) else np.full(len(asks), -np.inf)
+                slack = np.where(size * long.min() < 1e-280, 1e300, ROUNDING * m.shape[1] * size)  # digits are lost near zero
+                row, at = np.nonzero(near >= np.maximum(np.maximum(floor, least * size) - slack, -1e301)[:, None])
+                raw = np.concatenate([np.zeros(0)] + [  # row sums: equal vectors have equal similarities wherever they are
+                    (m[a] * asks[r]).sum(axis=1) / (long[a] * size[r]) for r, a in ((row[x:x + AGAIN], at[x:x + AGAIN]) for x in range(0, len(row), AGAIN))])
+                order = np.lexsort((at, -raw, row))
+                row, at, raw = row[order], at[order], raw[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                good = (rank < k) & (raw > 0) & (raw >= least[row])
+                picked.append(pa.table([some.column("query_id").take(pa.array(row[good])), names.take(pa.array(at[good])), pa.array(raw[good])], names=schema.names))
+            return pa.concat_tables(picked)
+
+        keys = ["band", "shard", "part"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crewlake.operators import nearest
 from crewlake.operators import retrieve as RT
@@ -32,6 +33,16 @@ def test_index_against_scan(spark, monkeypatch, shard):
     assert len({x[:1] + x[2:3] for x in near} & {x[:1] + x[2:3] for x in want}) >= 0.9 * len(want)
 
 
+def test_a_query_goes_once_to_neighbouring_lists(spark):
+    items = spark.createDataFrame(_vectors(900, 3), "id int, v array<double>")
+    index = nearest.VectorIndex.build(items, "id", "v", lists=16)
+    asked = spark.createDataFrame([(i, _vectors(9, 4)[i][1]) for i in range(9)], "id int, q array<double>")
+    left = index._plan(asked.select(F.col("id").alias("query_id"), "q"), True).withColumn("least", F.lit(0.0))
+    looks = index._looks(left, 0, len(index.names)).collect()  # all lists together are no more than one group holds
+    assert len(looks) == 9 and max(len(r.lists) for r in looks) > 8
+    assert all(set(r.lists) <= set(index.names.tolist()) and len(set(r.lists)) == len(r.lists) for r in looks)
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame(_vectors(30, 2), "id int, v array<double>")
     asked = spark.createDataFrame([("a", [1.0] * 8)], "name string, q array<double>")
