@@ -32,8 +32,8 @@ class KeywordIndex:
 
     Items are numbered in their order; 64 consecutive ones are a block.  ``postings`` (term, block, bits) has a bit per item of
     the block that holds the word, ``heads`` (term, head, blocks, items) a bit per block of 64 consecutive blocks, ``items``
-    (no, item, terms) the numbers.  Postings and heads are sorted by word and place: a word in a third of all texts is spread
-    over many files, and a scan skips the row groups of other words.
+    (no, item, terms) the numbers.  Files of postings and heads are sorted by word and place: a word in a third of all texts is
+    spread over many files, and a scan skips the pages of other words.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,12 +48,14 @@ class KeywordIndex:
         """
         spark = items.sparkSession
         root = root or new_folder(spark, "words")
-        ordered = items.select(F.col(item).alias("item"), F.coalesce(tokens(F.col(body)), F.array().cast("array<string>")).alias("terms")).sort("item")
-        numbered = kept(ordered.select(F.monotonically_increasing_id().alias("no"), "item", "terms"), f"{root}/items")
+        # words are taken after the sort, which reads its input twice
+        ordered = items.select(F.col(item).alias("item"), F.col(body).alias("body")).sort("item")
+        terms = F.coalesce(tokens(F.col("body")), F.array().cast("array<string>")).alias("terms")
+        numbered = kept(ordered.select(F.monotonically_increasing_id().alias("no"), "item", terms), f"{root}/items")
         words = numbered.select("no", F.explode("terms").alias("term"))
         block = F.call_function("shiftright", F.col("no"), F.lit(BITS))
         rows = words.select("term", block.alias("block"), _mark(F.col("no")).alias("bit")).groupBy("term", "block").agg(F.bit_or("bit").alias("bits"))
-        postings = kept(rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), f"{root}/postings")
+        postings = kept(rows.sortWithinPartitions("term", "block"), f"{root}/postings")  # dealt by word and block
         head = F.call_function("shiftright", F.col("block"), F.lit(BITS))
         heads = postings.groupBy("term", head.alias("head")).agg(
             F.bit_or(_mark(F.col("block"))).alias("blocks"), F.sum(F.bit_count("bits")).cast("long").alias("items"))
@@ -80,7 +82,7 @@ class KeywordIndex:
         some = words.select("term").distinct().limit(LISTED + 1).collect()
         listed = F.lit(True) if len(some) > LISTED else F.col("term").isin([r.term for r in some])
         left = kept(self._bounds(words, listed))
-        best = self.spark.createDataFrame([], asked.select("query_id", F.lit(0).cast("long").alias("no"), F.lit(0).alias("hits")).schema)
+        best = asked.limit(0).select("query_id", F.lit(0).cast("long").alias("no"), F.lit(0).alias("hits"))
         reads, wave = [], WAVE
         foremost = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         ranked = Window.partitionBy("query_id").orderBy(F.desc("hits"), "no")

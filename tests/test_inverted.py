@@ -33,6 +33,19 @@ def test_index_finds_what_the_scan_finds(spark, monkeypatch, wave):
         assert got["common"][1] * 4 < got["common"][0] and got["pair"][1] * 2 < got["pair"][0]
 
 
+def test_building_takes_words_once_and_deals_postings_once(spark, monkeypatch):
+    plans, kept = {}, inverted.kept
+
+    def spy(df, path=None):
+        plans[(path or "").rsplit("/", 1)[-1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, path)
+
+    monkeypatch.setattr(inverted, "kept", spy)
+    inverted.KeywordIndex.build(spark.createDataFrame(_texts(80, 3), "id int, body string"), "id", "body")
+    assert "RepartitionByExpression" not in plans["postings"]
+    assert plans["items"].index("split(") < plans["items"].index("Sort [")  # above the sort, whose exchange reads its input twice
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(_texts(80, 2), "id int, body string")
     asked = spark.createDataFrame([("a", "w1 w2")], "name string, q string")
