@@ -219,3 +219,17 @@ def test_a_version_copies_only_ancestors(spark, small):
             assert not set(r.version) & nodes and len(r.proof) <= len(r.version) - 1 <= 8 + 3
         else:
             assert r.version == []
+
+
+def test_every_row_is_folded_from_its_own_leaf_and_proof(spark, small):
+    for docs in (small, small.limit(1)):
+        tree = merkle.manifest(docs, ["doc_id", "text"], "lang", "doc_id", F.col("doc_id") % 5 == 0, {"text": F.lit("changed")}, 3).collect()
+        assert all(r.folded == (r.version[-1] if r.version else r.root) for r in tree)
+    leaves = [str(k).encode() for k in range(5)]
+    tree = merkle.Block(5, leaves, 3)
+    top = merkle.Block(2, [b"other", tree.root], 3)
+    for k in range(5):
+        proof = tree.siblings(k) + top.siblings(1)
+        assert merkle.folded(leaves[k], proof, k, 5, 1, 2)[-1] == top.root
+        for j in range(len(proof)):  # a proof with one wrong node does not lead to the root
+            assert merkle.folded(leaves[k], [*proof[:j], b"wrong", *proof[j + 1:]], k, 5, 1, 2)[-1] != top.root
