@@ -463,3 +463,47 @@ def test_toxicity_learns_one_text_per_id(spark, docs_of):
     held = docs_of((900, prose(30, 7900)), (901, prose(30, 7901) + " grumblefoot"))
     one, many = (sorted(map(tuple, toxkernel.score(held, toxkernel.learn(d, labels), ["doc_id"]).collect())) for d in (once, often))
     assert one == many
+
+
+def reshuffled(words, tag):
+    """Texts that together hold every run of four of the words, in pieces of eight that do not follow each other."""
+    pieces = [words[i:i + 8] for i in range(0, len(words) - 3, 5)]
+    return [" ".join(" ".join(x) + f" {tag}a{k} {tag}b{k}" for k, x in enumerate(pieces[half::2])) for half in (0, 1)]
+
+
+@pytest.mark.parametrize("between", [1, 30])
+def test_a_fuzzy_copy_of_stock_text_is_compared_with_every_earlier_text(docs_of, between):
+    """Every seed of the copy is in more than four texts; its source is neither the first nor the previous one of them."""
+    rows = []
+    for k in range(4):
+        words = [f"t{k}_{i}" for i in range(120)]
+        copy = [f"new{k}_{i}" if i % 6 == 3 else x for i, x in enumerate(words)]
+        stock = lambda first, n: [(1000 * k + first + 2 * j + h, x) for j in range(n) for h, x in enumerate(reshuffled(words, f"{k}x{first}x{j}x"))]  # noqa: E731, B023
+        rows += stock(0, 6) + [(1000 * k + 300, " ".join(words))] + stock(400, between) + [(1000 * k + 900, " ".join(copy))]
+    found = chaining.repeated_passages(docs_of(*rows)).collect()
+    got = covered(found)
+    assert all(got.get(1000 * k + 900, set()) >= set(range(4, 116)) for k in range(4))
+    assert {x.other_doc_id for x in found if x.doc_id % 1000 == 900} == {1000 * k + 300 for k in range(4)}
+
+
+def test_stock_lines_alone_make_no_passage(docs_of):
+    line = prose(19, 790)
+    rows = [(k, prose(60, 3000 + 2 * k) + " " + line + " " + prose(60, 3001 + 2 * k)) for k in range(300)]
+    assert chaining.repeated_passages(docs_of(*rows)).count() == 0
+
+
+def test_what_a_hot_occurrence_meets():
+    import numpy as np
+    r = np.random.default_rng(3)
+    n, size = 400, 50
+    near = r.integers(0, chaining.ABSENT, (n, 2 * size + chaining.K), dtype=np.uint8)
+    near[:, size - 4:size + 8] = 7 + np.arange(12)  # a stock line
+    near[350] = near[40]  # the same words
+    near[351] = np.where(r.random(near.shape[1]) < 0.15, r.integers(0, chaining.ABSENT, near.shape[1]), near[200])
+    near[351, size:size + chaining.K] = near[200, size:size + chaining.K]
+    near[352, 20:] = near[100, 20:]  # the text before the line differs
+    near[352, :20], near[100, :20] = chaining.ABSENT, chaining.ABSENT
+    mine, theirs = chaining._meet(np.arange(n), near, size, 0.8)
+    assert set(zip(mine.tolist(), theirs.tolist())) == {(350, 40), (351, 200), (352, 100)}
+    packed = [np.packbits(np.unpackbits(x[:, None], axis=1)[:, 8 - chaining.NEAR_BITS:].ravel()).tobytes() for x in near]
+    assert (chaining._unpacked(packed, size) == near).all()
